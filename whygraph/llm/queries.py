@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, mixing
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op5_mixing": mixing.op5_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_decontamination": decontaminate.OP1_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
