@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing
+from . import decontaminate, exact_dedup, mixing, ngram_join
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op5_mixing": mixing.op5_mixing,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
