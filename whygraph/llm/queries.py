@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, ngram_join
+from . import chat, decontaminate, exact_dedup, mixing, ngram_join, quality, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op3_quality": quality.op3_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_warc": warc.op8_warc,
+    "op9_chat_formatting": chat.op9_chat_formatting,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op9_chat_formatting": chat.OP9_SQL,
 }
