@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, mixing, ngram_join, quality, warc
+from . import chat, decontaminate, exact_dedup, lm, mixing, ngram_join, quality, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_warc": warc.op8_warc,
     "op9_chat_formatting": chat.op9_chat_formatting,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
 ORACLE_SQL = {
