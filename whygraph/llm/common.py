@@ -15,14 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's shared checkpoint folder, with its lineage cut.
-
-    The folder is the session's `spark.checkpoint.dir`; a temporary one is made only where none is set.
-    """
-    context = df.sparkSession.sparkContext
+def durable_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, `spark.checkpoint.dir`; a temporary one is made only where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` written to the cluster's shared folder, with its lineage cut."""
+    durable_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, lm, mixing, ngram_join, quality, warc
+from . import chat, decontaminate, exact_dedup, html_extract, lm, mixing, ngram_join, pii, quality, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_html_extraction": html_extract.op2_html_extraction,
     "op3_quality": quality.op3_quality,
+    "op4_pii": pii.op4_pii,
     "op5_mixing": mixing.op5_mixing,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,

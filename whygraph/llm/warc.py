@@ -7,9 +7,7 @@ import bisect
 import gzip
 import hashlib
 import math
-import os
 import re
-import tempfile
 import uuid
 import zlib
 from urllib.parse import quote
@@ -20,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, table, with_key
+from .common import KEY, durable, durable_folder, table, with_key
 
 #: Lines of a compressed index block, and captures of an index part (one file).
 BLOCK_LINES, PART_LINES = 1000, 16_000
@@ -211,13 +209,11 @@ def read_batches(folder: str):
 
 
 def new_folder(spark) -> str:
-    """A new folder beside the session's checkpoints, which all executors share; a temporary one if unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="warc-")
-    top = top if re.match(r"[a-z0-9]+:/", top) else f"file://{os.path.abspath(top)}"
-    folder = f"{top}/warc-{uuid.uuid4().hex}"
-    store, path = fs.FileSystem.from_uri(folder)
+    """The URI of a new folder in the shared folder."""
+    folder = f"{durable_folder(spark)}/warc-{uuid.uuid4().hex}"
+    store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
     store.create_dir(path, recursive=True)
-    return folder
+    return re.sub(r"^file:/+", "file:///", folder)
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_PAYLOAD) -> DataFrame:
