@@ -103,7 +103,8 @@ def votes(text: str, start: int, kind: int, end: int, strict: bool) -> tuple[int
     before = text[max(0, start - NEAR) : start]
     edges = (text[start - 1 : start] + text[end : end + 1]).strip()
     if kind == 0:
-        shape = 1 if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", span) else -1
+        plain = re.sub(r"\s?[\[(](?:dot|DOT)[\])]\s?", ".", re.sub(r"\s?[\[(](?:at|AT)[\])]\s?", "@", span))
+        shape = 1 if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", plain) else -1
         gazetteer = 1 if re.split(r"[^A-Za-z]+", span.rstrip(")]"))[-1].lower() in TOP_LEVEL else -1
         check = 1 if ".." not in span else -1
     elif kind == 1:
