@@ -97,5 +97,13 @@ class Graph:
         return durable(evidence.apply_tiers(self.nodes, self.upgraded[1])[0])
 
 
+_built: dict[tuple[str, str], Graph] = {}
+
+
 def derived_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(spark, landed(spark, sf_dir), F.lit(INGESTED).cast("timestamp"))
+    """The graph of the tables in `sf_dir`; its written steps are used again by later queries of the session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        _built.clear()
+        _built[key] = Graph(spark, landed(spark, sf_dir), F.lit(INGESTED).cast("timestamp"))
+    return _built[key]
