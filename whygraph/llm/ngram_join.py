@@ -55,9 +55,9 @@ def sign_batches(n: int, bands: int, rows: int):
 
     def sign(batches):
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                words, bounds = word_hashes(texts[lo:hi], ALNUM)
+            keys = batch.column(0)
+            for lo, hi, texts in slices(batch.column(1)):
+                words, bounds = word_hashes(texts, ALNUM)
                 full = np.flatnonzero(np.diff(bounds))
                 if not len(full):
                     continue
@@ -76,9 +76,8 @@ def sign_batches(n: int, bands: int, rows: int):
 def content_batches(batches):
     """A mapInArrow function over (text as bytes) that adds the hash of its words; texts without words go."""
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for lo, hi in slices(texts):
-            words, bounds = word_hashes(texts[lo:hi], ALNUM)
+        for lo, hi, texts in slices(batch.column(0)):
+            words, bounds = word_hashes(texts, ALNUM)
             full = np.flatnonzero(np.diff(bounds))
             content = [hashlib.blake2b(words[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest() for i in full]
             yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), batch.column(0).slice(lo, hi - lo).take(pa.array(full))], ["content", "text"])

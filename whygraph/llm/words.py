@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 MASK = (1 << 64) - 1
@@ -79,14 +81,14 @@ def grams(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mixed(out), out_bounds
 
 
-def slices(texts: list[bytes | None], most: int = 2_000_000):
-    """Ranges of `texts` of about `most` bytes, at least one text each."""
+def slices(texts: pa.Array, most: int = 1_000_000):
+    """(first, end, texts as bytes) of runs of about `most` bytes of an Arrow column, at least one text each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
-    for i, t in enumerate(texts):
-        size = len(t) if t else 0
+    for i, size in enumerate(sizes.tolist()):
         if held and held + size > most:
-            yield begin, i
+            yield begin, i, texts.slice(begin, i - begin).to_pylist()
             begin, held = i, 0
         held += size + 1
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes), texts.slice(begin).to_pylist()
