@@ -221,10 +221,11 @@ def host_batches(batches):
 
 
 def text_batches(batches):
-    """A mapInArrow function over (KEY, html, templates) that gives (KEY, text)."""
+    """A mapInArrow function over (KEY, html, templates, others) that gives (KEY, text, others)."""
     for batch in batches:
         texts = [Page(h).text(frozenset(t or ())) if h else "" for h, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [KEY, "text"])
+        names = batch.schema.names
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:]], [KEY, "text", *names[3:]])
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = LEAST_PLACES, share: float = LEAST_SHARE) -> DataFrame:
@@ -241,8 +242,8 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     return places.join(sizes, "host").filter(F.col("places") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 
-def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = LEAST_PLACES, share: float = LEAST_SHARE) -> DataFrame:
-    """(KEY, text) of `pages` (with KEY).
+def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = LEAST_PLACES, share: float = LEAST_SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(KEY, text, and the columns `keep`) of `pages` (with KEY).
 
     Kept is what stands in `article` and `main` elements, or in the body where there is none, without
     navigation, headers, footers, asides, forms, scripts and the like by tag, role, class or id, and
@@ -250,13 +251,17 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
     """
     found = durable(site_templates(pages, url_col, html_col, least, share))
     size = found.agg(F.coalesce(F.sum(F.size("templates") * 8 + F.length("host")), F.lit(0))).first()[0]
-    hosted = pages.select(KEY, F.col(url_col).cast("string"), F.col(html_col).cast("string").alias("html"))
-    hosted = hosted.mapInArrow(host_batches, f"{KEY} long, url string, html string, host string")
+    kept = [F.col(c).alias(f"{KEY}_{i}") for i, c in enumerate(keep)]
+    others = "".join(f", {KEY}_{i} {dict(pages.dtypes)[c]}" for i, c in enumerate(keep))
+    hosted = pages.select(KEY, F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), *kept)
+    hosted = hosted.mapInArrow(host_batches, f"{KEY} long, url string, html string{others}, host string")
     joined = hosted.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
-    return joined.select(KEY, "html", "templates").mapInArrow(text_batches, f"{KEY} long, text string")
+    names = [f"{KEY}_{i}" for i in range(len(keep))]
+    texts = joined.select(KEY, "html", "templates", *names).mapInArrow(text_batches, f"{KEY} long, text string{others}")
+    return texts.select(KEY, "text", *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)])
 
 
 def op2_html_extraction(spark, sf_dir):
     pages = with_key(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
-    texts = main_text(pages).join(pages.select(KEY, "page_id", "url"), KEY)
+    texts = main_text(pages, keep=("page_id", "url"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
