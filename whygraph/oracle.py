@@ -122,7 +122,7 @@ _ASKED = (
 , asked AS (
   SELECT unnest(['title', 'number', 'start', 'swapped']) || ':' || k AS question_id,
          unnest([title, '#' || k, trim(substr(title, 1, 12)), k || ' order ' || split_part(title, ' ', 1)]) AS question
-  FROM art WHERE k % 500 = 0
+  FROM (SELECT arg_min(title, k) AS title, min(k) AS k FROM art GROUP BY g, split_part(title, ' order ', 1))
 ), q AS (SELECT *, """
     + _GRAMS.format("question")
     + """ AS qg FROM asked), n AS (SELECT k, title, """
@@ -133,7 +133,7 @@ _ASKED = (
   UNION ALL SELECT question_id, k, 1, 'identifier', 0.95::DOUBLE FROM q JOIN n ON k::VARCHAR = ltrim(question, '#')
   UNION ALL SELECT question_id, k, 2, 'prefix', 0.75::DOUBLE FROM q JOIN n ON title ILIKE question || '%'
   UNION ALL SELECT question_id, k, 3, 'fuzzy', s::DOUBLE FROM (
-    SELECT question_id, k, (len(list_intersect(qg, ng)) / (len(qg) + len(ng) - len(list_intersect(qg, ng))))::FLOAT AS s FROM q, n) WHERE s >= 0.25::FLOAT
+    SELECT question_id, k, (i / (len(qg) + len(ng) - i))::FLOAT AS s FROM (SELECT question_id, k, qg, ng, len(list_intersect(qg, ng)) AS i FROM q, n)) WHERE s >= 0.25::FLOAT
 ), one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY question_id, k ORDER BY score DESC, tier) = 1
 ), top AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, tier, k) AS rank FROM one)
 """

@@ -175,8 +175,8 @@ def answers_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles, identifiers, beginnings and swapped titles of a stated set of orders (those divisible by 500)."""
-    orders = derived.order_rows(spark, sf_dir).filter("k % 500 = 0")
+    """Titles, identifiers, beginnings and swapped titles of the first order of each repository and priority."""
+    orders = derived.order_rows(spark, sf_dir).groupBy("repo_id", F.split_part("title", F.lit(" order "), F.lit(1)).alias("priority")).agg(F.min_by(F.struct("k", "title"), "k").alias("first")).select("first.*")
     swapped = F.concat(F.split_part("title", F.lit(" "), F.lit(-1)), F.lit(" order "), F.split_part("title", F.lit(" "), F.lit(1)))
     kinds = {"title": F.col("title"), "number": F.concat(F.lit(" #"), F.col("k").cast("string")), "start": F.substring("title", 1, 12), "swapped": swapped}
     each = F.array(*[F.struct(F.lit(k).alias("kind"), q.alias("question")) for k, q in kinds.items()])
