@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .durable import durable
 from .functions import text
 from .operators import audit, decisions, evidence, gate, link, reason, retrieval
 from .plans.build import derived_graph
@@ -193,7 +194,7 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated questions answered from their best candidate, two steps of impact deep, as labelled traces."""
     g = derived_graph(spark, sf_dir)
     top = retrieval.find_candidates(questions(spark, sf_dir), g.nodes.filter("node_type in ('issue', 'pull_request')"), 3).filter("rank = 1")
-    begun = top.select("question_id", F.col("node_id").alias("start_id"), F.lit("impact").alias("mode"), F.lit(2).alias("depth"), F.lit(LATE).cast("timestamp").alias("as_of"))
+    begun = durable(top.select("question_id", F.col("node_id").alias("start_id"), F.lit("impact").alias("mode"), F.lit(2).alias("depth"), F.lit(LATE).cast("timestamp").alias("as_of")))
     paths, _ = reason.reason(begun, g.nodes, g.edges, 2)
     notes = decisions.credit(g.decisions, g.nodes, g.edges, g.artifacts)
     return reason.trace(reason.hydrate(paths, g.nodes, g.edges, notes))
