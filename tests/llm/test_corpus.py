@@ -6,11 +6,13 @@ import json
 import math
 import random
 import re
+import types
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +320,26 @@ def test_log_bilinear_is_normalised_and_learns():
     assert model.log_probability(w, before).mean() > math.log(0.05) + 0.5
 
 
+def test_every_training_token_is_a_target_once(monkeypatch):
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    targets = []
+    monkeypatch.setattr(lm.LogBilinear, "learn", lambda self, w, before: targets.extend(zip(w.tolist(), *[v.tolist() for v in before])))
+    texts = [" ".join(f"w{k}" for k in range(a, a + n)) for a, n in ((0, 300), (300, 1), (301, 0), (301, 40))] * 30
+    texts = [t.encode() for t in texts]
+    h, bounds = lm.tokens(texts)
+    known, counts = np.unique(h, return_counts=True)
+    classes = np.where(known == lm.END, 0, np.arange(len(known)) + 2)
+    vocab = lm.Vocabulary(known, counts, classes, np.full(len(known) + 3, 1 / (len(known) + 3)), len(h), len(known), 0, 0)
+    flat, used = lm.LogBilinear(vocab.noise).flat(), 0
+    for turn in range(lm.ROUNDS):
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 50], pa.binary())], ["text"]) for i in range(0, len(texts), 50)]
+        for sums in lm.train_batches(types.SimpleNamespace(value=vocab), types.SimpleNamespace(value=flat), turn)(iter(batches)):
+            used += sums.column(1)[-1].as_py()
+    w = vocab.classes_of(vocab.find(h))
+    assert used == len(h)
+    assert Counter(targets) == Counter(zip(w.tolist(), *[v.tolist() for v in lm.contexts(w, bounds)]))
+
+
 def test_html_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="with-sidebar">
     <div id="cookie-notice">We use cookies</div><header><a href="/">Home</a></header><nav><ul><li>a<li>b</ul></nav><!-- x > y -->

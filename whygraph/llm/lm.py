@@ -21,8 +21,8 @@ CLASSES = 1024
 WIDTH, CONTEXT = 16, 2
 #: Noise words a step, tokens a step, step size.
 NOISE, STEP, RATE = 64, 4096, 0.15
-#: Rounds of training; in each one, every STRIDE-th token of all training texts is learned from.
-ROUNDS, STRIDE = 2, 16
+#: Rounds of training; each one learns from every ROUNDS-th token of all training texts, all rounds from every token once.
+ROUNDS = 2
 
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -218,7 +218,7 @@ def train_batches(shared, flat, turn: int):
             for _, _, texts in slices(batch.column(0)):
                 h, bounds = tokens(texts)
                 w = vocab.classes_of(vocab.find(h))
-                some = slice(turn * STRIDE // ROUNDS, None, STRIDE)
+                some = slice(turn, None, ROUNDS)
                 pool.append([x[some] for x in (w, *contexts(w, bounds))])
                 if sum(len(x[0]) for x in pool) >= STEP or not pool:
                     w, *before = map(np.concatenate, zip(*pool))
