@@ -9,6 +9,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from whygraph import queries
 from whygraph.durable import durable
 from whygraph.operators import audit, decisions, evidence, gate, link, reason, repair, retrieval, threads, upsert
 from whygraph.schema import DECISION, EDGE, NODE, PENDING
@@ -339,6 +340,33 @@ def test_retrieval_equals_brute_force(spark):
     assert limited.groupBy("question_id").count().agg(F.max("count")).first()[0] == 2
 
 
+def test_answered_questions_asks_every_20th_order(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, k % 3, "F", T0, f"{k % 5}-X") for k in range(200)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c, c) for c in range(3)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(c, c) for c in range(3)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    g = Small(spark)
+    for k in range(200):
+        g.node(str(k), "issue" if k % 4 == 0 else "pull_request", title=f"{k % 5}-X order {k}")
+    found = {}
+
+    def find(asked, nodes, limit):
+        found["asked"], found["first"] = asked, retrieval_find(asked, nodes, limit).filter("rank = 1")
+        raise StopIteration
+
+    retrieval_find = retrieval.find_candidates
+    monkeypatch.setattr(retrieval, "find_candidates", find)
+    monkeypatch.setattr(queries, "derived_graph", lambda *_: SimpleNamespace(nodes=g.nodes))
+    with pytest.raises(StopIteration):
+        queries.answered_questions(spark, str(tmp_path))
+    asked = {r.question_id: r.question.strip() for r in found["asked"].collect()}
+    expected = {}
+    for k in range(0, 200, 20):
+        expected |= {f"title:{k}": f"{k % 5}-X order {k}", f"number:{k}": f"#{k}", f"start:{k}": f"{k % 5}-X order {k}"[:12].strip(), f"swapped:{k}": f"{k} order {k % 5}-X"}
+    assert asked == expected
+    first = {r.question_id: (r.external_id, r.score) for r in found["first"].collect()}
+    assert all(first[f"title:{k}"] == (str(k), 1.0) and first[f"number:{k}"] == (str(k), 0.95) and first[f"swapped:{k}"][1] == 1.0 for k in range(0, 200, 20))
+
+
 def sighted(spark, rows):
     return spark.createDataFrame(rows, "src_id long, dst_id long, edge_type string, extractor string, source_ref string, observed_at timestamp, seq long")
 

@@ -175,9 +175,18 @@ def answers_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(summary, g.nodes, "question_id").select(F.col("question_id").alias("start"), "answered", "used_inferred_fallback", "paths", "explanation")
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles, identifiers, beginnings and swapped titles of the first order of each repository and priority."""
-    orders = derived.order_rows(spark, sf_dir).groupBy("repo_id", F.split_part("title", F.lit(" order "), F.lit(1)).alias("priority")).agg(F.min_by(F.struct("k", "title"), "k").alias("first")).select("first.*")
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, title) of the first order of each repository and priority: those that the SQL of `retrieve_candidates` and `contract_checks` asks for."""
+    return derived.order_rows(spark, sf_dir).groupBy("repo_id", F.split_part("title", F.lit(" order "), F.lit(1)).alias("priority")).agg(F.min_by(F.struct("k", "title"), "k").alias("first")).select("first.*")
+
+
+def asked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, title) of the orders divisible by 20."""
+    return derived.order_rows(spark, sf_dir).filter("k % 20 = 0").select("k", "title")
+
+
+def questions(orders: DataFrame) -> DataFrame:
+    """Titles, identifiers, beginnings and swapped titles of `orders` (k, title)."""
     swapped = F.concat(F.split_part("title", F.lit(" "), F.lit(-1)), F.lit(" order "), F.split_part("title", F.lit(" "), F.lit(1)))
     kinds = {"title": F.col("title"), "number": F.concat(F.lit(" #"), F.col("k").cast("string")), "start": F.substring("title", 1, 12), "swapped": swapped}
     each = F.array(*[F.struct(F.lit(k).alias("kind"), q.alias("question")) for k, q in kinds.items()])
@@ -186,14 +195,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = derived_graph(spark, sf_dir).sighted_nodes.filter("node_type in ('issue', 'pull_request')")
-    found = retrieval.find_candidates(questions(spark, sf_dir), nodes)
+    found = retrieval.find_candidates(questions(first_orders(spark, sf_dir)), nodes)
     return found.select("question_id", "rank", "external_id", "match", F.round("score", 5).alias("score"))
 
 
 def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated questions answered from their best candidate, two steps of impact deep, as labelled traces."""
+    """The questions for all orders divisible by 20, answered from their best candidate, two steps of impact deep, as labelled traces."""
     g = derived_graph(spark, sf_dir)
-    top = retrieval.find_candidates(questions(spark, sf_dir), g.nodes.filter("node_type in ('issue', 'pull_request')"), 3).filter("rank = 1")
+    top = retrieval.find_candidates(questions(asked_orders(spark, sf_dir)), g.nodes.filter("node_type in ('issue', 'pull_request')"), 3).filter("rank = 1")
     begun = durable(top.select("question_id", F.col("node_id").alias("start_id"), F.lit("impact").alias("mode"), F.lit(2).alias("depth"), F.lit(LATE).cast("timestamp").alias("as_of")))
     paths, _ = reason.reason(begun, g.nodes, g.edges, 2)
     notes = decisions.credit(g.decisions, g.nodes, g.edges, g.artifacts)
@@ -240,7 +249,7 @@ def tier_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts of the stated questions, kept or not by what retrieval found."""
-    asked = questions(spark, sf_dir)
+    asked = questions(first_orders(spark, sf_dir))
     nodes = derived_graph(spark, sf_dir).sighted_nodes.filter("node_type in ('issue', 'pull_request')")
     counts = retrieval.find_candidates(asked, nodes, 3).groupBy("question_id").agg(F.count("*").alias("candidates"), F.max(F.when(F.col("score") >= SCORES["identifier"], True)).alias("sure"))
     kind = F.split_part("question_id", F.lit(":"), F.lit(1))
