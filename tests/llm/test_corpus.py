@@ -364,6 +364,17 @@ def test_site_templates_are_removed(spark):
     assert {(90, "x"), (91, ""), (92, ""), (92, "same id")} <= found
 
 
+def test_templates_of_hosts_with_many_copies(spark):
+    page = lambda k, ad: f"<html><body><div class=ad>{ad}</div><article><div>Read our newest posts</div><p>own text {k}</p></article></body></html>"
+    rows = [(k, "http://a.org/", page(k, k)) for k in range(10)] + [(100 + k, "http://a.org/", page(0, 100 + k)) for k in range(30)]
+    # Here most pages differ, and the box is on 5 of 30: not a template, however often one of them was copied.
+    rows += [(200 + k, "http://b.org/", page(k, k) if k < 5 else f"<article><p>own text {k}</p></article>") for k in range(30)] + [(300 + k, "http://b.org/", page(0, 0)) for k in range(90)]
+    pages = with_key(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id")
+    found = {r.page_id: r.text for r in html_extract.main_text(pages, keep=("page_id",)).collect()}
+    assert all(found[k] == f"own text {k}" for k in range(10)) and all(found[100 + k] == "own text 0" for k in range(30))
+    assert found[200] == found[300] == "Read our newest posts own text 0" and found[229] == "own text 29"
+
+
 def test_warc_round_trip(spark):
     rows = [(k, f"http://Www.Ex{k % 3}.org:80/p?q={k}#f", f"<p>{k % 7} é 😀") for k in range(60)] + [(100, None, None), (101, "x y\r\nz", ""), (102, "http://a/\tb", "\r\n\r\n" * 9), (None, "http://n", "<p>3 é 😀"), (5, "http://twice", "<p>z")]
     pages = with_key(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), "page_id")

@@ -151,6 +151,8 @@ class Page:
             count[tag] = count.get(tag, 0) + 1
             stack.append(len(self.tags) - 1)
         close(1)
+        if parts[0]:
+            self.hashes[0] = blake2b(b"#page(" + b",".join(parts[0]), digest_size=8).digest()
         self._judge()
 
     def _judge(self) -> None:
@@ -180,6 +182,11 @@ class Page:
         keep = ("html", "body", "main", "article")
         return {(self.hashes[e], self.hashes[self.parents[e]]) for e in range(1, len(self.tags)) if self.hashes[e] and not self.gone[e] and self.inside[e] and e not in self.around and self.tags[e] not in keep}
 
+    def identity(self) -> bytes:
+        """A hash of the page's main elements, or of all of it where there is none; copies of an article have the same."""
+        main = [self.hashes[e] for e in range(1, len(self.tags)) if self.inside[e] and not self.inside[self.parents[e]] and not self.gone[e]]
+        return self.hashes[0] if self.inside[0] else blake2b(b",".join(main), digest_size=8).digest()
+
     def text(self, templates: frozenset[bytes] = frozenset()) -> str:
         """The blocks of main text, joined by spaces, without `templates`."""
         gone = list(self.gone)
@@ -203,15 +210,18 @@ def host_of(url: str | None) -> str:
 
 
 def subtree_batches(batches):
-    """A mapInArrow function over (url, html) that gives (host, subtree, place) and, for the page itself, nulls."""
+    """A mapInArrow function over (url, html) that gives (host, subtree, place, page) and, for the page itself, nulls and page."""
     for batch in batches:
-        hosts, subtrees, places = [], [], []
+        hosts, subtrees, places, identities = [], [], [], []
         for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = [(None, None), *(Page(source).subtrees() if source else ())]
+            page = Page(source or "")
+            found = [(None, None), *page.subtrees()]
             hosts += [host_of(url)] * len(found)
             subtrees += [x for x, _ in found]
             places += [x for _, x in found]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.binary()), pa.array(places, pa.binary())], ["host", "subtree", "place"])
+            identities += [page.identity()] * len(found)
+        columns = [pa.array(hosts, pa.string()), *(pa.array(x, pa.binary()) for x in (subtrees, places, identities))]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "subtree", "place", "page"])
 
 
 def host_batches(batches):
@@ -232,14 +242,15 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     """(host, templates): hashes of the subtrees that recur over a host's pages.
 
     A subtree's places are the different subtrees it stands in, so the paragraphs of an article that was
-    copied whole count once. A host has at most subtrees / share templates, so its list is bounded by
-    the size of its pages.
+    copied whole count once. Pages with the same main elements count as one page, both of those a subtree
+    is on and of the host's. A host has at most subtrees / share templates, so its list is bounded by the
+    size of its pages.
     """
-    rows = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(subtree_batches, "host string, subtree binary, place binary")
-    counted = durable(rows.groupBy("host", "subtree", "place").agg(F.count("*").alias("n")))
-    sizes = counted.filter("subtree is null").select("host", F.col("n").alias("pages"))
-    places = counted.filter("subtree is not null").groupBy("host", "subtree").agg(F.count("*").alias("places")).filter(F.col("places") >= least)
-    return places.join(sizes, "host").filter(F.col("places") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    rows = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(subtree_batches, "host string, subtree binary, place binary, page binary")
+    counted = durable(rows.distinct())
+    sizes = counted.filter("subtree is null").groupBy("host").agg(F.count("*").alias("pages"))
+    places = counted.filter("subtree is not null").groupBy("host", "subtree").agg(F.count_distinct("place").alias("places"), F.count_distinct("page").alias("on")).filter(F.col("places") >= least)
+    return places.join(sizes, "host").filter(F.col("on") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = LEAST_PLACES, share: float = LEAST_SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
