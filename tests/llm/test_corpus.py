@@ -375,6 +375,17 @@ def test_templates_of_hosts_with_many_copies(spark):
     assert found[200] == found[300] == "Read our newest posts own text 0" and found[229] == "own text 29"
 
 
+def test_templates_are_counted_over_whole_pages(spark):
+    nav, foot = "<nav><a>Home</a><a>News</a></nav>", "<footer>All rights reserved</footer>"
+    rows = [(k, "http://a.org/", f"<html><body>{nav}<div class=ad>once {k}</div><article><p>own text {k}</p></article>{foot}</body></html>") for k in range(8)]
+    pages = with_key(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id")
+    page = html_extract.Page(rows[0][2])
+    by_tag = dict(zip(page.tags, page.hashes))
+    [(host, templates)] = [tuple(r) for r in html_extract.site_templates(pages).collect()]
+    assert host == "a.org" and {bytes(t) for t in templates} == {by_tag["nav"], by_tag["footer"]}
+    assert {r.text for r in html_extract.main_text(pages).collect()} == {f"own text {k}" for k in range(8)}
+
+
 def test_warc_round_trip(spark):
     rows = [(k, f"http://Www.Ex{k % 3}.org:80/p?q={k}#f", f"<p>{k % 7} é 😀") for k in range(60)] + [(100, None, None), (101, "x y\r\nz", ""), (102, "http://a/\tb", "\r\n\r\n" * 9), (None, "http://n", "<p>3 é 😀"), (5, "http://twice", "<p>z")]
     pages = with_key(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), "page_id")

@@ -178,9 +178,9 @@ class Page:
         self.gone = gone
 
     def subtrees(self) -> set[tuple[bytes, bytes]]:
-        """(hash, hash of the parent) of the subtrees with text that may be templates."""
+        """(hash, hash of the parent) of all subtrees with text but those that hold the article, whatever rules say of them."""
         keep = ("html", "body", "main", "article")
-        return {(self.hashes[e], self.hashes[self.parents[e]]) for e in range(1, len(self.tags)) if self.hashes[e] and not self.gone[e] and self.inside[e] and e not in self.around and self.tags[e] not in keep}
+        return {(self.hashes[e], self.hashes[self.parents[e]]) for e in range(1, len(self.tags)) if self.hashes[e] and e not in self.around and self.tags[e] not in keep}
 
     def identity(self) -> bytes:
         """A hash of the page's main elements, or of all of it where there is none; copies of an article have the same."""
@@ -247,18 +247,20 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     size of its pages.
     """
     rows = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(subtree_batches, "host string, subtree binary, place binary, page binary")
-    counted = durable(rows.distinct())
-    sizes = counted.filter("subtree is null").groupBy("host").agg(F.count("*").alias("pages"))
-    places = counted.filter("subtree is not null").groupBy("host", "subtree").agg(F.count_distinct("place").alias("places"), F.count_distinct("page").alias("on")).filter(F.col("places") >= least)
+    counted = rows.groupBy("host", "subtree").agg(F.count_distinct("place").alias("places"), F.count_distinct("page").alias("on"))
+    counted = durable(counted.filter(F.col("subtree").isNull() | (F.col("places") >= least)))
+    sizes = counted.filter("subtree is null").select("host", F.col("on").alias("pages"))
+    places = counted.filter("subtree is not null")
     return places.join(sizes, "host").filter(F.col("on") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = LEAST_PLACES, share: float = LEAST_SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
     """(KEY, text, and the columns `keep`) of `pages` (with KEY).
 
-    Kept is what stands in `article` and `main` elements, or in the body where there is none, without
-    navigation, headers, footers, asides, forms, scripts and the like by tag, role, class or id, and
-    without the templates of the page's host. Null and empty pages have an empty text.
+    Removed are the templates of the page's host, which are looked for in the whole page. For what does not
+    recur, as on small hosts, rules supplement them: kept is what stands in `article` and `main` elements, or
+    in the body where there is none, without navigation, headers, footers, asides, forms, scripts and the
+    like by tag, role, class or id. Null and empty pages have an empty text.
     """
     found = durable(site_templates(pages, url_col, html_col, least, share))
     size = found.agg(F.coalesce(F.sum(F.size("templates") * 8 + F.length("host")), F.lit(0))).first()[0]
