@@ -3,16 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that `spark.checkpoint.dir` names, with its lineage cut.
+def durable_folder(spark: SparkSession) -> str:
+    """The shared folder that `spark.checkpoint.dir` names.
 
-    A temporary folder is made only where the session names none, as in tests.
+    A temporary one is made only where none is set and the session runs on one machine, as in tests; on
+    a cluster, whose machines share no temporary folder, that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again, so that its lineage is cut and its
+    readers take the columns they use."""
+    path = f"{durable_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` cut off by a checkpoint: for rows whose columns may be of types that Parquet can't store."""
+    durable_folder(df.sparkSession)
     return df.checkpoint(eager=True)
