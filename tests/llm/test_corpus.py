@@ -17,8 +17,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from whygraph.llm import chat, components, decontaminate, exact_dedup, html_extract, lm, mixing, ngram_join, pii, quality, warc
+from whygraph.llm import chat, decontaminate, exact_dedup, html_extract, lm, mixing, ngram_join, pii, quality, warc
 from whygraph.llm.common import KEY, with_key
+from whygraph.operators import components
 
 SCHEMA = "doc_id long, text string, source string, n_words long, score double, kept boolean, name string, id long, h long, i int"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})

@@ -1,11 +1,14 @@
-"""What the corpus operators share: reading tables, row keys, durable intermediate results."""
+"""What the corpus operators share: reading tables, row keys, selections of rows."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from ..durable import checkpointed, durable, durable_folder
+
+__all__ = ["KEY", "checkpointed", "durable", "durable_folder", "free_name", "table", "unique_rows", "with_key"]
 
 #: Name of the key that `with_key` adds; the prefix keeps clear of users' own columns.
 KEY = "__wg_key"
@@ -15,30 +18,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, `spark.checkpoint.dir`; a temporary one is made only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's shared folder, with its lineage cut."""
-    durable_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with `mix_` before it as often as it takes to differ from all of `taken`, whatever their case."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name = f"mix_{name}"
+    return name
 
 
 def with_key(rows: DataFrame, id_col: str) -> DataFrame:
     """`rows` with a column KEY that differs in every row.
 
-    That is the id where ids are whole and unique. Otherwise rows are numbered in the order they are
-    read, and written once, so that every later reader sees the same numbers.
+    That is the id where ids are integers, not null and unique. Otherwise, as with text ids, rows are
+    numbered from 0 in the order of their id (null first) and content, so that the numbers do not hang on
+    how rows are dealt to files and tasks; which of two wholly equal rows comes first does not matter. The
+    numbered rows are written once, so that every later reader sees the same numbers.
+    """
+    if isinstance(rows.schema[id_col].dataType, IntegralType):
+        odd = rows.groupBy(F.col(id_col).alias("id")).count().filter("id is null or count > 1").limit(1)
+        if odd.isEmpty():
+            return rows.withColumn(KEY, F.col(id_col).cast("long"))
+    return numbered(rows, id_col)
+
+
+def numbered(rows: DataFrame, id_col: str) -> DataFrame:
+    """`rows` with KEY, their place in the order of id and content.
+
+    Content is compared by its hash, then by itself; columns that have no order (maps) are left out. The
+    last column of the order only deals equal rows to several tasks. The driver gets one count a task.
     """
-    odd = rows.groupBy(F.col(id_col).alias("id")).count().filter("id is null or count > 1").limit(1)
-    if odd.isEmpty():
-        return rows.withColumn(KEY, F.col(id_col).cast("long"))
-    return durable(rows.withColumn(KEY, F.monotonically_increasing_id()))
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind and kind != "void"]
+    hashed, place = f"{KEY}_hash", f"{KEY}_place"
+    ranked = rows.withColumn(hashed, F.xxhash64(*plain)).withColumn(place, F.monotonically_increasing_id())
+    order = [id_col, hashed, *plain, place]
+    ordered = ranked.repartitionByRange(*order).sortWithinPartitions(*order).drop(hashed, place)
+    placed = checkpointed(ordered.withColumn(KEY, F.monotonically_increasing_id()))
+    task = F.shiftright(KEY, 33)
+    before, offsets = 0, []
+    for t, n in sorted(placed.groupBy(task.alias("task")).count().collect()):
+        offsets.append((t, before - (t << 33)))
+        before += n
+    shift = placed.sparkSession.createDataFrame(offsets, f"{KEY}_task long, {KEY}_shift long")
+    joined = placed.join(F.broadcast(shift), task == F.col(f"{KEY}_task"))
+    return joined.select(*rows.columns, (F.col(KEY) + F.col(f"{KEY}_shift")).alias(KEY))
 
 
 def unique_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, table, with_key
+from .common import KEY, durable, free_name, table, with_key
 
 #: Weights of the sources in the order of their names, repeated as often as needed.
 WEIGHTS = (5, 2, 1)
@@ -121,12 +121,16 @@ def mix(sizes: DataFrame, targets: DataFrame, most: int = MOST, seed: int = 7, l
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of `docs` that the mix takes, with `copies` and `taken` (copies times words)."""
+    """The rows of `docs` that the mix takes, with `copies` and `taken` (copies times words).
+
+    Where `docs` has columns of these names, they stay, and the mix's are called `mix_copies` and `mix_taken`.
+    """
     keyed = with_key(docs, id_col)
     sizes = durable(sized(keyed, text_col, source_col))
-    share = mix(sizes, source_targets(sizes)).filter("copies > 0").select(KEY, F.col("copies").alias("__wg_copies"), F.col("size").alias("__wg_size"))
+    share = mix(sizes, source_targets(sizes)).filter("copies > 0").select(KEY, F.col("copies").alias(f"{KEY}_copies"), F.col("size").alias(f"{KEY}_size"))
     rows = keyed.join(share, KEY)
-    return rows.select(*[rows[c] for c in docs.columns], F.col("__wg_copies").alias("copies"), (F.col("__wg_copies") * F.col("__wg_size")).alias("taken"))
+    copies, taken = (free_name(n, docs.columns) for n in ("copies", "taken"))
+    return rows.select(*[rows[c] for c in docs.columns], F.col(f"{KEY}_copies").alias(copies), (F.col(f"{KEY}_copies") * F.col(f"{KEY}_size")).alias(taken))
 
 
 def op5_mixing(spark, sf_dir):

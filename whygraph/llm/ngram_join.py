@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import KEY, durable, table, unique_rows, with_key
-from .components import components
 from .words import ALNUM, U, grams, mixed, powers, slices, word_hashes
 
 #: Words of a gram and least similarity of a link.
