@@ -224,7 +224,7 @@ def strict(text):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         out.append((m.start(), 0, m.end()))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(x) <= 255 for x in m[0].split(".")):
+        if all(int(x.lstrip("0")[:4] or "0") <= 255 for x in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub(r"\D", "", m[0])
@@ -246,6 +246,7 @@ def test_strict_spans_equal_the_patterns():
 
 def test_personal_data(spark):
     texts = [None, "", "mail joe@example.com now", "call tel (743) 555-3824 or joe [at] example [dot] com", "+1 (743) 555-3824 " * 40, "é 😀 10.0.0.1", "9" * 20000, "@" * 20000, "token = 4111111111111111"]
+    texts += ["0" * 5000 + "1.2.3.4", "1." + "0" * 9000 + "2.3.4", "1.2.3." + "9" * 6000, "10.2." + "0" * 5000 + "255.0", "1.2.3.256", "+1" + "0" * 9000, "+1 " * 5000 + "2", "4111-" * 6000 + "1"]
     texts += [f"write mail u{k}@mail{k}.com, tel +1 (743) 555-38{k:02d} and ip 10.2.3.{k}" for k in range(30)]
     docs = with_key(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id")
     found = {r[KEY]: r for r in pii.personal_data(docs).collect()}
@@ -255,6 +256,7 @@ def test_personal_data(spark):
         assert found[k].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(found[k].spans.split(","))
         assert [found[k][f"n_{x}"] for x in pii.KINDS] == [sum(y == i for _, y, _ in spans) for i in range(4)]
+        assert found[k].n_spans == len(list(filter(None, found[k].spans.split(","))))
     assert "phone:9:23" in found[3].spans and "email" in found[3].spans
 
 

@@ -61,6 +61,12 @@ def digits_of(text: str) -> str:
     return re.sub("[^0-9]", "", text)
 
 
+def octet(digits: str) -> bool:
+    """Whether a run of digits is at most 255; the run may be of any length, so it is never made a number whole."""
+    value = digits.lstrip("0")
+    return len(value) < 3 or len(value) == 3 and value <= "255"
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """The leftmost non-overlapping emails: each `@` with the run before it and a domain after it."""
     done, at = 0, text.find("@")
@@ -78,7 +84,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def strict_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the spans that the fixed patterns and their checks accept, in order."""
     found = [(s, 0, e) for s, e in emails(text)]
-    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
+    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
     found += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 14 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
     found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(digits_of(m[0])) <= 15]
     return sorted(found)
@@ -109,9 +115,9 @@ def votes(text: str, start: int, kind: int, end: int, strict: bool) -> tuple[int
         check = 1 if ".." not in span else -1
     elif kind == 1:
         parts = span.split(".")
-        shape = 1 if len(parts) == 4 and all(x == str(int(x)) for x in parts) or ":" in span else -1
+        shape = 1 if len(parts) == 4 and all(x == "0" or x[0] != "0" for x in parts) or ":" in span else -1
         gazetteer = -1 if span.startswith(("0.", "255.")) else 1
-        check = 1 if ":" in span or all(int(x) <= 255 for x in parts) else -1
+        check = 1 if ":" in span or all(map(octet, parts)) else -1
     elif kind == 2:
         shape = 1 if re.fullmatch(r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}", span) else -1
         gazetteer = 1 if digits.startswith(ISSUERS) else -1
@@ -212,7 +218,7 @@ def learned(texts: DataFrame) -> tuple[SpanClassifier | None, Reliabilities | No
     return SpanClassifier(patterns, found.truth, n), found
 
 
-SPANS = f"{KEY} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SPANS = f"{KEY} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def joined(spans) -> str:
@@ -238,15 +244,15 @@ def span_batches(model):
                     if known[pattern]:
                         more.append((s, k, e))
                 kinds = Counter(k for _, k, _ in base)
-                out.append((key, *(kinds[i] for i in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
-            kinds = (pa.int64(),) * 5 + (pa.string(),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, kinds, strict=True)], [KEY, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                out.append((key, *(kinds[i] for i in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(base) + len(more)))
+            kinds = (*(pa.int64(),) * 5, pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, kinds, strict=True)], [KEY, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return find
 
 
 def personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """SPANS of `docs` (with KEY): counts of strict spans, their digest, and all spans found.
+    """SPANS of `docs` (with KEY): counts of strict spans, their digest, all spans found and their number.
 
     Strict spans are always kept; spans of wider forms are added where the classifier finds them
     likelier true than not. Null and empty texts have no spans.
@@ -258,6 +264,7 @@ def personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op4_pii(spark, sf_dir):
+    """The spans of every document; n_spans counts those that the classifier added, too."""
     docs = with_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     found = personal_data(docs).join(docs.select(KEY, "doc_id"), KEY)
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
