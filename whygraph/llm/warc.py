@@ -10,7 +10,7 @@ import math
 import re
 import uuid
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import KEY, durable, durable_folder, table, with_key
 
-#: Lines of a compressed index block, and captures of an index part (one file).
-BLOCK_LINES, PART_LINES = 1000, 16_000
+#: Lines of a compressed index block, least captures of an index part (one file), and most parts.
+BLOCK_LINES, PART_LINES, MOST_PARTS = 1000, 16_000, 65_536
+#: Bytes of archives that one task reads back.
+READ_BYTES = 64_000_000
 #: Revisits of up to this many bytes are broadcast to the writers; more are joined by a shuffle.
 BROADCAST_BYTES = 16_000_000
 #: Payloads shorter than this are always stored whole.
@@ -30,7 +32,7 @@ LEAST_PAYLOAD = 0
 DATE = "2024-01-01T00:00:00Z"
 CAPTURES = "capture string, file string, start long, length long"
 DIRECTORY = "part int, first string, file string, start long, length long"
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+READ = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -58,7 +60,7 @@ def record_id(key: int) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(b'page %d' % key).digest())}>"
 
 
-def warc_record(key: int, page_id: int | None, url: str | None, payload: bytes, digest: str, source_key: int | None, source_id: int | None) -> bytes:
+def warc_record(key: int, page_id: str | None, url: str | None, payload: bytes, digest: str, source_key: int | None, source_id: str | None) -> bytes:
     """A response record with the payload, or a revisit record without it if there is a source."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if source_key is not None else http + payload
@@ -66,11 +68,11 @@ def warc_record(key: int, page_id: int | None, url: str | None, payload: bytes,
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe="%/:=&?~#+!$,;'@()*[]")}")
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        head.append(f"X-Page-ID: {quote(page_id)}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if source_key is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(source_key)}"]
-        head += [f"X-Refers-To-Page-ID: {source_id}"] if source_id is not None else []
+        head += [f"X-Refers-To-Page-ID: {quote(source_id)}"] if source_id is not None else []
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -200,10 +202,10 @@ def read_batches(folder: str):
                     payload = block.partition(b"\r\n\r\n")[2]
                     if (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()) != (size, digest):
                         raise ValueError(f"{file} is damaged at {start}")
-                ids = [int(headers[k]) if k in headers else None for k in ("X-Page-ID", "X-Refers-To-Page-ID")]
+                ids = [unquote(headers[k]) if k in headers else None for k in ("X-Page-ID", "X-Refers-To-Page-ID")]
                 out.append((ids[0], size, digest, headers["WARC-Type"], ids[1]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     return read
 
@@ -219,56 +221,64 @@ def new_folder(spark) -> str:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_PAYLOAD) -> DataFrame:
     """Writes a record for each of `pages` (with KEY) into archives in `folder`; returns CAPTURES.
 
-    Of equal payloads of at least `least` bytes the one with the largest id (null ids lowest) is a
-    response, the others revisit it. Only digests are shuffled; payloads go from the scan to the file.
+    Of equal payloads of at least `least` bytes the one with the largest id (null ids lowest; text ids in
+    the order of text) is a response, the others revisit it; null html is an empty payload. Records carry
+    the ids as text. Only digests are shuffled; payloads go from the scan to the file.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     slim = durable(pages.select(KEY, F.col(id_col).alias("id"), F.length(payload).alias("bytes"), base32_sha1(payload).alias("digest")))
     last = F.max(F.struct(F.col("id").isNotNull().alias("some"), F.col("id").alias("id"), F.col(KEY).alias("key"))).alias("last")
     groups = slim.filter(F.col("bytes") >= least).groupBy("digest", "bytes").agg(last, F.count("*").alias("n")).filter("n > 1")
     revisits = slim.join(groups, ["digest", "bytes"]).filter(F.col(KEY) != F.col("last.key"))
-    revisits = durable(revisits.select(KEY, F.col("last.key").alias("source_key"), F.col("last.id").alias("source_id")))
+    revisits = durable(revisits.select(KEY, F.col("last.key").alias("source_key"), F.col("last.id").cast("string").alias("source_id")))
     if revisits.count() * 24 <= BROADCAST_BYTES:
         revisits = F.broadcast(revisits)
-    rows = pages.join(revisits, KEY, "left").select(KEY, F.col(id_col).cast("long"), F.col(url_col).cast("string"), payload.alias("payload"), base32_sha1(payload).alias("digest"), "source_key", "source_id")
+    rows = pages.join(revisits, KEY, "left").select(KEY, F.col(id_col).cast("string"), F.col(url_col).cast("string"), payload.alias("payload"), base32_sha1(payload).alias("digest"), "source_key", "source_id")
     return durable(rows.mapInArrow(write_batches(folder), CAPTURES))
 
 
 class CaptureIndex:
     """Two levels: sorted capture lines in compressed blocks, and a sparse directory of their first keys.
 
-    Captures are sorted over the cluster into parts of about PART_LINES. The driver keeps only the first
-    key of each part; directories are looked up where the queries of their part are.
+    Captures are sorted over the cluster into parts of at least `part_lines`; parts grow with the table
+    once there are MOST_PARTS of them, so that the driver, which keeps the first key of each part, never
+    keeps more. Directories are looked up where the queries of their part are.
     """
 
     def __init__(self, captures: DataFrame, folder: str, lines: int = BLOCK_LINES, part_lines: int = PART_LINES):
         self.folder = folder
-        parts = max(1, math.ceil(captures.count() / part_lines))
+        parts = max(1, min(MOST_PARTS, math.ceil(captures.count() / part_lines)))
         ordered = captures.repartitionByRange(parts, "capture").sortWithinPartitions("capture")
         ordered = ordered.select(F.spark_partition_id().alias("part"), "capture", "file", "start", "length")
         self.directory = durable(ordered.mapInArrow(index_batches(folder, lines), DIRECTORY))
         firsts = self.directory.groupBy("part").agg(F.min("first").alias("first")).orderBy("first").collect()
-        self.firsts, self.parts = [r["first"] for r in firsts], [r["part"] for r in firsts]
+        self.parts = [(r["first"], r["part"]) for r in firsts]
 
     def locate(self, queries: DataFrame) -> DataFrame:
         """CAPTURES of the `queries` (capture) that are in the index."""
-        firsts, parts = self.firsts, self.parts
+        starts = queries.sparkSession.sparkContext.broadcast(self.parts)
 
         def route(batches):
+            firsts, parts = [x for x, _ in starts.value], [x for _, x in starts.value]
             for batch in batches:
                 captures = batch.column(0)
                 at = [max(0, bisect.bisect_right(firsts, c) - 1) for c in captures.to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([parts[i] for i in at], pa.int32()), captures], ["part", "capture"])
 
-        if not parts:
+        if not self.parts:
             return queries.sparkSession.createDataFrame([], CAPTURES)
         routed = queries.mapInArrow(route, "part int, capture string")
         return routed.groupBy("part").cogroup(self.directory.groupBy("part")).applyInPandas(locate_in(self.folder), CAPTURES)
 
 
-def read_captures(located: DataFrame, folder: str) -> DataFrame:
-    """READ of located captures; each file is opened by one task, which reads its ranges in order."""
-    ordered = located.repartition("file").sortWithinPartitions("file", "start")
+def read_captures(located: DataFrame, folder: str, task_bytes: int = READ_BYTES) -> DataFrame:
+    """READ of `located` captures, in tasks of about `task_bytes` of archive, at least as many as archives.
+
+    Each task has a run of captures in the order of files and places, so it reads ahead in few files.
+    """
+    files, size = located.agg(F.count_distinct("file"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, files, math.ceil(size / task_bytes))
+    ordered = located.repartitionByRange(tasks, "file", "start").sortWithinPartitions("file", "start")
     return ordered.select("file", "start", "length").mapInArrow(read_batches(folder), READ)
 
 
@@ -279,10 +289,25 @@ def query_batches(batches):
 
 
 def op8_warc(spark, sf_dir):
+    """Every page written as a record, found in the index by its URL and key, and read back by its range."""
     pages = with_key(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
     folder = new_folder(spark)
     index = CaptureIndex(write_archives(pages, folder), folder)
     queries = pages.select(KEY, "url").mapInArrow(query_batches, "capture string")
-    return read_captures(durable(index.locate(queries)), folder)
-
-
+    found = read_captures(durable(index.locate(queries)), folder)
+    return found.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
+OP8_SQL = r"""
+WITH page AS (SELECT page_id, coalesce(html, '') AS payload FROM pages
+), named AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS last,
+         list_transform(generate_series(0, 3), lambda g: ('0x' || sha1(payload)[1 + 10 * g:10 + 10 * g])::BIGINT) AS parts
+  FROM page
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(generate_series(0, 31), lambda d: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((parts[1 + d // 8] >> (35 - 5 * (d % 8))) & 31)]), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM named
+"""
