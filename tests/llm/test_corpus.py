@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from whygraph.llm import chat, decontaminate, exact_dedup, html_extract, lm, mixing, ngram_join, pii, quality, warc
+from whygraph.llm import words as words_module
 from whygraph.llm.common import KEY, with_key
 from whygraph.operators import components
 
@@ -291,18 +292,60 @@ def test_quality(spark, docs):
     assert [r.score for r in untrained] == [0.5]
 
 
-def test_lm_scores(spark, docs):
-    found = collected(lm.lm_scores(docs), docs)
-    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
+def form(word):
+    """The bin of a word: its kind of letters, then its length in bytes, two lengths a class."""
+    kind = 3 if any(48 <= c <= 57 for c in word) else 2 if any(c < 128 and not 97 <= c <= 122 for c in word) else 1 if any(c >= 128 for c in word) else 0
+    return kind * 8 + min((len(word) - 1) // 2, 7)
+
+
+def plain_log10(model, vocab, symbol, before):
+    """The log10 probability of one symbol, by sums over all classes and all words of its class."""
+    width = model.width
+    guess = [1.0 * sum(float(model.r[v][k]) * float(model.a[i * width + k][j]) for i, v in enumerate(before) for k in range(width)) for j in range(width)] + [1.0]
+    score = lambda row: math.exp(sum(float(x) * g for x, g in zip(row, guess, strict=True)))
+    rank = symbol - 33
+    c = symbol if rank < 0 else 33 + math.isqrt(rank)
+    out = math.log10(score(model.t[c]) / sum(map(score, model.t)))
+    if rank >= 0:
+        k = math.isqrt(rank)
+        out += math.log10(score(model.q[rank]) / sum(score(model.q[x]) for x in range(k * k, min((k + 1) ** 2, vocab.words))))
+    return out
+
+
+def test_lm_scores(spark, docs, monkeypatch):
+    kept = []
+    train = lm.trained
+    monkeypatch.setattr(lm, "trained", lambda symbols, vocab: kept.append((train(symbols, vocab), vocab)) or kept[0][0])
+    found = collected(lm.lm_scores(docs, frequent=20, least=2), docs)
+    model, vocab = kept[0]
+    split = lambda t: [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))] + [None]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     counts = Counter(w for r in found if not out(r.doc) for w in split(r.body))
     total, distinct = sum(counts.values()), len(counts)
     assert len(found) == docs.count()
+    hashes = {w: int(lm.tokens([w])[0][0]) for w in counts if w is not None}
+    own = sorted((-c, hashes[w] - (1 << 64 if hashes[w] >> 63 else 0), w) for w, c in counts.items() if w is not None and c >= 2)[:20]
+    symbol = {w: 33 + k for k, (_, _, w) in enumerate(own)} | {None: 0}
+    assert vocab.words == 20 and any(form(w) != form(b"abc") for w in counts if w is not None)
+    in_bin = defaultdict(list)
+    for w, c in counts.items():
+        if w not in symbol:
+            in_bin[form(w)].append(c)
     for r in found:
         w = split(r.body)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc), len(w), sum(counts[x] > 0 for x in w), total)
         assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in w))
         assert math.isfinite(r.score) and r.score < 0
+        if len(w) < 60:
+            s = [0, 0] + [symbol.get(x, 1 + form(x) if x else 0) for x in w]
+            plain = sum(plain_log10(model, vocab, s[k], (s[k - 1], s[k - 2])) for k in range(2, len(s)))
+            plain += sum(math.log10((counts[x] + 1) / (sum(in_bin[form(x)]) + len(in_bin[form(x)]) + 1)) for x in w if x not in symbol)
+            assert r.score == pytest.approx(plain, rel=1e-4, abs=1e-3)
+
+
+def vocabulary_of(counts):
+    """A Vocabulary of words with the given counts, most frequent first, in hash order."""
+    return lm.Vocabulary(np.arange(len(counts)).astype(np.uint64), 33 + np.arange(len(counts)), np.concatenate((np.ones(33, int), counts)), 33 + sum(counts), 33 + len(counts), np.ones(32, int))
 
 
 def test_log_bilinear_is_normalised_and_learns():
@@ -310,37 +353,56 @@ def test_log_bilinear_is_normalised_and_learns():
     w = np.zeros(60000, np.int64)
     for k in range(1, len(w)):
         w[k] = (w[k - 1] * 3 + 1) % 20 if draw.random() < 0.8 else draw.integers(0, 20)
-    noise = np.full(20, 0.05)
-    model = lm.LogBilinear(noise)
-    model.start(0)
+    w += 33
+    vocab = vocabulary_of(np.full(20, 3000))
+    model = lm.LogBilinear(vocab)
     before = lm.contexts(w, np.array([0, len(w)]))
+    model.prepared()
+    untrained = model.log_probability(w, before).mean()
+    model.start(0)
     for k in range(0, len(w) * 4, 1000):
         at = slice(k % len(w), k % len(w) + 1000)
         model.learn(w[at], [v[at] for v in before])
     model.prepared()
-    every = np.stack([model.log_probability(np.full(50, x), [v[:50] for v in before]) for x in range(20)])
+    every = np.stack([model.log_probability(np.full(50, x), [v[:50] for v in before]) for x in range(53)])
     assert np.exp(every).sum(axis=0) == pytest.approx(np.ones(50), abs=1e-4)
-    assert model.log_probability(w, before).mean() > math.log(0.05) + 0.5
+    assert model.log_probability(w, before).mean() > untrained + 0.5
+
+
+def test_large_scores_are_normalised_too():
+    guess, vectors = np.array([[200.0], [0.5]], np.float32), np.array([[1.0], [0.9]], np.float32)
+    assert lm.normaliser(guess, vectors) == pytest.approx([200.0, math.log(math.exp(0.5) + math.exp(0.45))])
 
 
 def test_every_training_token_is_a_target_once(monkeypatch):
     monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
     targets = []
     monkeypatch.setattr(lm.LogBilinear, "learn", lambda self, w, before: targets.extend(zip(w.tolist(), *[v.tolist() for v in before])))
-    texts = [" ".join(f"w{k}" for k in range(a, a + n)) for a, n in ((0, 300), (300, 1), (301, 0), (301, 40))] * 30
-    texts = [t.encode() for t in texts]
-    h, bounds = lm.tokens(texts)
-    known, counts = np.unique(h, return_counts=True)
-    classes = np.where(known == lm.END, 0, np.arange(len(known)) + 2)
-    vocab = lm.Vocabulary(known, counts, classes, np.full(len(known) + 3, 1 / (len(known) + 3)), len(h), len(known), 0, 0)
-    flat, used = lm.LogBilinear(vocab.noise).flat(), 0
+    draw = random.Random(3)
+    texts = [[draw.randrange(33, 80) for _ in range(n)] + [0] for n in (300, 1, 0, 40)] * 30
+    vocab = vocabulary_of(np.full(50, 9))
+    given = {n: getattr(lm.LogBilinear(vocab), n) for n in lm.LogBilinear.NAMES}
     for turn in range(lm.ROUNDS):
-        batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 50], pa.binary())], ["text"]) for i in range(0, len(texts), 50)]
-        for sums in lm.train_batches(types.SimpleNamespace(value=vocab), types.SimpleNamespace(value=flat), turn)(iter(batches)):
-            used += sums.column(1)[-1].as_py()
-    w = vocab.classes_of(vocab.find(h))
-    assert used == len(h)
-    assert Counter(targets) == Counter(zip(w.tolist(), *[v.tolist() for v in lm.contexts(w, bounds)]))
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 50], pa.list_(pa.int32()))], ["symbols"]) for i in range(0, len(texts), 50)]
+        list(lm.train_batches(types.SimpleNamespace(value=vocab), types.SimpleNamespace(value=given), turn)(iter(batches)))
+    expected = Counter()
+    for t in texts:
+        expected.update(zip(t, [0, *t[:-1]], [0, 0, *t[:-2]][: len(t)]))
+    assert Counter(targets) == expected
+
+
+def test_moves_are_means_weighted_by_learning():
+    frames = pd.DataFrame([{"part": "q", "block": 0, "task": k, "rows": np.array(rows), "weights": np.array(weights), "sums": np.array(sums, float).ravel()} for k, (rows, weights, sums) in enumerate([([1, 4], [2.0, 1.0], [[2, 4], [1, 1]]), ([4], [3.0], [[5, 7]])])])
+    out = lm.summed(frames).iloc[0]
+    assert (out["task"], out["rows"].tolist(), out["weights"].tolist(), out["sums"].tolist()) == (0, [1, 4], [2.0, 4.0], [2.0, 4.0, 6.0, 8.0])
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    texts = [b"one two " * 40, None, b"", b"x" * 500, b" ".join(b"w%d" % k for k in range(200)), b"y" * 90 + b" tail"]
+    whole = [words_module.word_hashes(texts, words_module.NOT_SPACE), lm.tokens(texts)]
+    monkeypatch.setattr(words_module, "PIECE", 64)
+    for a, b in zip(whole, [words_module.word_hashes(texts, words_module.NOT_SPACE), lm.tokens(texts)], strict=True):
+        assert all((x == y).all() for x, y in zip(a, b, strict=True))
 
 
 def test_html_main_text():

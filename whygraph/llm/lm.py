@@ -6,335 +6,487 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, durable, table, with_key
-from .words import NOT_SPACE, U, slices, word_hashes
+from .words import NOT_SPACE, U, by_pieces, slices, span_hashes, word_spans
 
-#: Words (the most frequent) whose counts are broadcast; the others are counted and joined in the cluster.
-FREQUENT = 1 << 16
-#: Classes of the model: the end, the most frequent words, and one class for all other words.
-CLASSES = 1024
+#: Words with a vector and a probability of their own: those that occur LEAST times, the most frequent first.
+FREQUENT, LEAST = 1 << 16, 5
+#: All other words are in bins by their form: kinds of letters, and classes of length.
+KINDS, LENGTHS = 4, 8
+BINS = KINDS * LENGTHS
 #: Size of a vector, and words of context.
 WIDTH, CONTEXT = 16, 2
-#: Noise words a step, tokens a step, step size.
-NOISE, STEP, RATE = 64, 4096, 0.15
+#: Noise classes a step, noise words a step and class, tokens a step, step size.
+NOISE, CLASS_NOISE, STEP, RATE = 32, 16, 1 << 15, 0.15
 #: Rounds of training; each one learns from every ROUNDS-th token of all training texts, all rounds from every token once.
 ROUNDS = 2
+#: Tokens that are scored at a time.
+RUN = 1 << 17
+#: Trained parameters come in blocks of this many rows, and of so many tasks at a time.
+ROWS, FAN_IN = 2048, 64
 
 END = np.uint64(0x5851F42D4C957F2D)
 
 
-def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds) of the tokens of texts: words between ASCII white space, A-Z lowered, then an end."""
-    words, bounds = word_hashes(texts, NOT_SPACE)
+def token_batch(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, bounds): hash `h` and `form` of the words of texts between ASCII white space, A-Z lowered."""
+    buf, starts, ends, bounds = word_spans(texts, NOT_SPACE)
+    out = np.empty(len(starts), [("h", U), ("form", np.int32)])
+    out["h"] = span_hashes(buf, starts, ends)
+    size = ends - starts
+    held = lambda inside: np.diff(np.concatenate(([0], np.cumsum(inside)))[np.stack((starts, ends))], axis=0)[0] > 0
+    letters, digits, high = (buf >= 0x61) & (buf <= 0x7A), (buf >= 0x30) & (buf <= 0x39), buf >= 0x80
+    kind = np.where(held(digits), 3, np.where(held(~(letters | high)), 2, np.where(held(high), 1, 0)))
+    out["form"] = kind * LENGTHS + np.minimum((size - 1) // 2, LENGTHS - 1)
+    return out, bounds
+
+
+def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, forms, bounds) of the tokens of texts: their words, then an end, whose form is -1."""
+    words, bounds = by_pieces(texts, NOT_SPACE, token_batch)
     ends = bounds[1:] + np.arange(len(texts))
-    out = np.full(len(words) + len(texts), END, U)
-    out[~np.isin(np.arange(len(out)), ends, assume_unique=True)] = words
-    return out, bounds + np.arange(len(texts) + 1)
+    h, form = np.full(len(words) + len(texts), END, U), np.full(len(words) + len(texts), -1, np.int32)
+    inside = np.ones(len(h), bool)
+    inside[ends] = False
+    h[inside], form[inside] = words["h"], words["form"]
+    return h, form, bounds + np.arange(len(texts) + 1)
 
 
 def count_batches(batches):
-    """A mapInArrow function over (text as bytes) that gives (h, c): counts of its tokens."""
+    """A mapInArrow function over (text as bytes) that gives (h, form, c): counts of its tokens."""
     held, n = [], 0
 
     def merged():
-        h = np.concatenate([x for x, _ in held])
-        found, at = np.unique(h, return_inverse=True)
-        counts = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+        h, form, c = (np.concatenate(x) for x in zip(*held))
+        found, first, at = np.unique(h, return_index=True, return_inverse=True)
         held.clear()
-        return found, counts
+        return found, form[first], np.bincount(at, c).astype(np.int64)
 
-    def batch(found, counts):
-        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["h", "c"])
+    def batch(h, form, c):
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(form), pa.array(c)], ["h", "form", "c"])
 
     for b in batches:
         for _, _, texts in slices(b.column(0)):
-            h, c = np.unique(tokens(texts)[0], return_counts=True)
-            held.append((h, c))
+            h, form, _ = tokens(texts)
+            h, first, c = np.unique(h, return_index=True, return_counts=True)
+            held.append((h, form[first], c))
             n += len(h)
             if n > 3_000_000:
-                found, counts = merged()
+                found = merged()
                 n = 0
-                if len(found) > 1_000_000:
-                    yield batch(found, counts)
+                if len(found[0]) > 1_000_000:
+                    yield batch(*found)
                 else:
-                    held.append((found, counts))
-                    n = len(found)
+                    held.append(found)
+                    n = len(found[0])
     if held:
         yield batch(*merged())
 
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the frequent tokens, with their counts and classes, and the totals of all tokens."""
+    """The model's symbols: 0 is the end, 1 to BINS the bins, then the words of their own by frequency.
+
+    `hashes` are those words' in order, with their `symbols`; `counts` has a count for each symbol. The
+    symbols are leaves of a tree: the end and each bin are a class of one, the word of rank r is in class
+    floor(sqrt(r)) of the others, so frequent words are in small classes and the classes grow with the
+    vocabulary as its square root.
+    """
 
     hashes: np.ndarray
+    symbols: np.ndarray
     counts: np.ndarray
-    classes: np.ndarray
-    noise: np.ndarray
     total: int
     distinct: int
-    rest_total: int
-    rest_distinct: int
+    bin_distinct: np.ndarray
+
+    def __post_init__(self):
+        self.words = len(self.hashes)
+        self.classes = 1 + BINS + math.ceil(math.sqrt(self.words))
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The place of each token among the frequent ones, or -1."""
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+    def find(self, h: np.ndarray, form: np.ndarray) -> np.ndarray:
+        """The symbol of each token."""
+        other = form + 1
+        if not self.words:
+            return other
+        at = np.minimum(np.searchsorted(self.hashes, h), self.words - 1)
+        return np.where(self.hashes[at] == h, self.symbols[at], other)
 
-    def classes_of(self, at: np.ndarray) -> np.ndarray:
-        """Classes of tokens found at `at`; 0 is the end, 1 any word without a class of its own."""
-        return np.where(at >= 0, self.classes[at], 1) if len(self.classes) else np.ones(len(at), np.int64)
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Add-one shares of the classes, and of the words in their class, for noise and to start from."""
+        by_class = np.bincount(class_of(np.arange(len(self.counts))), self.counts, minlength=self.classes)
+        words, of = self.counts[1 + BINS :] + 1.0, class_of(np.arange(1 + BINS, len(self.counts)))
+        return (by_class + 1) / (by_class + 1).sum(), words / np.bincount(of, words, minlength=self.classes)[of]
 
 
-def vocabulary(counts: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES) -> Vocabulary:
+def class_of(symbols: np.ndarray) -> np.ndarray:
+    """The class of each symbol."""
+    return np.where(symbols <= BINS, symbols, 1 + BINS + np.sqrt(np.maximum(symbols - 1 - BINS, 0)).astype(np.int64))
+
+
+def vocabulary(counts: DataFrame, frequent: int = FREQUENT, least: int = LEAST) -> Vocabulary:
+    """The Vocabulary of `counts` (h, form, c). The driver gets the frequent words and one row a bin."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toArrow()
-    h, c = top.column("h").to_numpy().view(U), top.column("c").to_numpy()
-    own = np.full(len(h), 1, np.int64)
-    words = np.flatnonzero(h != END)[: classes - 2]
-    own[words] = np.arange(len(words)) + 2
-    own[h == END] = 0
-    by_class = np.bincount(own, c, minlength=len(words) + 2) if len(h) else np.zeros(2)
-    by_class[1] = total - by_class.sum() + by_class[1]
+    words = counts.filter(F.col("form") >= 0)
+    top = words.filter(F.col("c") >= least).orderBy(F.desc("c"), "h").limit(frequent).toArrow()
+    h, c, form = top.column("h").to_numpy().view(U), top.column("c").to_numpy(), top.column("form").to_numpy()
+    held, kinds = np.zeros(1 + BINS, np.int64), np.zeros(1 + BINS, np.int64)
+    for r in counts.groupBy("form").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        held[r.form + 1], kinds[r.form + 1] = r.c, r.n
+    held[1:] -= np.bincount(form, c, minlength=BINS).astype(np.int64)
+    kinds[1:] -= np.bincount(form, minlength=BINS)
     order = np.argsort(h)
-    rest_distinct = distinct - int((own != 1).sum())
-    return Vocabulary(h[order], c[order], own[order], (by_class + 1) / (by_class + 1).sum(), total, distinct, int(by_class[1]), rest_distinct)
+    return Vocabulary(h[order], (1 + BINS + order).astype(np.int64), np.concatenate((held, c)), total, distinct, kinds[1:])
 
 
-class LogBilinear:
-    """P(w | v1, v2) is proportional to exp(q_w . (r_v1 A1 + r_v2 A2) + b_w), v1 being the word before w."""
+def added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, sums of their values, how often each occurs)."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return ordered[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(rows)))
 
-    def __init__(self, noise: np.ndarray, width: int = WIDTH, seed: int = 11):
-        draw, m = np.random.default_rng(seed), len(noise)
-        self.r = (draw.standard_normal((m, width)) * 0.3).astype(np.float32)
-        self.q = (draw.standard_normal((m, width)) * 0.05).astype(np.float32)
-        self.a = [np.eye(width, dtype=np.float32) / (i + 1) for i in range(CONTEXT)]
-        self.b = np.log(noise).astype(np.float32)
-        self.noise = noise
 
-    def parts(self) -> list[np.ndarray]:
-        return [self.r, self.q, *self.a, self.b]
+class LogBilinear:
+    """P(w | v1, v2) = P(class of w | v1, v2) P(w | its class, v1, v2), v1 being the symbol before w.
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.parts()])
+    Each factor is a softmax over scores that are linear in the guess g = (r_v1 A1 + r_v2 A2, 1): t_c . g
+    for the classes, q_w . g for the words of a class. A symbol alone in its class has the second factor 1.
+    Both factors are trained by noise-contrastive estimation with Adagrad.
+    """
 
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for x in self.parts():
-            x[...] = flat[at : at + x.size].reshape(x.shape)
-            at += x.size
+    NAMES = ("r", "q", "t", "a")
+
+    def __init__(self, vocab: Vocabulary, width: int = WIDTH, seed: int = 11):
+        draw = np.random.default_rng(seed)
+        self.words, self.classes, self.width = vocab.words, vocab.classes, width
+        self.class_share, self.word_share = vocab.shares()
+        self.log_class, self.log_word = np.log(self.class_share).astype(np.float32), np.log(self.word_share).astype(np.float32)
+        normal = lambda n, scale: (draw.standard_normal((n, width)) * scale).astype(np.float32)
+        self.r = normal(1 + BINS + self.words, 0.3)
+        self.q = np.column_stack((normal(self.words, 0.05), self.log_word))
+        self.t = np.column_stack((normal(self.classes, 0.05), self.log_class))
+        self.a = np.concatenate([np.eye(width, dtype=np.float32) / (i + 1) for i in range(CONTEXT)])
+
+    def ranks(self, ordered: np.ndarray):
+        """(first rank, last rank, first place, last place) of the classes of words in `ordered` symbols."""
+        edges = np.square(np.arange(self.classes - BINS))
+        places = np.searchsorted(ordered, 1 + BINS + edges)
+        for k in np.flatnonzero(np.diff(places)):
+            yield int(edges[k]), min(int(edges[k + 1]), self.words), int(places[k]), int(places[k + 1])
+
+    def start(self, seed: int, rate: float = RATE) -> None:
+        """Begins a task's training: `touched` counts how often each row of each part has learned."""
+        self.squares = {n: np.ones_like(getattr(self, n)) for n in self.NAMES}
+        self.touched = {n: np.zeros(len(getattr(self, n)), np.float32) for n in self.NAMES}
+        self.draw, self.rate = np.random.default_rng(seed), rate
+        self.class_sums, self.word_sums = np.cumsum(self.class_share), np.cumsum(self.word_share)
+
+    def move(self, name: str, rows, slope: np.ndarray, times) -> None:
+        """One Adagrad step of some rows (or all) of a part."""
+        squares = self.squares[name][rows] + slope * slope
+        self.squares[name][rows] = squares
+        getattr(self, name)[rows] += self.rate * slope / np.sqrt(squares)
+        self.touched[name][rows] += times
 
-    def start(self, seed: int) -> None:
-        self.squares = [np.full(x.shape, 1e-3, np.float32) for x in self.parts()]
-        self.draw = np.random.default_rng(seed)
-        self.cumulative = np.cumsum(self.noise)
+    @staticmethod
+    def contrast(guess, own, log_own, other, log_other):
+        """(error of the real ones, errors of the noise ones): how far each is from being told apart."""
+        log_k = np.float32(math.log(len(other)))
+        real = np.einsum("td,td->t", guess, own) - (log_own + log_k)
+        fake = guess @ other.T
+        fake -= log_other + log_k
+        with np.errstate(over="ignore"):
+            np.exp(-fake, out=fake)
+            fake += 1
+            np.divide(np.float32(-1), fake, out=fake)
+            return 1 / (1 + np.exp(real)), fake
 
     def learn(self, w: np.ndarray, before: list[np.ndarray]) -> None:
-        """One step of noise-contrastive estimation by Adagrad, with noise words shared by the step's tokens."""
-        n, k = len(w), NOISE
-        noise = np.minimum(np.searchsorted(self.cumulative, self.draw.random(k) * self.cumulative[-1]), len(self.noise) - 1)
-        log_noise = np.log(k * self.noise).astype(np.float32)
-        vectors = [self.r[v] for v in before]
-        guess = sum(x @ a for x, a in zip(vectors, self.a, strict=True))
-        real = (guess * self.q[w]).sum(axis=1) + self.b[w] - log_noise[w]
-        fake = guess @ self.q[noise].T + self.b[noise] - log_noise[noise]
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
-        g_guess = up[:, None] * self.q[w] + down @ self.q[noise]
-        g_r, g_q, g_b = np.zeros_like(self.r), np.zeros_like(self.q), np.zeros_like(self.b)
-        self.add(g_q, w, up[:, None] * guess)
-        np.add.at(g_q, noise, down.T @ guess)
-        g_b += np.bincount(w, up, minlength=len(g_b)).astype(np.float32)
-        np.add.at(g_b, noise, down.sum(axis=0))
-        g_a = []
-        for v, x, a in zip(before, vectors, self.a, strict=True):
-            self.add(g_r, v, g_guess @ a.T)
-            g_a.append(x.T @ g_guess)
-        for x, g, s in zip(self.parts(), [g_r, g_q, *g_a, g_b], self.squares, strict=True):
-            g /= n
-            s += g * g
-            x += RATE * g / np.sqrt(s)
-
-    @staticmethod
-    def add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-        """to[rows] += values, where rows may repeat."""
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        to[ordered[first]] += np.add.reduceat(values[order], first, axis=0)
+        """One step of noise-contrastive estimation, with noise shared by the step's tokens of a class."""
+        order = np.argsort(w, kind="stable")
+        w, before, width = w[order], [v[order] for v in before], self.width
+        guess = np.ones((len(w), width + 1), np.float32)
+        guess[:, :width] = sum(self.r[v] @ self.a[i * width : (i + 1) * width] for i, v in enumerate(before))
+        c = class_of(w)
+        noise = np.minimum(np.searchsorted(self.class_sums, self.draw.random(NOISE) * self.class_sums[-1]), self.classes - 1)
+        up, down = self.contrast(guess, self.t[c], self.log_class[c], self.t[noise], self.log_class[noise])
+        back = up[:, None] * self.t[c] + down @ self.t[noise]
+        rows, slopes = [c, noise], [up[:, None] * guess, down.T @ guess]
+        at, moves, times = added(np.concatenate(rows), np.concatenate(slopes))
+        rows, slopes = [], []
+        for first, last, lo, hi in self.ranks(w):
+            # `word_sums` grows by 1 from class to class.
+            draws = self.draw.random(CLASS_NOISE) + (self.word_sums[first - 1] if first else 0.0)
+            noise = np.minimum(first + np.searchsorted(self.word_sums[first:last], draws), last - 1)
+            ranks, g, other = w[lo:hi] - (1 + BINS), guess[lo:hi], self.q[noise]
+            own = self.q[ranks]
+            up, down = self.contrast(g, own, self.log_word[ranks], other, self.log_word[noise])
+            up = up[:, None]
+            back[lo:hi] += up * own + down @ other
+            rows += (ranks, noise)
+            slopes += (up * g, down.T @ g)
+        self.move("t", at, moves, times)
+        if rows:
+            self.move("q", *added(np.concatenate(rows), np.concatenate(slopes)))
+        back = back[:, :width]
+        slope, slopes = np.empty_like(self.a), []
+        for i, v in enumerate(before):
+            a = slice(i * width, (i + 1) * width)
+            slope[a] = self.r[v].T @ back
+            slopes.append(back @ self.a[a].T)
+        self.move("r", *added(np.concatenate(before), np.concatenate(slopes)))
+        self.move("a", slice(None), slope, 1.0)
 
     def prepared(self) -> None:
-        self.by_place = [(self.r @ a).astype(np.float32) for a in self.a]
-        self.norm = np.full(len(self.b) ** 2, np.nan, np.float32)
+        """Makes what scoring uses: the vectors of all symbols in each place of the context."""
+        self.by_place = []
+        for i in range(CONTEXT):
+            moved = np.full((len(self.r), self.width + 1), 1.0 / CONTEXT, np.float32)
+            moved[:, :-1] = self.r @ self.a[i * self.width : (i + 1) * self.width]
+            self.by_place.append(moved)
 
     def log_probability(self, w: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
-        """Natural logarithms of the normalised probabilities of tokens.
-
-        The normaliser depends on the context only; those of new contexts are computed by one product
-        of matrices for some thousands of contexts at a time, and kept.
-        """
-        m = len(self.b)
-        context = before[0] * m + before[1]
-        new = np.unique(context)
-        new = new[np.isnan(self.norm[new])]
-        for i in range(0, len(new), 2048):
-            some = new[i : i + 2048]
-            scores = (self.by_place[0][some // m] + self.by_place[1][some % m]) @ self.q.T + self.b
-            top = scores.max(axis=1)
-            self.norm[some] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-        guess = self.by_place[0][before[0]] + self.by_place[1][before[1]]
-        return np.einsum("td,td->t", guess, self.q[w]) + self.b[w] - self.norm[context]
-
-
-def contexts(classes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """Classes of the last and the last but one token before each token; before a text stands an end."""
-    owner_start = np.repeat(bounds[:-1], np.diff(bounds))
-    place = np.arange(len(classes)) - owner_start
+        """Natural logarithms of the normalised probabilities of symbols, by products of matrices."""
+        out = np.empty(len(w), np.float32)
+        for i in range(0, len(w), RUN):
+            part = slice(i, i + RUN)
+            out[part] = self._log_probability(w[part], [v[part] for v in before])
+        return out
+
+    def _log_probability(self, w: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+        order = np.argsort(w, kind="stable")
+        ordered = w[order]
+        guess = sum(x[v[order]] for x, v in zip(self.by_place, before, strict=True))
+        out = np.einsum("td,td->t", guess, self.t[class_of(ordered)])
+        for lo in range(0, len(w), 2048):
+            out[lo : lo + 2048] -= normaliser(guess[lo : lo + 2048], self.t)
+        for first, last, begin, end in self.ranks(ordered):
+            out[begin:end] += np.einsum("td,td->t", guess[begin:end], self.q[ordered[begin:end] - (1 + BINS)])
+            for lo in range(begin, end, 2048):
+                out[lo : min(lo + 2048, end)] -= normaliser(guess[lo : min(lo + 2048, end)], self.q[first:last])
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+
+def normaliser(guess: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum over `vectors` of the exponential of their product with each guess."""
+    scores = guess @ vectors.T
+    with np.errstate(over="ignore"):
+        total = np.log(np.exp(scores) @ np.ones(len(vectors), np.float32))
+    if not np.isfinite(total).all():
+        top = scores.max(axis=1)
+        total = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    return total
+
+
+def contexts(symbols: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The last and the last but one symbol before each; before a text stands an end."""
+    place = np.arange(len(symbols)) - np.repeat(bounds[:-1], np.diff(bounds))
     out = []
     for back in range(1, CONTEXT + 1):
-        shifted = np.zeros(len(classes), np.int64)
-        shifted[back:] = classes[:-back] if len(classes) > back else classes[:0]
+        shifted = np.zeros(len(symbols), symbols.dtype)
+        shifted[back:] = symbols[:-back] if len(symbols) > back else symbols[:0]
         out.append(np.where(place >= back, shifted, 0))
     return out
 
 
-def train_batches(shared, flat, turn: int):
-    """A mapInArrow function over (text as bytes): learns from its tokens, gives sums of weighted parameters."""
+def runs(column: pa.Array, most: int = RUN):
+    """(first, end, symbols, bounds) of runs of about `most` symbols of an Arrow list column, at least one row each."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, side="right")) - 1)
+        yield begin, end, values[offsets[begin] : offsets[end]].astype(np.int64), offsets[begin : end + 1] - offsets[begin]
+        begin = end
+
+
+LEARNED = "part string, block int, task int, rows array<int>, weights array<float>, sums array<float>"
+
+
+def learned_batch(part: str, block: int, task: int, rows: np.ndarray, weights: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    one = lambda x, kind: pa.array([x], pa.list_(kind))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part]), pa.array([block], pa.int32()), pa.array([task], pa.int32()), one(rows, pa.int32()), one(weights, pa.float32()), one(sums.ravel(), pa.float32())],
+        ["part", "block", "task", "rows", "weights", "sums"],
+    )
+
+
+def train_batches(shared, given, turn: int):
+    """A mapInArrow function over (symbols) that learns from its texts and gives LEARNED: what moved, weighted."""
 
     def train(batches):
         from pyspark import TaskContext
 
-        vocab, model, used = shared.value, LogBilinear(shared.value.noise), 0
-        model.load(flat.value)
-        model.start(turn * 1_000_003 + TaskContext.get().partitionId())
+        task = TaskContext.get().partitionId()
+        model = LogBilinear(shared.value)
+        for n, x in given.value.items():
+            getattr(model, n)[...] = x
+        model.start(turn * 1_000_003 + task, RATE / (1 + turn))
         pool: list[list[np.ndarray]] = []
+        held = used = 0
         for batch in batches:
-            for _, _, texts in slices(batch.column(0)):
-                h, bounds = tokens(texts)
-                w = vocab.classes_of(vocab.find(h))
+            for _, _, w, bounds in runs(batch.column(0)):
                 some = slice(turn, None, ROUNDS)
                 pool.append([x[some] for x in (w, *contexts(w, bounds))])
-                if sum(len(x[0]) for x in pool) >= STEP or not pool:
-                    w, *before = map(np.concatenate, zip(*pool))
-                    pool.clear()
-                    mixed = model.draw.permutation(len(w))
-                    for i in range(0, len(w), STEP):
-                        pick = mixed[i : i + STEP]
-                        model.learn(w[pick], [v[pick] for v in before])
-                        used += len(pick)
-        if pool and sum(len(x[0]) for x in pool):
-            w, *before = map(np.concatenate, zip(*pool))
-            model.learn(w, before)
-            used += len(w)
+                held += len(pool[-1][0])
+                if held >= 4 * STEP:
+                    used += learn_from(model, pool)
+                    held = 0
+        if held:
+            used += learn_from(model, pool)
         if used:
-            values = np.append(model.flat().astype(float) * used, used)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["i", "value"])
+            for n in model.NAMES:
+                for first in range(0, len(model.touched[n]), ROWS):
+                    rows = first + np.flatnonzero(model.touched[n][first : first + ROWS])
+                    if len(rows):
+                        weights = model.touched[n][rows]
+                        yield learned_batch(n, first // ROWS, task, rows, weights, (getattr(model, n)[rows] - given.value[n][rows]) * weights[:, None])
 
     return train
 
 
-def trained(texts: DataFrame, vocab: Vocabulary) -> LogBilinear:
-    """A model learned from `texts` (text as bytes) in ROUNDS rounds.
+def learn_from(model: LogBilinear, pool: list[list[np.ndarray]]) -> int:
+    """Learns from the pooled tokens in steps, mixed; empties the pool and returns their number."""
+    w, *before = map(np.concatenate, zip(*pool))
+    pool.clear()
+    order = model.draw.permutation(len(w))
+    for i in range(0, len(w), STEP):
+        pick = order[i : i + STEP]
+        model.learn(w[pick], [v[pick] for v in before])
+    return len(w)
+
+
+def summed(frames: pd.DataFrame) -> pd.DataFrame:
+    """The LEARNED row that is the sum of some tasks' rows of one block."""
+    rows = np.concatenate(frames["rows"].tolist())
+    weights, sums = np.concatenate(frames["weights"].tolist()), np.concatenate(frames["sums"].tolist()).reshape(len(rows), -1)
+    rows, both, _ = added(rows, np.column_stack((weights, sums)))
+    one = frames.iloc[0]
+    return pd.DataFrame([{"part": one["part"], "block": one["block"], "task": one["task"] // FAN_IN, "rows": rows, "weights": both[:, 0], "sums": both[:, 1:].ravel()}])
+
+
+def trained(symbols: DataFrame, vocab: Vocabulary) -> LogBilinear:
+    """A model learned from `symbols` (symbols of a text).
 
-    In each round every partition starts from the same parameters and learns from its own texts; Spark
-    sums the results weighted by tokens. The driver gets one mean of parameters a round.
+    In each round every partition starts from the same parameters and learns from its own texts, in half
+    as long steps in the second round as in the first. Each row
+    of parameters then moves by the mean of its moves, weighted by how often it learned, so that a rare
+    word, seen by few partitions, learns in full. The means are summed in a tree of FAN_IN tasks a node;
+    the driver gets one set of parameters a round.
     """
-    context, model = texts.sparkSession.sparkContext, LogBilinear(vocab.noise)
+    context, model = symbols.sparkSession.sparkContext, LogBilinear(vocab)
     shared = context.broadcast(vocab)
     for turn in range(ROUNDS):
-        flat = context.broadcast(model.flat())
-        sums = texts.mapInArrow(train_batches(shared, flat, turn), "i int, value double").groupBy("i").agg(F.sum("value").alias("value")).toArrow()
-        if not sums.num_rows:
-            break
-        values = np.zeros(sums.num_rows)
-        values[sums.column("i").to_numpy()] = sums.column("value").to_numpy()
-        model.load((values[:-1] / values[-1]).astype(np.float32))
-        flat.unpersist()
+        given = context.broadcast({n: getattr(model, n) for n in model.NAMES})
+        moves, tasks = symbols.mapInArrow(train_batches(shared, given, turn), LEARNED), symbols.rdd.getNumPartitions()
+        while tasks:
+            moves = moves.groupBy("part", "block", F.floor(F.col("task") / FAN_IN)).applyInPandas(summed, LEARNED)
+            tasks = (tasks - 1) // FAN_IN
+        for r in moves.select("part", "rows", "weights", "sums").toArrow().to_pylist():
+            rows = np.array(r["rows"])
+            getattr(model, r["part"])[rows] += np.array(r["sums"], np.float32).reshape(len(rows), -1) / np.array(r["weights"], np.float32)[:, None]
+        given.unpersist()
     return model
 
 
-def rare_batches(shared):
-    """A mapInArrow function over (KEY, text as bytes) that gives (KEY, h, n) of tokens that aren't frequent."""
-
-    def rare(batches):
-        vocab = shared.value
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for lo, hi, texts in slices(batch.column(1)):
-                h, bounds = tokens(texts)
-                owner = np.repeat(np.arange(lo, hi), np.diff(bounds))
-                some = vocab.find(h) < 0
-                h, owner = h[some], owner[some]
-                order = np.lexsort((h, owner))
-                h, owner = h[order], owner[order]
-                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))) if len(h) else np.zeros(0, int)
-                n = np.diff(np.append(first, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[owner[first]]), pa.array(h[first].view(np.int64)), pa.array(n)], [KEY, "h", "n"])
-
-    return rare
-
+ENCODED = f"{KEY} long, n_tokens long, frequent long, log_counts double, bins array<int>, symbols array<int>, rare array<bigint>, times array<int>"
 
-SCORED = f"{KEY} long, n_tokens long, frequent long, log_counts double, rest long, rest_log_counts double, log_model double"
 
+def encode_batches(shared):
+    """A mapInArrow function over (KEY, text as bytes, others) that gives ENCODED and the others.
 
-def score_batches(shared, model):
-    """A mapInArrow function over (KEY, text as bytes) that gives SCORED: sums over each text's tokens."""
+    `frequent` and `log_counts` are the number of tokens with a symbol of their own and the sum of the log10
+    of their counts plus one; `bins` has the number of the others in each bin, `rare` their hashes and `times`.
+    """
 
-    def score(batches):
-        vocab, lm = shared.value, model.value
-        if not hasattr(lm, "norm"):
-            lm.prepared()
-        log_counts = np.log10(vocab.counts + 1.0)
+    def encode(batches):
+        vocab = shared.value
+        log = np.log10(vocab.counts + 1.0)
         for batch in batches:
-            keys = batch.column(0)
             for lo, hi, texts in slices(batch.column(1)):
-                h, bounds = tokens(texts)
-                at = vocab.find(h)
-                w = vocab.classes_of(at)
-                known = at >= 0
-                log = np.where(known, log_counts[at], 0.0) if len(log_counts) else np.zeros(len(at))
+                h, form, bounds = tokens(texts)
+                w = vocab.find(h, form)
+                known = (w == 0) | (w > BINS)
+                owner = np.repeat(np.arange(hi - lo), np.diff(bounds))
                 total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: B023, E731
-                rows = [np.diff(bounds), total(known.astype(np.int64)), total(log), total((w == 1).astype(np.int64)), total(np.where(w == 1, log, 0.0)), total(lm.log_probability(w, contexts(w, bounds)).astype(float)) / math.log(10)]
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), *map(pa.array, rows)], [KEY, "n_tokens", "frequent", "log_counts", "rest", "rest_log_counts", "log_model"])
+                bins = np.bincount(owner[~known] * BINS + w[~known] - 1, minlength=(hi - lo) * BINS).astype(np.int32)
+                rare, of = h[~known], owner[~known]
+                order = np.lexsort((rare, of))
+                rare, of = rare[order], of[order]
+                first = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])))) if len(rare) else np.zeros(0, np.int64)
+                at = pa.array(np.searchsorted(of[first], np.arange(hi - lo + 1)), pa.int32())
+                lists = lambda bounds, values: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+                rows = [
+                    batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(total(known.astype(np.int64))), pa.array(total(np.where(known, log[w], 0.0))),
+                    lists(np.arange(hi - lo + 1) * BINS, bins), lists(bounds, w.astype(np.int32)),
+                    pa.ListArray.from_arrays(at, pa.array(rare[first].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(np.diff(np.append(first, len(rare))).astype(np.int32))),
+                ]
+                others = [c.slice(lo, hi - lo) for c in batch.columns[2:]]
+                names = [KEY, "n_tokens", "frequent", "log_counts", "bins", "symbols", "rare", "times"]
+                yield pa.RecordBatch.from_arrays([*rows, *others], [*names, *batch.schema.names[2:]])
+
+    return encode
+
+
+def score_batches(model):
+    """A mapInArrow function over (KEY, symbols) that gives (KEY, log_model): log10 probabilities of the symbols of each text."""
+
+    def score(batches):
+        lm = model.value
+        lm.prepared()
+        for batch in batches:
+            keys, sums = batch.column(0), []
+            for _, _, w, bounds in runs(batch.column(1)):
+                sums.append(np.add.reduceat(lm.log_probability(w, contexts(w, bounds)).astype(float), bounds[:-1]) / math.log(10))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(sums) if sums else np.zeros(0))], [KEY, "log_model"])
 
     return score
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, least: int = LEAST) -> DataFrame:
     """KEY, id, held_out, n_tokens, n_known, train_tokens, base_score, score of `docs` (with KEY).
 
     A text's tokens are its words (null: none) and one end. Held out are the rows whose id as text has a
-    CRC-32 that leaves 2 when divided by 7; all others, null ids too, are learned from.
-
-    base_score is the log10 probability under add-one counts. score is that of the log-bilinear model
-    over classes; a word of the common class has, in it, its own add-one probability. Both are sums over
-    all tokens. Counts of the frequent words are broadcast; those of other words are joined by hash.
+    CRC-32 that leaves 2 when divided by 7; all others, null ids too, are learned from. With no training
+    rows every token is unknown, and the model is the one it starts from.
+
+    base_score is the log10 probability under add-one counts. score is that of the log-bilinear model, to
+    which all tokens go: those of their own words as such, all others as the bin of their form, in which a
+    word has its own add-one probability. Both are sums over all tokens. Texts are cut into words twice, to
+    count and to encode; training and scoring read the encoded texts. Counts of the frequent words are
+    broadcast; those of other words are joined by hash.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
-    ids = docs.select(KEY, F.col(id_col).alias("id"), held.alias("held_out"))
-    texts = docs.select(KEY, F.col(text_col).cast("binary").alias("text"))
-    learned = docs.filter(~held).select(F.col(text_col).cast("binary").alias("text"))
-    counts = durable(learned.mapInArrow(count_batches, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
-    vocab = vocabulary(counts)
-    model = spark.sparkContext.broadcast(trained(learned, vocab))
+    text = F.col(text_col).cast("binary").alias("text")
+    counts = docs.filter(~held).select(text).mapInArrow(count_batches, "h bigint, form int, c bigint")
+    counts = durable(counts.groupBy("h").agg(F.first("form").alias("form"), F.sum("c").alias("c")))
+    vocab = vocabulary(counts, frequent, least)
     shared = spark.sparkContext.broadcast(vocab)
-    rare = texts.mapInArrow(rare_batches(shared), f"{KEY} long, h bigint, n bigint")
-    seen = rare.join(counts, "h").groupBy(KEY).agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
-    scored = texts.mapInArrow(score_batches(shared, model), SCORED)
-    rows = scored.join(seen, KEY, "left").join(ids, KEY)
+    kind = docs.schema[id_col].dataType.simpleString()
+    encoded = docs.select(KEY, text, F.col(id_col).alias("id"), held.alias("held_out")).mapInArrow(encode_batches(shared), f"{ENCODED}, id {kind}, held_out boolean")
+    encoded = durable(encoded)
+    model = spark.sparkContext.broadcast(trained(encoded.filter("not held_out").select("symbols"), vocab))
+    rare = encoded.select(KEY, F.explode(F.arrays_zip("rare", "times")).alias("word")).select(KEY, F.col("word.rare").alias("h"), F.col("word.times").alias("n"))
+    seen = rare.join(counts.select("h", "c"), "h").groupBy(KEY).agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
+    scored = encoded.select(KEY, "symbols").mapInArrow(score_batches(model), f"{KEY} long, log_model double")
+    rows = encoded.select(KEY, "id", "held_out", "n_tokens", "frequent", "log_counts", "bins").join(scored, KEY).join(seen, KEY, "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     base = F.col("log_counts") + rare_log - F.col("n_tokens") * F.lit(math.log10(vocab.total + vocab.distinct + 1))
-    rest = F.col("rest_log_counts") + rare_log - F.col("rest") * F.lit(math.log10(vocab.rest_total + vocab.rest_distinct + 1))
-    return rows.select(KEY, "id", "held_out", "n_tokens", (F.col("frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("log_model") + rest).alias("score"))
+    shares = F.array(*[F.lit(math.log10(held + n + 1)) for held, n in zip(vocab.counts[1 : 1 + BINS].tolist(), vocab.bin_distinct.tolist(), strict=True)])
+    in_bins = rare_log - F.aggregate(F.arrays_zip(F.col("bins").alias("n"), shares.alias("log")), F.lit(0.0), lambda total, x: total + x["n"] * x["log"])
+    known = (F.col("frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known")
+    return rows.select(KEY, "id", "held_out", "n_tokens", known, F.lit(vocab.total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("log_model") + in_bins).alias("score"))
 
 
 def op10_lm_scoring(spark, sf_dir):
+    """Every document's base and model score, learned from the documents that are not held out."""
     docs = with_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return lm_scores(docs).select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -43,22 +43,68 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-def word_hashes(texts: list[bytes | None], word_bytes: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): the 64-bit hash of each word of all texts; text i has bounds[i]:bounds[i + 1].
-
-    The hash is a difference of prefix sums of a polynomial in the bytes, so its cost does not depend on
-    how many words there are.
-    """
+#: Bytes of texts that are hashed at a time; a longer text is cut between words.
+PIECE = 4_000_000
+
+
+def cut(text: bytes, word_bytes: np.ndarray, most: int) -> list[bytes]:
+    """`text` in pieces of at most `most` bytes, cut where no word is; one longer word stays in one piece."""
+    pieces, begin = [], 0
+    while len(text) - begin > most:
+        end = 0
+        for at in range(begin, len(text), most):
+            gaps = np.flatnonzero(~word_bytes[LOWER[np.frombuffer(text, np.uint8, min(most, len(text) - at), at)]])
+            if len(gaps):
+                end = at + int(gaps[-1] if at == begin else gaps[0]) + 1
+                break
+        if not end:
+            break
+        pieces.append(text[begin:end])
+        begin = end
+    return [*pieces, text[begin:]]
+
+
+def word_spans(texts: list[bytes | None], word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, bounds): the joined bytes of texts, A-Z lowered, and where their words are."""
     lengths = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
     at = np.concatenate(([0], np.cumsum(lengths)))
     buf = LOWER[np.frombuffer(b" ".join([t or b"" for t in texts]) + b" ", np.uint8)]
-    inside = word_bytes[buf]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    edges = np.flatnonzero(np.diff(word_bytes[buf], prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
+    return buf, starts, ends, np.searchsorted(starts, at)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each span of bytes.
+
+    It is a difference of prefix sums of a polynomial in the bytes, so its cost does not depend on how
+    many words there are.
+    """
     total = np.zeros(len(buf) + 1, U)
     np.cumsum((buf.astype(U) + U(1)) * powers(BASE, len(buf)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(INVERSE, len(buf) + 1)[starts]
-    return mixed(h), np.searchsorted(starts, at)
+    return mixed((total[ends] - total[starts]) * powers(INVERSE, len(buf) + 1)[starts])
+
+
+def by_pieces(texts: list[bytes | None], word_bytes: np.ndarray, of):
+    """(values, bounds): what `of` (texts) gives for texts, no more than PIECE bytes of a long one at a time."""
+    if sum(len(t) for t in texts if t) <= PIECE:
+        return of(texts)
+    values, bounds = [], [0]
+    for t in texts:
+        parts = [of([x])[0] for x in (cut(t, word_bytes, PIECE) if t else [t])]
+        values += parts
+        bounds.append(bounds[-1] + sum(map(len, parts)))
+    return np.concatenate(values), np.array(bounds)
+
+
+def word_hashes(texts: list[bytes | None], word_bytes: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the 64-bit hash of each word of all texts; text i has bounds[i]:bounds[i + 1]."""
+
+    def of(some):
+        buf, starts, ends, bounds = word_spans(some, word_bytes)
+        return span_hashes(buf, starts, ends), bounds
+
+    return by_pieces(texts, word_bytes, of)
 
 
 def grams(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
