@@ -316,7 +316,7 @@ def test_lm_scores(spark, docs, monkeypatch):
     kept = []
     train = lm.trained
     monkeypatch.setattr(lm, "trained", lambda symbols, vocab: kept.append((train(symbols, vocab), vocab)) or kept[0][0])
-    found = collected(lm.lm_scores(docs, frequent=20, least=2), docs)
+    found = collected(lm.lm_scores(docs, frequent=20, least=2, counted=50), docs)
     model, vocab = kept[0]
     split = lambda t: [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))] + [None]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -326,7 +326,7 @@ def test_lm_scores(spark, docs, monkeypatch):
     hashes = {w: int(lm.tokens([w])[0][0]) for w in counts if w is not None}
     own = sorted((-c, hashes[w] - (1 << 64 if hashes[w] >> 63 else 0), w) for w, c in counts.items() if w is not None and c >= 2)[:20]
     symbol = {w: 33 + k for k, (_, _, w) in enumerate(own)} | {None: 0}
-    assert vocab.words == 20 and any(form(w) != form(b"abc") for w in counts if w is not None)
+    assert vocab.words == 20 and len(vocab.more) == 30 and any(form(w) != form(b"abc") for w in counts if w is not None)
     in_bin = defaultdict(list)
     for w, c in counts.items():
         if w not in symbol:
@@ -370,8 +370,11 @@ def test_log_bilinear_is_normalised_and_learns():
 
 
 def test_large_scores_are_normalised_too():
-    guess, vectors = np.array([[200.0], [0.5]], np.float32), np.array([[1.0], [0.9]], np.float32)
-    assert lm.normaliser(guess, vectors) == pytest.approx([200.0, math.log(math.exp(0.5) + math.exp(0.45))])
+    model = lm.LogBilinear(vocabulary_of([5, 5]))
+    model.prepared()
+    out = np.zeros(2, np.float32)
+    model.normalise(out, np.array([[200.0], [0.5]], np.float32), np.array([[1.0], [0.9]], np.float32))
+    assert -out == pytest.approx([200.0, math.log(math.exp(0.5) + math.exp(0.45))])
 
 
 def test_every_training_token_is_a_target_once(monkeypatch):

@@ -16,13 +16,15 @@ from .words import NOT_SPACE, U, by_pieces, slices, span_hashes, word_spans
 
 #: Words with a vector and a probability of their own: those that occur LEAST times, the most frequent first.
 FREQUENT, LEAST = 1 << 16, 5
-#: All other words are in bins by their form: kinds of letters, and classes of length.
+#: Words whose counts are broadcast, most frequent first; those of other words are joined in the cluster.
+COUNTED = 1 << 18
+#: Words without a vector are in bins by their form: kinds of letters, and classes of length.
 KINDS, LENGTHS = 4, 8
 BINS = KINDS * LENGTHS
 #: Size of a vector, and words of context.
 WIDTH, CONTEXT = 16, 2
 #: Noise classes a step, noise words a step and class, tokens a step, step size.
-NOISE, CLASS_NOISE, STEP, RATE = 32, 16, 1 << 15, 0.15
+NOISE, CLASS_NOISE, STEP, RATE = 32, 16, 1 << 16, 0.15
 #: Rounds of training; each one learns from every ROUNDS-th token of all training texts, all rounds from every token once.
 ROUNDS = 2
 #: Tokens that are scored at a time.
@@ -92,6 +94,8 @@ def count_batches(batches):
 class Vocabulary:
     """The model's symbols: 0 is the end, 1 to BINS the bins, then the words of their own by frequency.
 
+    `more` are the sorted hashes of words without a symbol whose counts are known, too.
+
     `hashes` are those words' in order, with their `symbols`; `counts` has a count for each symbol. The
     symbols are leaves of a tree: the end and each bin are a class of one, the word of rank r is in class
     floor(sqrt(r)) of the others, so frequent words are in small classes and the classes grow with the
@@ -104,6 +108,8 @@ class Vocabulary:
     total: int
     distinct: int
     bin_distinct: np.ndarray
+    more: np.ndarray = np.zeros(0, U)
+    more_counts: np.ndarray = np.zeros(0, np.int64)
 
     def __post_init__(self):
         self.words = len(self.hashes)
@@ -129,27 +135,49 @@ def class_of(symbols: np.ndarray) -> np.ndarray:
     return np.where(symbols <= BINS, symbols, 1 + BINS + np.sqrt(np.maximum(symbols - 1 - BINS, 0)).astype(np.int64))
 
 
-def vocabulary(counts: DataFrame, frequent: int = FREQUENT, least: int = LEAST) -> Vocabulary:
-    """The Vocabulary of `counts` (h, form, c). The driver gets the frequent words and one row a bin."""
+def vocabulary(counts: DataFrame, frequent: int = FREQUENT, least: int = LEAST, counted: int = COUNTED) -> Vocabulary:
+    """The Vocabulary of `counts` (h, form, c). The driver gets `counted` words at most, and one row a bin."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words = counts.filter(F.col("form") >= 0)
-    top = words.filter(F.col("c") >= least).orderBy(F.desc("c"), "h").limit(frequent).toArrow()
+    top = counts.filter(F.col("form") >= 0).orderBy(F.desc("c"), "h").limit(max(frequent, counted)).toArrow()
     h, c, form = top.column("h").to_numpy().view(U), top.column("c").to_numpy(), top.column("form").to_numpy()
+    n = min(frequent, int((c >= least).sum()))
+    (h, more), (c, more_counts), form = np.split(h, [n]), np.split(c, [n]), form[:n]
     held, kinds = np.zeros(1 + BINS, np.int64), np.zeros(1 + BINS, np.int64)
     for r in counts.groupBy("form").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         held[r.form + 1], kinds[r.form + 1] = r.c, r.n
     held[1:] -= np.bincount(form, c, minlength=BINS).astype(np.int64)
     kinds[1:] -= np.bincount(form, minlength=BINS)
-    order = np.argsort(h)
-    return Vocabulary(h[order], (1 + BINS + order).astype(np.int64), np.concatenate((held, c)), total, distinct, kinds[1:])
+    order, others = np.argsort(h), np.argsort(more)
+    return Vocabulary(h[order], (1 + BINS + order).astype(np.int64), np.concatenate((held, c)), total, distinct, kinds[1:], more[others], more_counts[others])
+
+
+class Rooms:
+    """Memory that is used again for the large intermediate results of each step."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, rows: int, width: int) -> np.ndarray:
+        if name not in self.held or len(self.held[name]) < rows * width:
+            self.held[name] = np.empty(rows * width, np.float32)
+        return self.held[name][: rows * width].reshape(rows, width)
 
 
-def added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def added(rows: np.ndarray, values: np.ndarray, room: Rooms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows, sums of their values, how often each occurs)."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows)
     ordered = rows[order]
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    return ordered[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(rows)))
+    values = np.take(values, order, axis=0, out=room("ordered", *values.shape), mode="clip")
+    return ordered[first], np.add.reduceat(values, first, axis=0), np.diff(np.append(first, len(rows)))
+
+
+def told_apart(scores: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(scores)), in place."""
+    with np.errstate(over="ignore"):
+        np.exp(scores, out=scores)
+        scores += 1
+        return np.divide(np.float32(1), scores, out=scores)
 
 
 class LogBilinear:
@@ -184,7 +212,7 @@ class LogBilinear:
         """Begins a task's training: `touched` counts how often each row of each part has learned."""
         self.squares = {n: np.ones_like(getattr(self, n)) for n in self.NAMES}
         self.touched = {n: np.zeros(len(getattr(self, n)), np.float32) for n in self.NAMES}
-        self.draw, self.rate = np.random.default_rng(seed), rate
+        self.draw, self.rate, self.room = np.random.default_rng(seed), rate, Rooms()
         self.class_sums, self.word_sums = np.cumsum(self.class_share), np.cumsum(self.word_share)
 
     def move(self, name: str, rows, slope: np.ndarray, times) -> None:
@@ -194,58 +222,73 @@ class LogBilinear:
         getattr(self, name)[rows] += self.rate * slope / np.sqrt(squares)
         self.touched[name][rows] += times
 
-    @staticmethod
-    def contrast(guess, own, log_own, other, log_other):
-        """(error of the real ones, errors of the noise ones): how far each is from being told apart."""
-        log_k = np.float32(math.log(len(other)))
-        real = np.einsum("td,td->t", guess, own) - (log_own + log_k)
-        fake = guess @ other.T
-        fake -= log_other + log_k
-        with np.errstate(over="ignore"):
-            np.exp(-fake, out=fake)
-            fake += 1
-            np.divide(np.float32(-1), fake, out=fake)
-            return 1 / (1 + np.exp(real)), fake
-
     def learn(self, w: np.ndarray, before: list[np.ndarray]) -> None:
-        """One step of noise-contrastive estimation, with noise shared by the step's tokens of a class."""
-        order = np.argsort(w, kind="stable")
-        w, before, width = w[order], [v[order] for v in before], self.width
-        guess = np.ones((len(w), width + 1), np.float32)
-        guess[:, :width] = sum(self.r[v] @ self.a[i * width : (i + 1) * width] for i, v in enumerate(before))
+        """One step of noise-contrastive estimation, with noise shared by the step's tokens of a class.
+
+        Its slopes are of the log odds by which a real symbol or class is told from the noise; the logarithm
+        of the expected noise is taken off the last column of the vectors, which meets the guess's 1.
+        """
+        order = np.argsort(w)
+        w, before, width, room, n = w[order], [v[order] for v in before], self.width, self.room, len(w)
+        wide, places = width + 1, [slice(i * width, (i + 1) * width) for i in range(CONTEXT)]
+        vectors = [np.take(self.r, v, axis=0, out=room(f"vectors {i}", n, width), mode="clip") for i, v in enumerate(before)]
+        guess, back = room("guess", n, wide), room("back", n, wide)
+        guess[:, width] = 1
+        np.matmul(vectors[0], self.a[places[0]], out=guess[:, :width])
+        for x, a in zip(vectors[1:], places[1:], strict=True):
+            guess[:, :width] += np.matmul(x, self.a[a], out=room("turned", n, width))
+
         c = class_of(w)
         noise = np.minimum(np.searchsorted(self.class_sums, self.draw.random(NOISE) * self.class_sums[-1]), self.classes - 1)
-        up, down = self.contrast(guess, self.t[c], self.log_class[c], self.t[noise], self.log_class[noise])
-        back = up[:, None] * self.t[c] + down @ self.t[noise]
-        rows, slopes = [c, noise], [up[:, None] * guess, down.T @ guess]
-        at, moves, times = added(np.concatenate(rows), np.concatenate(slopes))
-        rows, slopes = [], []
-        for first, last, lo, hi in self.ranks(w):
+        own, other = np.take(self.t, c, axis=0, out=room("own", n, wide), mode="clip"), self.t[noise]
+        up = told_apart(np.einsum("td,td->t", guess, own) - (self.log_class[c] + math.log(NOISE)))[:, None]
+        less = other.copy()
+        less[:, width] -= self.log_class[noise] + math.log(NOISE)
+        down = told_apart(np.matmul(guess, -less.T, out=room("down", n, NOISE)))
+        slopes = room("slopes", n + NOISE, wide)
+        np.multiply(up, guess, out=slopes[:n])
+        np.matmul(-down.T, guess, out=slopes[n:])
+        np.multiply(up, own, out=back)
+        back -= np.matmul(down, other, out=room("own", n, wide))
+        self.move("t", *added(np.concatenate((c, noise)), slopes, room))
+
+        groups = list(self.ranks(w))
+        if groups:
+            begin = groups[0][2]
+            ranks, g, n_own, some = w[begin:] - (1 + BINS), guess[begin:], n - begin, len(groups)
             # `word_sums` grows by 1 from class to class.
-            draws = self.draw.random(CLASS_NOISE) + (self.word_sums[first - 1] if first else 0.0)
-            noise = np.minimum(first + np.searchsorted(self.word_sums[first:last], draws), last - 1)
-            ranks, g, other = w[lo:hi] - (1 + BINS), guess[lo:hi], self.q[noise]
-            own = self.q[ranks]
-            up, down = self.contrast(g, own, self.log_word[ranks], other, self.log_word[noise])
-            up = up[:, None]
-            back[lo:hi] += up * own + down @ other
-            rows += (ranks, noise)
-            slopes += (up * g, down.T @ g)
-        self.move("t", at, moves, times)
-        if rows:
-            self.move("q", *added(np.concatenate(rows), np.concatenate(slopes)))
-        back = back[:, :width]
-        slope, slopes = np.empty_like(self.a), []
-        for i, v in enumerate(before):
-            a = slice(i * width, (i + 1) * width)
-            slope[a] = self.r[v].T @ back
-            slopes.append(back @ self.a[a].T)
-        self.move("r", *added(np.concatenate(before), np.concatenate(slopes)))
+            draws = np.array([math.isqrt(first) for first, *_ in groups])[:, None] + self.draw.random((some, CLASS_NOISE))
+            firsts, lasts = (np.array([x[i] for x in groups])[:, None] for i in (0, 1))
+            noise = np.clip(np.searchsorted(self.word_sums, draws), firsts, lasts - 1)
+            own, other = np.take(self.q, ranks, axis=0, out=room("own", n_own, wide), mode="clip"), self.q[noise]
+            up = told_apart(np.einsum("td,td->t", g, own) - (self.log_word[ranks] + math.log(CLASS_NOISE)))[:, None]
+            less = -other
+            less[:, :, width] += self.log_word[noise] + math.log(CLASS_NOISE)
+            down, slopes = room("down", n_own, CLASS_NOISE), room("slopes", n_own + noise.size, wide)
+            for k, (_, _, lo, hi) in enumerate(groups):
+                np.matmul(guess[lo:hi], less[k].T, out=down[lo - begin : hi - begin])
+            down = told_apart(down)
+            np.multiply(up, g, out=slopes[:n_own])
+            for k, (_, _, lo, hi) in enumerate(groups):
+                mine = down[lo - begin : hi - begin]
+                np.matmul(mine.T, guess[lo:hi], out=slopes[n_own + k * CLASS_NOISE : n_own + (k + 1) * CLASS_NOISE])
+                back[lo:hi] -= mine @ other[k]
+            np.negative(slopes[n_own:], out=slopes[n_own:])
+            own *= up
+            back[begin:] += own
+            self.move("q", *added(np.concatenate((ranks, noise.ravel())), slopes, room))
+
+        slope, slopes = np.empty_like(self.a), room("slopes", n * CONTEXT, width)
+        back = np.ascontiguousarray(back[:, :width])
+        for i, (x, a) in enumerate(zip(vectors, places, strict=True)):
+            np.matmul(x.T, back, out=slope[a])
+            np.matmul(back, self.a[a].T, out=slopes[i * n : (i + 1) * n])
+        self.move("r", *added(np.concatenate(before), slopes, room))
         self.move("a", slice(None), slope, 1.0)
 
     def prepared(self) -> None:
         """Makes what scoring uses: the vectors of all symbols in each place of the context."""
-        self.by_place = []
+        self.by_place, self.room = [], Rooms()
         for i in range(CONTEXT):
             moved = np.full((len(self.r), self.width + 1), 1.0 / CONTEXT, np.float32)
             moved[:, :-1] = self.r @ self.a[i * self.width : (i + 1) * self.width]
@@ -260,30 +303,38 @@ class LogBilinear:
         return out
 
     def _log_probability(self, w: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
-        order = np.argsort(w, kind="stable")
-        ordered = w[order]
-        guess = sum(x[v[order]] for x, v in zip(self.by_place, before, strict=True))
-        out = np.einsum("td,td->t", guess, self.t[class_of(ordered)])
-        for lo in range(0, len(w), 2048):
-            out[lo : lo + 2048] -= normaliser(guess[lo : lo + 2048], self.t)
-        for first, last, begin, end in self.ranks(ordered):
-            out[begin:end] += np.einsum("td,td->t", guess[begin:end], self.q[ordered[begin:end] - (1 + BINS)])
-            for lo in range(begin, end, 2048):
-                out[lo : min(lo + 2048, end)] -= normaliser(guess[lo : min(lo + 2048, end)], self.q[first:last])
+        order, wide = np.argsort(w), self.width + 1
+        ordered, room = w[order], self.room
+        guess = np.take(self.by_place[0], before[0][order], axis=0, out=room("guess", len(w), wide), mode="clip")
+        for x, v in zip(self.by_place[1:], before[1:], strict=True):
+            guess += np.take(x, v[order], axis=0, out=room("own", len(w), wide), mode="clip")
+        own = np.take(self.t, class_of(ordered), axis=0, out=room("own", len(w), wide), mode="clip")
+        out = np.einsum("td,td->t", guess, own)
+        self.normalise(out, guess, self.t)
+        groups = list(self.ranks(ordered))
+        if groups:
+            begin = groups[0][2]
+            own = np.take(self.q, ordered[begin:] - (1 + BINS), axis=0, out=room("own", len(w) - begin, wide), mode="clip")
+            out[begin:] += np.einsum("td,td->t", guess[begin:], own)
+        for first, last, begin, end in groups:
+            self.normalise(out[begin:end], guess[begin:end], self.q[first:last])
         back = np.empty_like(out)
         back[order] = out
         return back
 
-
-def normaliser(guess: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum over `vectors` of the exponential of their product with each guess."""
-    scores = guess @ vectors.T
-    with np.errstate(over="ignore"):
-        total = np.log(np.exp(scores) @ np.ones(len(vectors), np.float32))
-    if not np.isfinite(total).all():
-        top = scores.max(axis=1)
-        total = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-    return total
+    def normalise(self, out: np.ndarray, guess: np.ndarray, vectors: np.ndarray, rows: int = 512) -> None:
+        """Takes from `out` the logarithm of the sum over `vectors` of the exponential of their product with each guess."""
+        ones, turned = np.ones(len(vectors), np.float32), np.ascontiguousarray(vectors.T)
+        for lo in range(0, len(guess), rows):
+            g = guess[lo : lo + rows]
+            scores = np.matmul(g, turned, out=self.room("scores", len(g), len(vectors)))
+            with np.errstate(over="ignore", divide="ignore"):
+                total = np.log(np.exp(scores, out=scores) @ ones)
+            if not np.isfinite(total).all():
+                scores = np.matmul(g, turned, out=scores)
+                top = scores.max(axis=1)
+                total = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+            out[lo : lo + rows] -= total
 
 
 def contexts(symbols: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -336,7 +387,7 @@ def train_batches(shared, given, turn: int):
                 some = slice(turn, None, ROUNDS)
                 pool.append([x[some] for x in (w, *contexts(w, bounds))])
                 held += len(pool[-1][0])
-                if held >= 4 * STEP:
+                if held >= 2 * STEP:
                     used += learn_from(model, pool)
                     held = 0
         if held:
@@ -367,7 +418,7 @@ def summed(frames: pd.DataFrame) -> pd.DataFrame:
     """The LEARNED row that is the sum of some tasks' rows of one block."""
     rows = np.concatenate(frames["rows"].tolist())
     weights, sums = np.concatenate(frames["weights"].tolist()), np.concatenate(frames["sums"].tolist()).reshape(len(rows), -1)
-    rows, both, _ = added(rows, np.column_stack((weights, sums)))
+    rows, both, _ = added(rows, np.column_stack((weights, sums)).astype(np.float32), Rooms())
     one = frames.iloc[0]
     return pd.DataFrame([{"part": one["part"], "block": one["block"], "task": one["task"] // FAN_IN, "rows": rows, "weights": both[:, 0], "sums": both[:, 1:].ravel()}])
 
@@ -396,61 +447,71 @@ def trained(symbols: DataFrame, vocab: Vocabulary) -> LogBilinear:
     return model
 
 
-ENCODED = f"{KEY} long, n_tokens long, frequent long, log_counts double, bins array<int>, symbols array<int>, rare array<bigint>, times array<int>"
+ENCODED = f"{KEY} long, symbols array<int>, more long, more_log double, rare array<bigint>, times array<int>"
 
 
 def encode_batches(shared):
     """A mapInArrow function over (KEY, text as bytes, others) that gives ENCODED and the others.
 
-    `frequent` and `log_counts` are the number of tokens with a symbol of their own and the sum of the log10
-    of their counts plus one; `bins` has the number of the others in each bin, `rare` their hashes and `times`.
+    Of the words in bins, `more` have a known count, and `more_log` is the sum of the log10 of these plus
+    one; `rare` are the hashes of the others, `times` how often each occurs.
     """
 
     def encode(batches):
         vocab = shared.value
-        log = np.log10(vocab.counts + 1.0)
+        log = np.log10(vocab.more_counts + 1.0)
         for batch in batches:
             for lo, hi, texts in slices(batch.column(1)):
                 h, form, bounds = tokens(texts)
                 w = vocab.find(h, form)
-                known = (w == 0) | (w > BINS)
-                owner = np.repeat(np.arange(hi - lo), np.diff(bounds))
-                total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: B023, E731
-                bins = np.bincount(owner[~known] * BINS + w[~known] - 1, minlength=(hi - lo) * BINS).astype(np.int32)
-                rare, of = h[~known], owner[~known]
+                binned = (w > 0) & (w <= BINS)
+                rare, of = h[binned], np.repeat(np.arange(hi - lo), np.diff(bounds))[binned]
+                at = np.minimum(np.searchsorted(vocab.more, rare), max(0, len(vocab.more) - 1))
+                known = vocab.more[at] == rare if len(vocab.more) else np.zeros(len(rare), bool)
+                more, more_log = np.bincount(of[known], minlength=hi - lo), np.bincount(of[known], log[at[known]], minlength=hi - lo)
+                rare, of = rare[~known], of[~known]
                 order = np.lexsort((rare, of))
                 rare, of = rare[order], of[order]
                 first = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])))) if len(rare) else np.zeros(0, np.int64)
-                at = pa.array(np.searchsorted(of[first], np.arange(hi - lo + 1)), pa.int32())
+                at = np.searchsorted(of[first], np.arange(hi - lo + 1))
                 lists = lambda bounds, values: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
-                rows = [
-                    batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(total(known.astype(np.int64))), pa.array(total(np.where(known, log[w], 0.0))),
-                    lists(np.arange(hi - lo + 1) * BINS, bins), lists(bounds, w.astype(np.int32)),
-                    pa.ListArray.from_arrays(at, pa.array(rare[first].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(np.diff(np.append(first, len(rare))).astype(np.int32))),
-                ]
-                others = [c.slice(lo, hi - lo) for c in batch.columns[2:]]
-                names = [KEY, "n_tokens", "frequent", "log_counts", "bins", "symbols", "rare", "times"]
-                yield pa.RecordBatch.from_arrays([*rows, *others], [*names, *batch.schema.names[2:]])
+                rows = [lists(bounds, w.astype(np.int32)), pa.array(more), pa.array(more_log.astype(float)), lists(at, rare[first].view(np.int64)), lists(at, np.diff(np.append(first, len(rare))).astype(np.int32))]
+                some = [c.slice(lo, hi - lo) for c in (batch.column(0), *batch.columns[2:])]
+                yield pa.RecordBatch.from_arrays([some[0], *rows, *some[1:]], [KEY, "symbols", "more", "more_log", "rare", "times", *batch.schema.names[2:]])
 
     return encode
 
 
-def score_batches(model):
-    """A mapInArrow function over (KEY, symbols) that gives (KEY, log_model): log10 probabilities of the symbols of each text."""
+SCORED = f"{KEY} long, n_tokens long, frequent long, log_counts double, log_model double"
+
+
+def score_batches(shared, model):
+    """A mapInArrow function over (KEY, symbols, others) that gives SCORED and the others.
+
+    `frequent` and `log_counts` are the number of tokens with a symbol of their own and the sum of the
+    log10 of their counts plus one; `log_model` is the log10 probability of the symbols, less, for each
+    word in a bin, the log10 of the bin's add-one total.
+    """
 
     def score(batches):
-        lm = model.value
+        vocab, lm = shared.value, model.value
         lm.prepared()
+        own = np.concatenate(([1], np.zeros(BINS, np.int64), np.ones(vocab.words, np.int64)))
+        log = own * np.log10(vocab.counts + 1.0)
+        within = np.zeros(len(own))
+        within[1 : 1 + BINS] = np.log10(vocab.counts[1 : 1 + BINS] + vocab.bin_distinct + 1)
         for batch in batches:
-            keys, sums = batch.column(0), []
-            for _, _, w, bounds in runs(batch.column(1)):
-                sums.append(np.add.reduceat(lm.log_probability(w, contexts(w, bounds)).astype(float), bounds[:-1]) / math.log(10))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(sums) if sums else np.zeros(0))], [KEY, "log_model"])
+            for lo, hi, w, bounds in runs(batch.column(1)):
+                total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: B023, E731
+                found = lm.log_probability(w, contexts(w, bounds)).astype(float) / math.log(10) - within[w]
+                rows = [np.diff(bounds).astype(np.int64), total(own[w]), total(log[w]), total(found)]
+                some = [c.slice(lo, hi - lo) for c in (batch.column(0), *batch.columns[2:])]
+                yield pa.RecordBatch.from_arrays([some[0], *map(pa.array, rows), *some[1:]], [KEY, "n_tokens", "frequent", "log_counts", "log_model", *batch.schema.names[2:]])
 
     return score
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, least: int = LEAST) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, least: int = LEAST, counted: int = COUNTED) -> DataFrame:
     """KEY, id, held_out, n_tokens, n_known, train_tokens, base_score, score of `docs` (with KEY).
 
     A text's tokens are its words (null: none) and one end. Held out are the rows whose id as text has a
@@ -468,7 +529,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     text = F.col(text_col).cast("binary").alias("text")
     counts = docs.filter(~held).select(text).mapInArrow(count_batches, "h bigint, form int, c bigint")
     counts = durable(counts.groupBy("h").agg(F.first("form").alias("form"), F.sum("c").alias("c")))
-    vocab = vocabulary(counts, frequent, least)
+    vocab = vocabulary(counts, frequent, least, counted)
     shared = spark.sparkContext.broadcast(vocab)
     kind = docs.schema[id_col].dataType.simpleString()
     encoded = docs.select(KEY, text, F.col(id_col).alias("id"), held.alias("held_out")).mapInArrow(encode_batches(shared), f"{ENCODED}, id {kind}, held_out boolean")
@@ -476,14 +537,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     model = spark.sparkContext.broadcast(trained(encoded.filter("not held_out").select("symbols"), vocab))
     rare = encoded.select(KEY, F.explode(F.arrays_zip("rare", "times")).alias("word")).select(KEY, F.col("word.rare").alias("h"), F.col("word.times").alias("n"))
     seen = rare.join(counts.select("h", "c"), "h").groupBy(KEY).agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
-    scored = encoded.select(KEY, "symbols").mapInArrow(score_batches(model), f"{KEY} long, log_model double")
-    rows = encoded.select(KEY, "id", "held_out", "n_tokens", "frequent", "log_counts", "bins").join(scored, KEY).join(seen, KEY, "left")
-    rare_log = F.coalesce("rare_log", F.lit(0.0))
+    scored = encoded.select(KEY, "symbols", "more", "more_log", "id", "held_out").mapInArrow(score_batches(shared, model), f"{SCORED}, more long, more_log double, id {kind}, held_out boolean")
+    rows = scored.join(seen, KEY, "left")
+    rare_log = F.col("more_log") + F.coalesce("rare_log", F.lit(0.0))
     base = F.col("log_counts") + rare_log - F.col("n_tokens") * F.lit(math.log10(vocab.total + vocab.distinct + 1))
-    shares = F.array(*[F.lit(math.log10(held + n + 1)) for held, n in zip(vocab.counts[1 : 1 + BINS].tolist(), vocab.bin_distinct.tolist(), strict=True)])
-    in_bins = rare_log - F.aggregate(F.arrays_zip(F.col("bins").alias("n"), shares.alias("log")), F.lit(0.0), lambda total, x: total + x["n"] * x["log"])
-    known = (F.col("frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known")
-    return rows.select(KEY, "id", "held_out", "n_tokens", known, F.lit(vocab.total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("log_model") + in_bins).alias("score"))
+    known = (F.col("frequent") + F.col("more") + F.coalesce("rare_known", F.lit(0))).alias("n_known")
+    return rows.select(KEY, "id", "held_out", "n_tokens", known, F.lit(vocab.total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("log_model") + rare_log).alias("score"))
 
 
 def op10_lm_scoring(spark, sf_dir):
