@@ -345,7 +345,7 @@ def test_lm_scores(spark, docs, monkeypatch):
 
 def vocabulary_of(counts):
     """A Vocabulary of words with the given counts, most frequent first, in hash order."""
-    return lm.Vocabulary(np.arange(len(counts)).astype(np.uint64), 33 + np.arange(len(counts)), np.concatenate((np.ones(33, int), counts)), 33 + sum(counts), 33 + len(counts), np.ones(32, int))
+    return lm.Vocabulary(np.arange(len(counts)).astype(np.uint64), 33 + np.arange(len(counts)), np.concatenate((np.ones(33, int), counts)), 33 + sum(counts), 33 + len(counts), np.ones(32, int), np.zeros(0, np.uint64), np.zeros(0, int))
 
 
 def test_log_bilinear_is_normalised_and_learns():

@@ -108,8 +108,8 @@ class Vocabulary:
     total: int
     distinct: int
     bin_distinct: np.ndarray
-    more: np.ndarray = np.zeros(0, U)
-    more_counts: np.ndarray = np.zeros(0, np.int64)
+    more: np.ndarray
+    more_counts: np.ndarray
 
     def __post_init__(self):
         self.words = len(self.hashes)
