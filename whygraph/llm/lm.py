@@ -136,10 +136,23 @@ def class_of(symbols: np.ndarray) -> np.ndarray:
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT, least: int = LEAST, counted: int = COUNTED) -> Vocabulary:
-    """The Vocabulary of `counts` (h, form, c). The driver gets `counted` words at most, and one row a bin."""
+    """The Vocabulary of `counts` (h, form, c).
+
+    The words are those above a least count, or level of counts beyond 4,096, that at most `counted` words
+    reach; no task has to sort them all. The driver gets these, one row a level and one row a bin.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.filter(F.col("form") >= 0).orderBy(F.desc("c"), "h").limit(max(frequent, counted)).toArrow()
+    words = counts.filter(F.col("form") >= 0).withColumn("level", F.when(F.col("c") < 4096, F.col("c")).otherwise(4000 + F.floor(8 * F.log2("c"))))
+    reached, lowest = 0, 1 << 40
+    for level, n in sorted(words.groupBy("level").count().collect(), reverse=True):
+        reached += n
+        if reached > max(frequent, counted):
+            break
+        lowest = level
+    top = words.filter(F.col("level") >= lowest).select("h", "c", "form").toArrow()
     h, c, form = top.column("h").to_numpy().view(U), top.column("c").to_numpy(), top.column("form").to_numpy()
+    order = np.lexsort((h.view(np.int64), -c))
+    h, c, form = h[order], c[order], form[order]
     n = min(frequent, int((c >= least).sum()))
     (h, more), (c, more_counts), form = np.split(h, [n]), np.split(c, [n]), form[:n]
     held, kinds = np.zeros(1 + BINS, np.int64), np.zeros(1 + BINS, np.int64)
