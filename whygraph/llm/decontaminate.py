@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, durable, table, with_key
@@ -16,7 +17,8 @@ from .common import KEY, durable, table, with_key
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
 #: Characters of benchmark text that are compiled and sent to the executors at once; more goes in blocks.
-BLOCK_CHARS = 64_000_000
+#: Compiled, 2 M characters take about 250 MB in each worker.
+BLOCK_CHARS = 2_000_000
 
 #: A-Z to a-z; letters, digits and bytes above 0x7F stay; all else ends a word.
 WORD_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -28,53 +30,95 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
-class WuManber:
-    """Finds word windows of one length.
+class Words:
+    """Numbers of the words that occur in benchmark windows; all other words have number 0."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+
+    def learn(self, found: list[bytes]) -> list[int]:
+        return [self.numbers.setdefault(w, len(self.numbers) + 1) for w in found]
 
-    `shift` has, for a block of two adjacent words of any window, how far the search may move on when a
-    text block is equal to it; a block in no window allows the longest move. Windows are put in buckets
-    by the hash of their last block, where shift is 0; a bucket's windows are compared word by word.
+    def of(self, found: list[bytes]) -> array:
+        get = self.numbers.get
+        return array("i", [get(w, 0) for w in found])
+
+
+class WuManber:
+    """Finds windows of one length in texts of word numbers.
+
+    `texts` are the benchmark texts as word numbers, one after the other, and `starts` the first place of
+    each distinct window in them. `shift` has, for a block of two adjacent words of any window, how far the
+    search may move on when a text block is equal to it; a block in no window allows the longest move.
+    Where the last block of a window is, and shift is 0, the hash of the whole window picks its bucket,
+    whose windows are compared with the text word by word. So however many windows end in the same
+    block, only those of equal hash are compared.
     """
 
-    def __init__(self, windows: dict[tuple[bytes, ...], list[str]], length: int):
+    def __init__(self, texts: array, starts: dict[bytes, int], length: int):
         self.length, self.block = length, min(2, length)
         self.longest = length - self.block + 1
-        self.shift: dict = {}
-        self.buckets: dict[int, list] = defaultdict(list)
-        for window, items in windows.items():
+        self.texts, self.shift, self.buckets = texts, {}, {}
+        for at in starts.values():
             for end in range(self.block, length + 1):
-                b = window[end - self.block : end]
+                b = self.blocked(texts, at + end)
                 self.shift[b] = min(self.shift.get(b, self.longest), length - end)
-            self.buckets[zlib.crc32(b" ".join(window[-self.block :]))].append((list(window), items))
+        for number, (window, at) in enumerate(starts.items()):
+            self.buckets.setdefault(crc32(window), []).append((at, number))
 
-    def find(self, text: list[bytes]) -> Iterator[tuple[int, list[str]]]:
-        """Start and items of each occurrence, in order."""
-        shift, longest, length, block, at = self.shift, self.longest, self.length, self.block, self.length
-        n = len(text)
+    def blocked(self, text: array, end: int) -> int:
+        """The block before place `end`, as one number."""
+        return text[end - 1] if self.block == 1 else text[end - 2] << 32 | text[end - 1]
+
+    def find(self, text: array) -> Iterator[tuple[int, int]]:
+        """Start and number of each window that occurs, in order."""
+        shift, longest, length, at, n, pair = self.shift.get, self.longest, self.length, self.length, len(text), self.block == 2
         while at <= n:
-            b = tuple(text[at - block : at])
-            move = shift.get(b, longest)
+            move = shift(text[at - 2] << 32 | text[at - 1] if pair else text[at - 1], longest)
             if move:
                 at += move
                 continue
             start = at - length
-            for window, items in self.buckets[zlib.crc32(b" ".join(b))]:
-                if text[start:at] == window:
-                    yield start, items
+            window = text[start:at].tobytes()
+            for known, number in self.buckets.get(crc32(window), ()):
+                if self.texts[known : known + length].tobytes() == window:
+                    yield start, number
             at += 1
 
 
-def compiled(items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> list[WuManber]:
-    """One matcher for each length of window of the (id, text) `items`."""
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        w = words(text)
-        length = min(window, len(w))
-        for i in range(len(w) - length + 1 if w else 0):
-            of = by_length[length][tuple(w[i : i + length])]
-            if item is not None and item not in of:
-                of.append(item)
-    return [WuManber(windows, length) for length, windows in sorted(by_length.items())]
+class Compiled:
+    """Matchers of all lengths of window of the (id, text) `items`, and the ids of each window's items."""
+
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
+        self.words, self.names = Words(), sorted({item for item, _ in items if item is not None})
+        name = {n: i for i, n in enumerate(self.names)}
+        texts, starts, of = defaultdict(lambda: array("i")), defaultdict(dict), defaultdict(lambda: array("i"))
+        for item, text in items:
+            found = self.words.learn(words(text))
+            length = min(window, len(found))
+            if not found:
+                continue
+            held, base = texts[length], len(texts[length])
+            held.extend(found)
+            for i in range(len(found) - length + 1):
+                w = held[base + i : base + i + length].tobytes()
+                starts[length].setdefault(w, base + i)
+                if item is not None:
+                    of[length, w].append(name[item])
+        # Items by number of window; an array of numbers each, as most windows have one item.
+        self.matchers = [(WuManber(texts[n], starts[n], n), [of.get((n, w)) for w in starts[n]]) for n in sorted(starts)]
+
+    def scan(self, text: bytes | None) -> tuple[int, list[int], list[str]]:
+        """(number of words, united spans of hit words, items found) of a text."""
+        found = words(text)
+        numbers = self.words.of(found)
+        hit, items = [], set()
+        for matcher, of in self.matchers:
+            for start, number in matcher.find(numbers):
+                hit += (start, start + matcher.length)
+                if of[number] is not None:
+                    items.update(of[number])
+        return len(found), united(hit), [self.names[i] for i in sorted(items)]
 
 
 def united(spans: list[int]) -> list[int]:
@@ -95,15 +139,10 @@ def scan_batches(matchers) -> callable:
         for batch in batches:
             keys, n_words, spans, items = batch.column(0), [], [], []
             for text in batch.column(1).to_pylist():
-                w = words(text)
-                found, hit = set(), []
-                for m in matchers.value:
-                    for start, of in m.find(w):
-                        found.update(of)
-                        hit += (start, start + m.length)
-                n_words.append(len(w))
-                spans.append(united(hit))
-                items.append(sorted(found))
+                n, hit, found = matchers.value.scan(text)
+                n_words.append(n)
+                spans.append(hit)
+                items.append(found)
             yield pa.RecordBatch.from_arrays([keys, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], [KEY, "n_words", "spans", "items"])
 
     return scan
@@ -119,18 +158,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     texts = docs.select(KEY, F.col(text_col).cast("binary").alias("text"))
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text"))
     blocks = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
-    if blocks == 1:
-        return texts.mapInArrow(scan_batches(spark.sparkContext.broadcast(compiled([(r.item, r.text) for r in rows.collect()], window))), SCAN)
     found = None
     for b in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        matchers = spark.sparkContext.broadcast(compiled([(r.item, r.text) for r in part], window))
-        one = durable(texts.mapInArrow(scan_batches(matchers), SCAN).filter(F.lit(b == 0) | (F.size("spans") > 0)))
+        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
+        matchers = spark.sparkContext.broadcast(Compiled([(r.item, r.text) for r in part.collect()], window))
+        one = texts.mapInArrow(scan_batches(matchers), SCAN)
+        if blocks == 1:
+            return one
+        one = durable(one.filter(F.lit(b == 0) | (F.size("spans") > 0)))
         matchers.destroy()
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy(KEY).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    unite = F.udf(united, "array<int>")
-    return merged.withColumn("spans", F.when(F.size("spans") > 2, unite("spans")).otherwise(F.col("spans")))
+    return merged.withColumn("spans", united_spans(F.col("spans")))
+
+
+def united_spans(spans: Column) -> Column:
+    """`united` as a column: spans (start, end, start, end, ...) in order and disjoint."""
+    places = F.sequence(F.lit(0), F.floor(F.size(spans) / 2) - 1, F.lit(1))
+    pairs = F.array_sort(F.transform(F.when(F.size(spans) > 0, places).otherwise(F.array()), lambda i: F.struct(spans[2 * i].alias("s"), spans[2 * i + 1].alias("e"))))
+    last = lambda out: F.element_at(out, -1)
+    grow = lambda out, x: F.when(F.size(out) == 0, F.array(x)).when(x["s"] <= last(out)["e"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last(out)["s"].alias("s"), F.greatest(last(out)["e"], x["e"]).alias("e"))))).otherwise(F.concat(out, F.array(x)))
+    joined = F.aggregate(pairs, F.array().cast("array<struct<s:int,e:int>>"), grow)
+    return F.flatten(F.transform(joined, lambda x: F.array(x["s"], x["e"])))
 
 
 def contamination(scanned: DataFrame) -> DataFrame:
@@ -152,6 +201,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 
 def op1_decontamination(spark, sf_dir):
+    """Hit words and items of every document; contaminated where they are at least a twentieth of its words."""
     docs = with_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     found = contamination(scan(docs, table(spark, sf_dir, "benchmark")))
     rows = found.join(docs.select(KEY, "doc_id"), KEY)
