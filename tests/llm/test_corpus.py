@@ -450,10 +450,40 @@ def test_templates_are_counted_over_whole_pages(spark):
     page = html_extract.Page(rows[0][2])
     by_tag = dict(zip(page.tags, page.hashes))
     [(host, templates)] = [tuple(r) for r in html_extract.site_templates(pages).collect()]
-    assert host == "a.org" and {bytes(t) for t in templates} == {by_tag["nav"], by_tag["footer"]}
+    beside = {page.tags[e]: h for e, h in page.beside().items()}
+    assert host == "a.org" and set(beside) == {"nav", "div", "footer"} and by_tag["div"] not in templates
+    assert {bytes(t) for t in templates} == {by_tag["nav"], by_tag["footer"], *beside.values()}
     assert {r.text for r in html_extract.main_text(pages).collect()} == {f"own text {k}" for k in range(8)}
 
 
+@pytest.mark.parametrize("rules", [True, False])
+def test_menus_and_footers_go_by_their_structure(spark, rules):
+    """Their text differs from page to page; with no rule on, recurrence has to find them alone."""
+    draw = random.Random(8)
+    rows, main = [], {}
+    for k in range(40):
+        menu = "".join(f"<li><a href='/{k}{j}'>{prose(draw, 1)}</a></li>" for j in range(draw.randint(2, 6)))
+        article = [prose(draw, draw.randint(20, 60)) for _ in range(draw.randint(1, 4))]
+        main[k] = " ".join(article)
+        body = f"<div class='m{k % 3}'><ul>{menu}</ul></div><div id=c>{''.join(f'<p>{a}</p>' for a in article)}</div><div class=end>{prose(draw, 4)} <b>{k}</b></div>"
+        rows.append((k, f"http://h{k // 35}.org/{k}", f"<html><body>{body}</body></html>"))
+    rows += [(100, "http://h0.org/", None), (101, None, "<p>alone</p>")]
+    pages = with_key(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id")
+    found = {r.page_id: r.text for r in html_extract.main_text(pages, keep=("page_id",), rules=rules).collect()}
+    assert all(found[k] == main[k] for k in range(40))
+    assert found[100] == "" and found[101] == "alone"
+    # The same counts, plainly.
+    places, on, of_host = defaultdict(set), defaultdict(set), defaultdict(set)
+    for _, url, source in rows:
+        page, host = html_extract.Page(source or "", rules), html_extract.host_of(url)
+        of_host[host].add(page.identity())
+        for h, place in page.subtrees():
+            places[host, h].add(place)
+            on[host, h].add(page.identity())
+    plain = {(host, h) for (host, h), x in places.items() if len(x) >= 5 and 2 * len(on[host, h]) >= len(of_host[host])}
+    assert {(r.host, bytes(t)) for r in html_extract.site_templates(pages, rules=rules).collect() for t in r.templates} == plain
+
+
 def test_warc_round_trip(spark):
     rows = [(k, f"http://Www.Ex{k % 3}.org:80/p?q={k}#f", f"<p>{k % 7} é 😀") for k in range(60)] + [(100, None, None), (101, "x y\r\nz", ""), (102, "http://a/\tb", "\r\n\r\n" * 9), (None, "http://n", "<p>3 é 😀"), (5, "http://twice", "<p>z")]
     pages = with_key(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), "page_id")

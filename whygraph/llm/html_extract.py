@@ -1,4 +1,4 @@
-"""Main text of web pages: semantic rules, and removal of subtrees that recur over a host's pages."""
+"""Main text of web pages: removal of subtrees that recur over a host's pages, and rules for what does not recur."""
 
 from __future__ import annotations
 
@@ -48,6 +48,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|\Z)", re.IGNORECASE)
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE) for tag in RAW}
 PLAIN = re.compile(r"[^a-z0-9]+")
+DIGITS = re.compile(r"[0-9]+")
 
 
 def skipped(tag: str, attributes: str) -> bool:
@@ -72,8 +73,9 @@ class Page:
     opened since its start tag, and what has no start tag is passed over.
     """
 
-    def __init__(self, source: str):
-        self.tags, self.parents, self.skip, self.hashes = ["#page"], [0], [False], [b""]
+    def __init__(self, source: str, rules: bool = True):
+        self.tags, self.parents, self.attributes, self.skip, self.hashes = ["#page"], [0], [""], [False], [b""]
+        self.rules = rules
         self.pieces: list[tuple[int, str | None]] = []  # None: a new block begins
         parts: list[list[bytes]] = [[]]
         stack, count, at, n = [0], {}, 0, len(source)
@@ -145,7 +147,8 @@ class Page:
                 continue
             self.tags.append(tag)
             self.parents.append(stack[-1])
-            self.skip.append(skipped(tag, attributes))
+            self.attributes.append(attributes)
+            self.skip.append(rules and skipped(tag, attributes))
             self.hashes.append(b"")
             parts.append([])
             count[tag] = count.get(tag, 0) + 1
@@ -156,43 +159,89 @@ class Page:
         self._judge()
 
     def _judge(self) -> None:
-        """Finds the article, and undoes the marks of what it stands in."""
+        """Finds the spine, the elements that hold the main text, and undoes the marks of what it stands in.
+
+        The spine goes down to the largest `article` or `main`; without one, or without rules, it goes down
+        as long as one child has over half of the text.
+        """
         size = [0] * len(self.tags)
         for e, text in self.pieces:
             if text:
                 size[e] += len(text)
         for e in range(len(size) - 1, 0, -1):
             size[self.parents[e]] += size[e]
-        articles = [e for e, t in enumerate(self.tags) if t in ("article", "main") and not self.skip[e]]
+        articles = [e for e, t in enumerate(self.tags) if t in ("article", "main") and not self.skip[e]] if self.rules else []
         first = max(articles, key=lambda e: size[e], default=None)
-        self.around = set()
-        e = first
+        last = first or 0
+        if first is None:
+            for e in range(1, len(size)):
+                if self.parents[e] == last and 2 * size[e] > size[last]:
+                    last = e
+        self.spine, e = [], last
         while e:
-            self.around.add(e)
-            self.skip[e] = False
+            self.spine.append(e)
             e = self.parents[e]
+        self.spine.append(0)
+        self.around = set(self.spine[:-1]) if first is not None else set()
+        for e in self.around:
+            self.skip[e] = False
         gone, self.inside = [False] * len(self.tags), [first is None] * len(self.tags)
         for e in range(1, len(self.tags)):
             gone[e] = gone[self.parents[e]] or self.skip[e]
             self.inside[e] = self.inside[self.parents[e]] or self.tags[e] in ("article", "main")
         self.gone = gone
 
+    def beside(self) -> dict[int, bytes]:
+        """The elements with text beside the spine, each with the hash of its place and of its structure.
+
+        A structure has tags, classes, ids and roles, but no text and no digits, and equal neighbours count
+        once; so a menu of other entries or a footer with another sentence has the same one.
+        """
+        spine, found = set(self.spine), {}
+        below = {e for e in range(1, len(self.tags)) if self.parents[e] in spine and e not in spine and self.parents[e] != self.spine[0] and self.hashes[e]}
+        if not below:
+            return found
+        top = [0] * len(self.tags)
+        for e in range(1, len(top)):
+            top[e] = e if e in below else top[self.parents[e]]
+        inner: dict[int, list[str]] = {}
+        for e in range(len(top) - 1, 0, -1):
+            if not top[e] or not self.hashes[e]:
+                continue
+            marks = " ".join(f"{m[1].lower()}={DIGITS.sub('', m[2] or m[3] or m[4] or '')}" for m in ATTRIBUTE.finditer(self.attributes[e])) if self.attributes[e] else ""
+            shape = f"{self.tags[e]} {marks}({','.join(inner.pop(e, ()))})"
+            if e in below:
+                place = [self.tags[self.parents[e]]]
+                found[e] = blake2b(f"{place}{shape}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                continue
+            near = inner.setdefault(self.parents[e], [])
+            if not near or near[-1] != shape:
+                near.append(shape)
+        return found
+
     def subtrees(self) -> set[tuple[bytes, bytes]]:
-        """(hash, hash of the parent) of all subtrees with text but those that hold the article, whatever rules say of them."""
-        keep = ("html", "body", "main", "article")
-        return {(self.hashes[e], self.hashes[self.parents[e]]) for e in range(1, len(self.tags)) if self.hashes[e] and e not in self.around and self.tags[e] not in keep}
+        """(hash, where it stands) of all subtrees with text but those that hold the article, whatever rules say of them.
+
+        A subtree stands in its parent, with all of that one's text; a structure beside the spine in its page.
+        """
+        keep, page = ("html", "body", "main", "article"), self.identity()
+        exact = {(self.hashes[e], self.hashes[self.parents[e]]) for e in range(1, len(self.tags)) if self.hashes[e] and e not in self.around and self.tags[e] not in keep}
+        return exact | {(h, page) for h in self.beside().values()}
 
     def identity(self) -> bytes:
-        """A hash of the page's main elements, or of all of it where there is none; copies of an article have the same."""
+        """A hash of the page's main elements, or of the end of its spine where there is none; copies of an article have the same."""
+        if self.inside[0]:
+            return self.hashes[self.spine[0]]
         main = [self.hashes[e] for e in range(1, len(self.tags)) if self.inside[e] and not self.inside[self.parents[e]] and not self.gone[e]]
-        return self.hashes[0] if self.inside[0] else blake2b(b",".join(main), digest_size=8).digest()
+        return blake2b(b",".join(main), digest_size=8).digest()
 
     def text(self, templates: frozenset[bytes] = frozenset()) -> str:
         """The blocks of main text, joined by spaces, without `templates`."""
         gone = list(self.gone)
         if templates:
+            beside = self.beside()
             for e in range(1, len(gone)):
-                gone[e] = gone[e] or gone[self.parents[e]] or self.hashes[e] in templates and e not in self.around
+                gone[e] = gone[e] or gone[self.parents[e]] or e not in self.around and (self.hashes[e] in templates or beside.get(e) in templates)
         blocks: list[list[str]] = [[]]
         for e, text in self.pieces:
             if text is None:
@@ -209,19 +258,23 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def subtree_batches(batches):
+def subtree_batches(rules: bool):
     """A mapInArrow function over (url, html) that gives (host, subtree, place, page) and, for the page itself, nulls and page."""
-    for batch in batches:
-        hosts, subtrees, places, identities = [], [], [], []
-        for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page = Page(source or "")
-            found = [(None, None), *page.subtrees()]
-            hosts += [host_of(url)] * len(found)
-            subtrees += [x for x, _ in found]
-            places += [x for _, x in found]
-            identities += [page.identity()] * len(found)
-        columns = [pa.array(hosts, pa.string()), *(pa.array(x, pa.binary()) for x in (subtrees, places, identities))]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "subtree", "place", "page"])
+
+    def find(batches):
+        for batch in batches:
+            hosts, subtrees, places, identities = [], [], [], []
+            for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = Page(source or "", rules)
+                found = [(None, None), *page.subtrees()]
+                hosts += [host_of(url)] * len(found)
+                subtrees += [x for x, _ in found]
+                places += [x for _, x in found]
+                identities += [page.identity()] * len(found)
+            columns = [pa.array(hosts, pa.string()), *(pa.array(x, pa.binary()) for x in (subtrees, places, identities))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "subtree", "place", "page"])
+
+    return find
 
 
 def host_batches(batches):
@@ -230,23 +283,28 @@ def host_batches(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hosts, pa.string())], [*batch.schema.names, "host"])
 
 
-def text_batches(batches):
+def text_batches(rules: bool):
     """A mapInArrow function over (KEY, html, templates, others) that gives (KEY, text, others)."""
-    for batch in batches:
-        texts = [Page(h).text(frozenset(t or ())) if h else "" for h, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        names = batch.schema.names
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:]], [KEY, "text", *names[3:]])
+
+    def extract(batches):
+        for batch in batches:
+            texts = [Page(h, rules).text(frozenset(t or ())) if h else "" for h, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:]], [KEY, "text", *names[3:]])
+
+    return extract
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = LEAST_PLACES, share: float = LEAST_SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = LEAST_PLACES, share: float = LEAST_SHARE, rules: bool = True) -> DataFrame:
     """(host, templates): hashes of the subtrees that recur over a host's pages.
 
-    A subtree's places are the different subtrees it stands in, so the paragraphs of an article that was
-    copied whole count once. Pages with the same main elements count as one page, both of those a subtree
-    is on and of the host's. A host has at most subtrees / share templates, so its list is bounded by the
-    size of its pages.
+    Counted are whole subtrees of the page with their text, and, beside the spine of elements that hold the
+    main text, structures without it. A whole subtree's places are the different subtrees it stands in, so
+    the paragraphs of an article that was copied whole count once; a structure's are its pages. Pages with
+    the same main elements count as one page, both of those a subtree is on and of the host's. A host has
+    at most subtrees / share templates, so its list is bounded by the size of its pages.
     """
-    rows = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(subtree_batches, "host string, subtree binary, place binary, page binary")
+    rows = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(subtree_batches(rules), "host string, subtree binary, place binary, page binary")
     counted = rows.groupBy("host", "subtree").agg(F.count_distinct("place").alias("places"), F.count_distinct("page").alias("on"))
     counted = durable(counted.filter(F.col("subtree").isNull() | (F.col("places") >= least)))
     sizes = counted.filter("subtree is null").select("host", F.col("on").alias("pages"))
@@ -254,15 +312,19 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     return places.join(sizes, "host").filter(F.col("on") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 
-def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = LEAST_PLACES, share: float = LEAST_SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
+def main_text(
+    pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = LEAST_PLACES, share: float = LEAST_SHARE, keep: tuple[str, ...] = (), rules: bool = True
+) -> DataFrame:
     """(KEY, text, and the columns `keep`) of `pages` (with KEY).
 
-    Removed are the templates of the page's host, which are looked for in the whole page. For what does not
-    recur, as on small hosts, rules supplement them: kept is what stands in `article` and `main` elements, or
-    in the body where there is none, without navigation, headers, footers, asides, forms, scripts and the
-    like by tag, role, class or id. Null and empty pages have an empty text.
+    Removed are the templates of the page's host, which are looked for in the whole page: menus, headers,
+    sidebars and footers recur in their structure on hosts with at least `least` different pages. For what
+    does not recur, as on small hosts and inside articles, `rules` supplement them: kept is what stands in
+    `article` and `main` elements, or in the body where there is none, without navigation, headers,
+    footers, asides, forms, scripts and the like by tag, role, class or id. Null and empty pages have an
+    empty text; a null or broken url is a host of its own name, the empty one.
     """
-    found = durable(site_templates(pages, url_col, html_col, least, share))
+    found = durable(site_templates(pages, url_col, html_col, least, share, rules))
     size = found.agg(F.coalesce(F.sum(F.size("templates") * 8 + F.length("host")), F.lit(0))).first()[0]
     kept = [F.col(c).alias(f"{KEY}_{i}") for i, c in enumerate(keep)]
     others = "".join(f", {KEY}_{i} {dict(pages.dtypes)[c]}" for i, c in enumerate(keep))
@@ -270,11 +332,12 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
     hosted = hosted.mapInArrow(host_batches, f"{KEY} long, url string, html string{others}, host string")
     joined = hosted.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
     names = [f"{KEY}_{i}" for i in range(len(keep))]
-    texts = joined.select(KEY, "html", "templates", *names).mapInArrow(text_batches, f"{KEY} long, text string{others}")
+    texts = joined.select(KEY, "html", "templates", *names).mapInArrow(text_batches(rules), f"{KEY} long, text string{others}")
     return texts.select(KEY, "text", *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)])
 
 
 def op2_html_extraction(spark, sf_dir):
+    """The main text of every page."""
     pages = with_key(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
     texts = main_text(pages, keep=("page_id", "url"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
