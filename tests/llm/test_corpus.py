@@ -97,9 +97,9 @@ def test_exact_dedup_keeps_columns(docs):
     assert kept.select(exact_dedup.normalised(F.col("text"))).distinct().count() == kept.count()
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_near_classes(docs, block):
-    found = collected(ngram_join.near_classes(docs, block=block), docs)
+@pytest.mark.parametrize("block, grams", [(4, 10**6), (256, 10**6), (256, 500)])
+def test_near_classes(docs, block, grams):
+    found = collected(ngram_join.near_classes(docs, block=block, block_grams=grams), docs)
     grams = []
     for r in found:
         w = words(r.body)

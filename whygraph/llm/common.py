@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from ..durable import checkpointed, durable, durable_folder
 
-__all__ = ["KEY", "checkpointed", "durable", "durable_folder", "free_name", "table", "unique_rows", "with_key"]
+__all__ = ["KEY", "checkpointed", "durable", "durable_folder", "free_name", "ranked", "small", "table", "with_key", "without"]
 
 #: Name of the key that `with_key` adds; the prefix keeps clear of users' own columns.
 KEY = "__wg_key"
+#: Keys that are broadcast; built as a hash table, a million takes some 60 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,24 +47,37 @@ def numbered(rows: DataFrame, id_col: str) -> DataFrame:
     """`rows` with KEY, their place in the order of id and content.
 
     Content is compared by its hash, then by itself; columns that have no order (maps) are left out. The
-    last column of the order only deals equal rows to several tasks. The driver gets one count a task.
+    last column of the order only deals equal rows to several tasks.
     """
     plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind and kind != "void"]
     hashed, place = f"{KEY}_hash", f"{KEY}_place"
-    ranked = rows.withColumn(hashed, F.xxhash64(*plain)).withColumn(place, F.monotonically_increasing_id())
-    order = [id_col, hashed, *plain, place]
-    ordered = ranked.repartitionByRange(*order).sortWithinPartitions(*order).drop(hashed, place)
-    placed = checkpointed(ordered.withColumn(KEY, F.monotonically_increasing_id()))
-    task = F.shiftright(KEY, 33)
+    marked = rows.withColumn(hashed, F.xxhash64(*plain)).withColumn(place, F.monotonically_increasing_id())
+    return ranked(marked, [F.col(c) for c in (id_col, hashed, *plain, place)], KEY).select(*rows.columns, KEY)
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """`rows` with their place in an `order` as column `name`, from 0.
+
+    Rows are dealt to tasks by the order and sorted there; a task's rows come after the number of rows of
+    the tasks before it, so no task has all rows. The driver gets one count a task.
+    """
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = checkpointed(ordered.withColumn(name, F.monotonically_increasing_id()))
+    task = F.shiftright(name, 33)
     before, offsets = 0, []
     for t, n in sorted(placed.groupBy(task.alias("task")).count().collect()):
         offsets.append((t, before - (t << 33)))
         before += n
     shift = placed.sparkSession.createDataFrame(offsets, f"{KEY}_task long, {KEY}_shift long")
     joined = placed.join(F.broadcast(shift), task == F.col(f"{KEY}_task"))
-    return joined.select(*rows.columns, (F.col(KEY) + F.col(f"{KEY}_shift")).alias(KEY))
+    return joined.select(*rows.columns, (F.col(name) + F.col(f"{KEY}_shift")).alias(name))
+
+
+def small(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Written `keys` (KEY), to be broadcast where they are at most `most` rows, else joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys
 
 
-def unique_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The `rows` (with KEY) whose KEY is in `kept`, without KEY."""
-    return rows.join(kept.select(KEY), KEY, "left_semi").drop(KEY)
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The `rows` (with KEY) whose KEY is not in `dropped`, without KEY; few dropped rows leave the others unshuffled."""
+    return rows.join(small(durable(dropped.select(KEY))), KEY, "left_anti").drop(KEY)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, table, with_key
+from .common import KEY, durable, table, with_key, without
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
@@ -196,8 +196,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     an id hits words but is not listed; items that share an id are one item. Other columns are not read.
     """
     keyed = with_key(docs, id_col)
-    bad = contamination(scan(keyed, benchmark, text_col)).filter("contaminated")
-    return keyed.join(durable(bad.select(KEY)), KEY, "left_anti").select(*docs.columns)
+    return without(keyed, contamination(scan(keyed, benchmark, text_col)).filter("contaminated")).select(*docs.columns)
 
 
 def op1_decontamination(spark, sf_dir):

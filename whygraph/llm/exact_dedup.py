@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, unique_rows, with_key
+from .common import KEY, durable, table, with_key, without
 
 #: Bytes of a block. Most documents are one block; a longer one takes log2(blocks) rounds of naming.
 BLOCK_BYTES = 4096
@@ -88,12 +88,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` without later copies of a text, with all their columns."""
     keyed = with_key(docs, id_col)
-    return unique_rows(keyed, exact_groups(keyed, id_col, text_col).filter("kept")).select(*docs.columns)
+    return without(keyed, exact_groups(keyed, id_col, text_col).filter("not kept")).select(*docs.columns)
 
 
 def op7_exact_dedup(spark, sf_dir):
-    from .common import table
-
+    """The group of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     groups = exact_groups(with_key(docs, "doc_id"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))

@@ -6,10 +6,10 @@ import hashlib
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, free_name, table, with_key
+from .common import KEY, durable, free_name, ranked, table, with_key
 
 #: Weights of the sources in the order of their names, repeated as often as needed.
 WEIGHTS = (5, 2, 1)
@@ -33,9 +33,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     Sources rank by code point, null last. What a source can't give is shared among the others by
     weight, until none is above its limit: one scalar aggregate a round, over the table of sources.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
+    per = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").isNull(), F.col("source")], "rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     per = durable(per.select("source", "source_size", weight.alias("weight")))
     limit = F.col("source_size") * most
     total = per.agg(F.sum("source_size")).first()[0] or 0
@@ -134,6 +133,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def op5_mixing(spark, sf_dir):
+    """The mix's share of every document."""
     docs = with_key(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     ids = docs.select(KEY, "doc_id")
     sizes = durable(sized(docs))

@@ -12,17 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import KEY, durable, table, unique_rows, with_key
+from .common import KEY, durable, small, table, with_key, without
 from .words import ALNUM, U, grams, mixed, powers, slices, word_hashes
 
 #: Words of a gram and least similarity of a link.
 GRAM, SIMILARITY = 5, 0.8
 #: Wanted chance that a pair of exactly that similarity shares a band, and most hashes to spend on it.
 RECALL, HASHES = 0.9999, 192
-#: Texts of a candidate component that are compared in one task.
-BLOCK = 256
+#: Texts, and grams of texts, of a candidate component that one task compares with as many others.
+BLOCK, BLOCK_GRAMS = 256, 2_000_000
 
-SIGNED = f"{KEY} long, content binary, bands array<bigint>"
+SIGNED = f"{KEY} long, content binary, grams int, bands array<bigint>"
 
 
 def banding(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -68,21 +68,11 @@ def sign_batches(n: int, bands: int, rows: int):
                 band = [mixed((mins[b * rows : (b + 1) * rows] * weight).sum(axis=0) + U(b)) for b in range(bands)]
                 flat = np.stack(band, axis=1).astype(np.int64).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * bands, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo).take(pa.array(full)), pa.array(content, pa.binary()), lists], [KEY, "content", "bands"])
+                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo).take(pa.array(full)), pa.array(content, pa.binary()), pa.array(np.diff(at)[full].astype(np.int32)), lists], [KEY, "content", "grams", "bands"])
 
     return sign
 
 
-def content_batches(batches):
-    """A mapInArrow function over (text as bytes) that adds the hash of its words; texts without words go."""
-    for batch in batches:
-        for lo, hi, texts in slices(batch.column(0)):
-            words, bounds = word_hashes(texts, ALNUM)
-            full = np.flatnonzero(np.diff(bounds))
-            content = [hashlib.blake2b(words[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest() for i in full]
-            yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), batch.column(0).slice(lo, hi - lo).take(pa.array(full))], ["content", "text"])
-
-
 def verify(n: int, similarity: float):
     """An applyInPandas function over the texts of a pair of blocks of one component.
 
@@ -142,7 +132,7 @@ def verify(n: int, similarity: float):
     return linked
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """One row per row of `docs` (with KEY): KEY, id, class_id, n_links, kept.
 
     Words are runs of letters, digits and characters above 0x7F, with A-Z lowered; grams are sets of n
@@ -154,26 +144,28 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     1. Sign every text; documents with the same words are one node, weighted by their number.
     2. A band's value shared by two nodes links each of its nodes with its smallest: one edge a node and
        band, never all pairs. Components of these edges hold every candidate pair.
-    3. Each component with more than one node gets its texts, once a node. Up to about `block` texts are
-       compared in one task; a larger component is dealt into blocks by hash, and each pair of blocks is
-       one task, so no component has to fit a task.
+    3. Each component with more than one node gets the texts of its nodes; texts that are in none are
+       not shuffled where the candidates are few enough to be broadcast. Up to about `block` texts or
+       `block_grams` grams are compared in one task; a larger component is dealt into blocks by hash, and
+       each pair of blocks is one task, so no component has to fit a task.
     4. Links found are counted a node, and their components are the classes.
     """
     bands, rows = banding(similarity, recall, hashes)
     texts = docs.select(KEY, F.col(text_col).cast("binary").alias("text"))
     signed = durable(texts.mapInArrow(sign_batches(n, bands, rows), SIGNED))
-    nodes = durable(signed.groupBy("content").agg(F.min(KEY).alias("node"), F.count("*").alias("weight")))
+    nodes = durable(signed.groupBy("content").agg(F.min(KEY).alias("node"), F.count("*").alias("weight"), F.first("grams").alias("grams")))
     # Only the first document of each node is banded.
     first = signed.join(nodes.select(F.col("node").alias(KEY)), KEY, "left_semi")
     banded = first.select(F.col(KEY).alias("node"), F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band", "least")
     stars = durable(banded.join(least, "band").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     candidates = durable(components(stars))
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("members"))
-    dealt = candidates.join(sizes, "root").join(nodes, "node").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    dealt = dealt.select("content", "node", "weight", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    contents = texts.select("text").mapInArrow(content_batches, "content binary, text binary")
-    wanted = contents.groupBy("content").agg(F.first("text").alias("text")).join(dealt, "content")
+    weighed = durable(candidates.join(nodes.select("node", "weight", "grams"), "node"))
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks")
+    dealt = weighed.join(weighed.groupBy("root").agg(parts), "root")
+    dealt = dealt.select("node", "weight", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    chosen = texts.join(small(weighed.select(F.col("node").alias(KEY))), KEY, "left_semi")
+    wanted = chosen.withColumnRenamed(KEY, "node").join(dealt, "node")
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = wanted.select("root", "node", "weight", "text", "block", partner.alias("with"))
     paired = paired.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "weight", "text", "block")
@@ -193,9 +185,35 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` without all but the first of each class, with all their columns."""
     keyed = with_key(docs, id_col)
-    return unique_rows(keyed, near_classes(keyed, id_col, text_col).filter("kept")).select(*docs.columns)
+    return without(keyed, near_classes(keyed, id_col, text_col).filter("not kept")).select(*docs.columns)
 
 
 def op6_ngram_join(spark, sf_dir):
+    """The class and number of links of every document."""
     docs = with_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return near_classes(docs).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), node AS (
+  SELECT w, min(doc_id) AS node, count(*) AS weight FROM word WHERE len(w) > 0 GROUP BY w
+), gram AS (
+  SELECT DISTINCT node, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT node, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM node)
+), size AS (SELECT node, count(*) AS n FROM gram GROUP BY node
+), pair AS (
+  SELECT a.node AS a, b.node AS b, count(*) AS shared FROM gram a JOIN gram b ON a.g = b.g AND a.node <> b.node GROUP BY a.node, b.node
+), link AS (
+  SELECT a, b FROM pair JOIN size x ON x.node = a JOIN size y ON y.node = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)
+), reach AS (
+  SELECT node AS a, node AS b FROM node UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), root AS (SELECT a AS node, min(b) AS class_id FROM reach GROUP BY a
+), links AS (
+  SELECT n.node, n.weight - 1 + coalesce(sum(o.weight), 0) AS n_links
+  FROM node n LEFT JOIN link ON link.a = n.node LEFT JOIN node o ON o.node = link.b GROUP BY n.node, n.weight
+)
+SELECT word.doc_id, coalesce(class_id, word.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM word LEFT JOIN node ON node.w = word.w LEFT JOIN root USING (node) LEFT JOIN links USING (node)
+"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, table, with_key
+from .common import KEY, durable, table, with_key, without
 
 #: Share of the pooled covariance in each class covariance, and of the scaled identity after that.
 POOLED, RIDGE = 0.9, 0.02
@@ -154,11 +154,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are predicted to have quality 1, with all their columns."""
     keyed = with_key(docs, id_col)
-    bad = quality_scores(keyed, labels, id_col, text_col).filter("predicted = 0").select(KEY)
-    return keyed.join(durable(bad), KEY, "left_anti").select(*docs.columns)
+    return without(keyed, quality_scores(keyed, labels, id_col, text_col).filter("predicted = 0")).select(*docs.columns)
 
 
 def op3_quality(spark, sf_dir):
+    """The quality score of every document, learned from the labels of those that are not held out."""
     docs = with_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     scores = quality_scores(docs, table(spark, sf_dir, "labels"))
     return scores.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op6_ngram_join": ngram_join.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
