@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ..durable import checkpointed, durable, durable_folder
+from ..durable import checkpointed, durable_folder
+from ..durable import checkpointed as durable
 
 __all__ = ["KEY", "checkpointed", "durable", "durable_folder", "free_name", "ranked", "small", "table", "with_key", "without"]
 

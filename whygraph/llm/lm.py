@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, durable, table, with_key
+from ..durable import durable as written
+from .common import KEY, table, with_key
 from .words import NOT_SPACE, U, by_pieces, slices, span_hashes, word_spans
 
 #: Words with a vector and a probability of their own: those that occur LEAST times, the most frequent first.
@@ -541,12 +542,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
     text = F.col(text_col).cast("binary").alias("text")
     counts = docs.filter(~held).select(text).mapInArrow(count_batches, "h bigint, form int, c bigint")
-    counts = durable(counts.groupBy("h").agg(F.first("form").alias("form"), F.sum("c").alias("c")))
+    counts = written(counts.groupBy("h").agg(F.first("form").alias("form"), F.sum("c").alias("c")))
     vocab = vocabulary(counts, frequent, least, counted)
     shared = spark.sparkContext.broadcast(vocab)
     kind = docs.schema[id_col].dataType.simpleString()
     encoded = docs.select(KEY, text, F.col(id_col).alias("id"), held.alias("held_out")).mapInArrow(encode_batches(shared), f"{ENCODED}, id {kind}, held_out boolean")
-    encoded = durable(encoded)
+    encoded = written(encoded)
     model = spark.sparkContext.broadcast(trained(encoded.filter("not held_out").select("symbols"), vocab))
     rare = encoded.select(KEY, F.explode(F.arrays_zip("rare", "times")).alias("word")).select(KEY, F.col("word.rare").alias("h"), F.col("word.times").alias("n"))
     seen = rare.join(counts.select("h", "c"), "h").groupBy(KEY).agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
