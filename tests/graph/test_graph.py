@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from whygraph import queries
 from whygraph.durable import durable
 from whygraph.operators import audit, decisions, evidence, gate, link, reason, repair, retrieval, threads, upsert
+from whygraph.plans import build
 from whygraph.schema import DECISION, EDGE, NODE, PENDING
 from whygraph.sources import payloads
 from whygraph.streaming import ingest
@@ -556,3 +557,15 @@ def test_stream_equals_one_batch(spark, tmp_path):
     queue = {r.ref_number: r.resolved_at for r in streamed.read("pending", PENDING).collect()}
     assert queue[9] is None and queue[4] is not None
     assert whole.read("decisions", DECISION).count() == 1
+
+
+def test_a_derived_graph_follows_its_files(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    for t in build.TABLES:
+        spark.read.parquet(f"{source}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    one = build.derived_graph(spark, str(tmp_path))
+    assert build.derived_graph(spark, str(tmp_path)) is one
+    spark.read.parquet(f"{source}/orders.parquet").filter("o_orderkey % 2 = 0").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    two = build.derived_graph(spark, str(tmp_path))
+    assert two is not one
+    assert 0 < two.artifacts.count() < spark.read.parquet(f"{source}/orders.parquet").count()

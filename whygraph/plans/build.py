@@ -97,12 +97,21 @@ class Graph:
         return durable(evidence.apply_tiers(self.nodes, self.upgraded[1])[0])
 
 
-_built: dict[tuple[str, str], Graph] = {}
+_built: dict[tuple, Graph] = {}
+#: The tables that the derived graph reads.
+TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
+
+
+def contents(spark: SparkSession, sf_dir: str) -> tuple:
+    """Number, bytes and a digest of paths, sizes and times of the files behind the tables; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{sf_dir}/{t}.parquet" for t in TABLES])
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
 
 
 def derived_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of the tables in `sf_dir`; its written steps are used again by later queries of the session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The graph of the tables in `sf_dir`; its written steps are used again by later queries of the session,
+    as long as the files of the tables stay the same."""
+    key = (spark.sparkContext.applicationId, sf_dir, contents(spark, sf_dir))
     if key not in _built:
         _built.clear()
         _built[key] = Graph(spark, landed(spark, sf_dir), F.lit(INGESTED).cast("timestamp"))
