@@ -274,11 +274,12 @@ class CaptureIndex:
 def read_captures(located: DataFrame, folder: str, task_bytes: int = READ_BYTES) -> DataFrame:
     """READ of `located` captures, in tasks of about `task_bytes` of archive, at least as many as archives.
 
-    Each task has a run of captures in the order of files and places, so it reads ahead in few files.
+    Each task has a run of captures of few files in the order of their places, so it reads ahead.
     """
     files, size = located.agg(F.count_distinct("file"), F.coalesce(F.sum("length"), F.lit(0))).first()
     tasks = max(1, files, math.ceil(size / task_bytes))
-    ordered = located.repartitionByRange(tasks, "file", "start").sortWithinPartitions("file", "start")
+    # Files are ordered by a hash, as the driver gets samples of what the rows are dealt by.
+    ordered = located.repartitionByRange(tasks, F.xxhash64("file"), "start").sortWithinPartitions(F.xxhash64("file"), "start")
     return ordered.select("file", "start", "length").mapInArrow(read_batches(folder), READ)
 
 
