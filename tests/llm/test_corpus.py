@@ -578,3 +578,33 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert {k for k, _, _ in clean} <= ids["near_dedup"] and {k for k, _, _ in clean} <= ids["decontamination"]
     assert 3000 in ids["near_dedup"] and 3000 not in ids["decontamination"]
     assert now.filter("copies < 1 or copies > 3").count() == 0
+
+
+def test_text_ids_and_repeated_ids_are_numbered_by_content(spark):
+    rows = [(f"d{k % 7}" if k % 5 else None, f"text {k % 4}", "s", 1, 2) for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, source string, copies int, TAKEN int")
+    keyed = [{(r[KEY], *tuple(r)[:2]) for r in with_key(table.repartition(n, "text"), "doc_id").collect()} for n in (1, 3, 7)]
+    assert keyed[0] == keyed[1] == keyed[2]
+    assert {k for k, _, _ in keyed[0]} == set(range(40))
+    assert exact_dedup.exact_dedup(table).count() == ngram_join.near_dedup(table).count() == 4
+    mixed = mixing.mixed(table)
+    assert mixed.columns == [*table.columns, "mix_copies", "mix_taken"]
+    assert sorted(map(tuple, mixed.collect()), key=str) == sorted(map(tuple, mixing.mixed(table.repartition(5)).collect()), key=str)
+    assert pii.personal_data(with_key(table, "doc_id")).count() == lm.lm_scores(with_key(table, "doc_id")).count() == 40
+
+
+def test_discriminant_equals_a_plain_one():
+    draw = np.random.default_rng(4)
+    d = len(quality.FEATURES)
+    x = {c: draw.normal(size=(n, d)) @ draw.normal(size=(d, d)) + c for c, n in ((0, 60), (1, 90))}
+    model = quality.Discriminant({c: (len(v), v.sum(axis=0), v.T @ v) for c, v in x.items()})
+    common = sum((v - v.mean(axis=0)).T @ (v - v.mean(axis=0)) for v in x.values()) / 148
+    scale = np.sqrt(np.diag(common))
+    log = {}
+    some = np.concatenate((x[0][:5], x[1][:5]))
+    for c, v in x.items():
+        own = (0.1 * np.cov(v, rowvar=False) + 0.9 * common) / np.outer(scale, scale)
+        own = (0.98 * own + 0.02 * np.trace(own) / d * np.eye(d)) * np.outer(scale, scale)
+        away = some - v.mean(axis=0)
+        log[c] = math.log((len(v) + 1) / 152) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * np.einsum("nd,de,ne->n", away, np.linalg.inv(own), away)
+    assert model.score(some) == pytest.approx(1 / (1 + np.exp(log[0] - log[1])), rel=1e-6, abs=1e-9)
