@@ -9,7 +9,7 @@ from pyspark.sql.types import IntegralType
 from ..durable import checkpointed, durable_folder
 from ..durable import checkpointed as durable
 
-__all__ = ["KEY", "checkpointed", "durable", "durable_folder", "free_name", "ranked", "small", "table", "with_key", "without"]
+__all__ = ["KEY", "checkpointed", "durable", "durable_folder", "free_name", "ranked", "small", "spread", "table", "with_key", "without"]
 
 #: Name of the key that `with_key` adds; the prefix keeps clear of users' own columns.
 KEY = "__wg_key"
@@ -74,6 +74,16 @@ def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return joined.select(*rows.columns, (F.col(name) + F.col(f"{KEY}_shift")).alias(name))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` (with KEY) in at least as many tasks as there are cores.
+
+    For work that takes far longer than a shuffle of its input: a table in fewer pieces than cores is dealt
+    out by key, a larger one stays as it is read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, KEY) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def small(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Written `keys` (KEY), to be broadcast where they are at most `most` rows, else joined by a shuffle."""
     return F.broadcast(keys) if keys.count() <= most else keys

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import durable as written
-from .common import KEY, table, with_key
+from .common import KEY, spread, table, with_key
 from .words import NOT_SPACE, U, by_pieces, slices, span_hashes, word_spans
 
 #: Words with a vector and a probability of their own: those that occur LEAST times, the most frequent first.
@@ -561,5 +561,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
 def op10_lm_scoring(spark, sf_dir):
     """Every document's base and model score, learned from the documents that are not held out."""
-    docs = with_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(with_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
     return lm_scores(docs).select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
