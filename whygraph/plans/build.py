@@ -23,6 +23,7 @@ class Graph:
 
     def __init__(self, spark: SparkSession, source: Landed, now: Column):
         self.spark, self.source, self.now = spark, source, now
+        self.kept: dict[str, DataFrame] = {}  # further written rows that queries share, by name
 
     def none(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
