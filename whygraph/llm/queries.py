@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, html_extract, lm, mixing, ngram_join, pii, quality, warc
+from . import chat, decontaminate, exact_dedup, hard_negatives, html_extract, lm, mixing, ngram_join, pii, quality, warc, whitening
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_lm_scoring": lm.op10_lm_scoring,
+    "op11_whitening": whitening.op11_whitening,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -23,4 +25,5 @@ ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
