@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, hard_negatives, html_extract, lm, mixing, ngram_join, pii, quality, warc, whitening
+from . import chat, decontaminate, exact_dedup, hard_negatives, html_extract, lm, mixing, ngram_join, pii, quality, suffix_dedup, warc, whitening
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_lm_scoring": lm.op10_lm_scoring,
     "op11_whitening": whitening.op11_whitening,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
