@@ -59,7 +59,7 @@ def with_angles(batches: Iterator[pd.DataFrame], references: np.ndarray) -> Iter
 def prepared(rows: DataFrame, references: int = REFERENCES) -> DataFrame:
     """Participants with their norm and stored angles: to the vectors of the rows with the smallest hashes of KEY."""
     spots = rows.orderBy(F.xxhash64(KEY), KEY).limit(references).select("v").collect()
-    directions = np.array([r.v for r in spots], dtype=float).reshape(len(spots), -1)
+    directions = np.array([r.v for r in spots], dtype=float).reshape(len(spots), len(spots[0].v) if spots else 1)
     lengths = np.sqrt((directions * directions).sum(axis=1))
     directions[lengths == 0] = 1.0
     directions /= np.sqrt((directions * directions).sum(axis=1))[:, None]

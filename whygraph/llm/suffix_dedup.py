@@ -27,14 +27,14 @@ STRING, GRAM = 50, 16
 SPAN = STRING - GRAM + 1
 LEFT = SPAN - 1
 WIDE = LEFT + STRING
-#: Positions that are hashed at a time, grams that a task compares before it passes them on.
-SLICE, CHUNK = 1 << 20, 1 << 21
+#: Positions that are hashed at a time, bytes of texts that are taken together, contexts that are compared at once.
+SLICE, PIECE, TOGETHER = 1 << 15, 1 << 23, 1 << 16
 #: Bits of a gram's hash that go along beside its bucket's; equal ones only cost a comparison.
 KEPT_BITS = 40
 #: Grams of a bucket, and buckets at most (as bits).
-BUCKET_GRAMS, MOST_BITS = 1 << 20, 17
+BUCKET_GRAMS, MOST_BITS = 1 << 19, 17
 #: Suffixes of a sorted bucket, ranges that are cut by sampled splitters at most, documents of the sample.
-BUCKET_SUFFIXES, RANGES, SAMPLED = 1 << 17, 4096, 4096
+BUCKET_SUFFIXES, RANGES, SAMPLED = 1 << 16, 4096, 4096
 #: Documents that share a gram from which on its strings are compared by grouping instead of in one bucket.
 HOT = 1 << 16
 
@@ -49,7 +49,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def gram_hashes(data: bytes, start: int, end: int) -> np.ndarray:
     """64-bit hashes of the grams that start in [start, end)."""
     words = np.ndarray((end - start + 8,), dtype="<u8", buffer=data, offset=start, strides=(1,)).astype(np.uint64)
-    return mixed(mixed(words[:-8] * A) * B + words[8:] * A)
+    return mixed(words[:-8] * A + words[8:] * B)
 
 
 def sliding(best, values: np.ndarray, width: int) -> np.ndarray:
@@ -60,15 +60,22 @@ def sliding(best, values: np.ndarray, width: int) -> np.ndarray:
     return best(values[: len(values) - (width - have)], values[width - have :]) if have < width else values
 
 
-def sampled(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the grams that have the smallest hash of some SPAN adjacent ones."""
+def sampled(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the grams that have the smallest hash of some SPAN adjacent ones.
+
+    `data` is one document after another, each up to one of `ends`; no gram of a string is in two of them.
+    """
     grams = len(data) - GRAM + 1
     places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for start in range(0, grams if grams >= SPAN else 0, SLICE):
         first, last = max(0, start - LEFT), min(grams, start + SLICE + LEFT)
         h = gram_hashes(data, first, last)
+        if len(h) < SPAN:
+            first, h = max(0, last - SPAN - LEFT), gram_hashes(data, max(0, last - SPAN - LEFT), last)
         smallest = np.zeros(len(h) + LEFT, np.uint64)
         smallest[LEFT : len(h)] = sliding(np.minimum, h, SPAN)
+        for e in ends[np.searchsorted(ends, first, side="right") : np.searchsorted(ends, last + STRING)] - first:
+            smallest[max(LEFT, e - STRING + 1 + LEFT) : e + LEFT] = 0
         chosen = np.flatnonzero(sliding(np.maximum, smallest, SPAN) == h)
         chosen = chosen[(chosen + first >= start) & (chosen + first < start + SLICE)]
         places.append(chosen + first)
@@ -81,6 +88,11 @@ def first_of(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
 
 
+def ends_of(begun: np.ndarray, n: int) -> np.ndarray:
+    """Where runs that begin at `begun` end, of `n` values."""
+    return np.append(begun[1:], n)[: len(begun)]
+
+
 def short(values: np.ndarray) -> bytes:
     """Integers of KEPT_BITS bits, five bytes each."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEPT_BITS // 8].tobytes()
@@ -98,45 +110,45 @@ def gram_entries(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.Data
     `h` and `i` (a place in `keys`) have one document a gram, `mh` and `mi` all documents of the grams that
     several documents of the chunk share, so a gram in very many documents is passed on once a chunk.
     """
-    held: list[np.ndarray] = []
-    keys: list[int] = []
-
-    def packed() -> pd.DataFrame:
-        hashes, docs = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
-        order = np.argsort(hashes, kind="stable")
-        hashes, docs = hashes[order] >> np.uint64(64 - KEPT_BITS - bits), docs[order]
-        begun = first_of(hashes)
-        size = np.diff(np.r_[begun, len(hashes)])
-        alone = np.zeros(len(hashes), bool)
-        alone[begun] = True
-        several = np.repeat(size > 1, size)
-        bucket = (hashes >> np.uint64(KEPT_BITS)).astype(np.int64)
-        cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-        all_keys, mask = np.array(keys, np.int64), np.uint64((1 << KEPT_BITS) - 1)
-        rows = []
-        for b in range(1 << bits):
-            part = slice(cuts[b], cuts[b + 1])
-            if cuts[b] == cuts[b + 1]:
-                continue
-            used, index = np.unique(docs[part], return_inverse=True)
-            index = index.astype("<u2" if len(used) <= 1 << 16 else "<u4")
-            h, one, more = hashes[part] & mask, alone[part], several[part]
-            rows.append((b, all_keys[used].tobytes(), short(h[one]), index[one].tobytes(), short(h[more]), index[more].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "keys", "h", "i", "mh", "mi"])
-
-    n = 0
     for rows in batches:
-        for key, data in zip(rows[KEY], rows["bytes"], strict=True):
-            hashes = np.unique(sampled(data)[1])
-            if len(hashes):
-                held.append(hashes)
-                keys.append(key)
-                n += len(hashes)
-            if n >= CHUNK:
-                yield packed()
-                held, keys, n = [], [], 0
-    if n:
-        yield packed()
+        texts, keys = rows["bytes"].tolist(), rows[KEY].to_numpy(np.int64)
+        for part in pieces(texts, PIECE):
+            ends = np.cumsum([len(t) for t in texts[part]], dtype=np.int64)
+            place, hashes = sampled(b"".join(texts[part]), ends)
+            yield packed(hashes, np.searchsorted(ends, place, side="right"), keys[part], bits)
+
+
+def pieces(texts: list[bytes], most: int) -> Iterator[slice]:
+    """Slices of adjacent texts of about `most` bytes or a single longer text."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most or i == len(texts) - 1:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+
+
+def packed(hashes: np.ndarray, docs: np.ndarray, keys: np.ndarray, bits: int) -> pd.DataFrame:
+    order = np.argsort(hashes, kind="stable")
+    hashes, docs = hashes[order] >> np.uint64(64 - KEPT_BITS - bits), docs[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
+    hashes, docs = hashes[fresh], docs[fresh]
+    begun = first_of(hashes)
+    size = ends_of(begun, len(hashes)) - begun
+    alone = np.zeros(len(hashes), bool)
+    alone[begun] = True
+    several = np.repeat(size > 1, size)
+    bucket = (hashes >> np.uint64(KEPT_BITS)).astype(np.int64)
+    cuts, mask = np.searchsorted(bucket, np.arange((1 << bits) + 1)), np.uint64((1 << KEPT_BITS) - 1)
+    rows = []
+    for b in np.unique(bucket):
+        part = slice(cuts[b], cuts[b + 1])
+        used, index = np.unique(docs[part], return_inverse=True)
+        index = index.astype("<u2" if len(used) <= 1 << 16 else "<u4")
+        h, one, more = hashes[part] & mask, alone[part], several[part]
+        rows.append((b, keys[used].tobytes(), short(h[one]), index[one].tobytes(), short(h[more]), index[more].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "keys", "h", "i", "mh", "mi"])
 
 
 def shared_grams(rows: pd.DataFrame, hot: int) -> pd.DataFrame:
@@ -154,7 +166,7 @@ def shared_grams(rows: pd.DataFrame, hot: int) -> pd.DataFrame:
     order = np.lexsort((key, t))
     t, key, one = t[order], key[order], one[order]
     begun = first_of(t)
-    size = np.diff(np.r_[begun, len(t)])
+    size = ends_of(begun, len(t)) - begun
     chunks = np.add.reduceat(one.astype(np.int64), begun) if len(t) else size
     several = np.repeat((chunks > 1) | (size > chunks), size)
     many = np.repeat(size >= hot, size)
@@ -165,39 +177,48 @@ def shared_grams(rows: pd.DataFrame, hot: int) -> pd.DataFrame:
     fresh = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])] if len(t) else np.zeros(0, bool)
     t, key, many = t[fresh], key[fresh], many[fresh]
     begun = first_of(key)
-    ends = np.r_[begun[1:], len(key)]
+    ends = ends_of(begun, len(key))
     grams = [t[a:b].tobytes() for a, b in zip(begun, ends, strict=True)]
     hot_ones = [t[a:b][many[a:b]].tobytes() for a, b in zip(begun, ends, strict=True)]
     return pd.DataFrame({KEY: key[begun], "grams": grams, "hot": hot_ones})
 
 
 def suffixes(batches: Iterator[pd.DataFrame], bits: int, want_hot: bool, splitters: np.ndarray, parts: int) -> Iterator[pd.DataFrame]:
-    """Suffixes with shared grams: (bucket, context, ord, KEY, places), and matches that are clear at once.
+    """Suffixes with shared grams: (bucket, context, ord, KEY, data), and matches that are clear at once.
 
     The context is LEFT bytes before, STRING bytes from the place on, and how many of either the document
-    has. Equal contexts of a batch of documents are compared here: those of the document with the
-    smallest order stand for all, the others' strings are repeats and come as `starts` and `ends`.
+    has; `data` holds the places. Equal contexts of a run of documents are compared here: those of the
+    document with the smallest order stand for all, the others' strings are repeats, whose spans are the
+    data of rows without a context.
     """
     for rows in batches:
-        contexts, keys, orders, places = [], [], [], []
-        for key, order, data, grams, hot in zip(rows[KEY], rows["ord"], rows["bytes"], rows["grams"], rows["hot"], strict=True):
-            at, h = sampled(data)
-            shared, many = (np.frombuffer(b"".join(x), np.uint64) for x in (grams, hot))
-            t = h >> np.uint64(64 - KEPT_BITS - bits)
-            at = at[np.isin(t, many) if want_hot else np.isin(t, shared) & ~np.isin(t, many)]
-            if not len(at):
-                continue
+        texts = rows["bytes"].tolist()
+        for part in pieces(texts, PIECE):
+            some = rows.iloc[part]
+            ends = np.cumsum([len(t) for t in texts[part]], dtype=np.int64)
+            data = b"".join(texts[part])
+            at, h = sampled(data, ends)
+            doc = np.searchsorted(ends, at, side="right")
+            marked = lambda t, i: mixed(t ^ mixed(i.astype(np.uint64) + A))
+            lists = lambda name: [np.frombuffer(b"".join(x), np.uint64) for x in some[name]]  # noqa: B023, E731
+            known = lambda found: marked(np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            own, many = marked(h >> np.uint64(64 - KEPT_BITS - bits), doc), known(lists("hot"))
+            wanted = np.isin(own, many) if want_hot else np.isin(own, known(lists("grams"))) & ~np.isin(own, many)
+            at, doc = at[wanted], doc[wanted]
             padded = np.zeros(len(data) + WIDE, np.uint8)
             padded[LEFT : LEFT + len(data)] = np.frombuffer(data, np.uint8)
-            context = np.empty((len(at), WIDE + 2), np.uint8)
-            context[:, :WIDE] = np.lib.stride_tricks.sliding_window_view(padded, WIDE)[at]
-            context[:, WIDE], context[:, WIDE + 1] = np.minimum(at, LEFT), np.minimum(len(data) - at, STRING)
-            contexts.append(context)
-            keys.append(np.full(len(at), key))
-            orders.append(np.full(len(at), order))
-            places.append(at)
-        if contexts:
-            yield collapsed(np.concatenate(contexts), *(np.concatenate(x) for x in (keys, orders, places)), splitters, parts)
+            for start in range(0, len(at), TOGETHER):
+                q, d = at[start : start + TOGETHER], doc[start : start + TOGETHER]
+                begin = ends[d] - np.array([len(t) for t in texts[part]], np.int64)[d]
+                context = np.empty((len(q), WIDE + 2), np.uint8)
+                context[:, :WIDE] = np.lib.stride_tricks.sliding_window_view(padded, WIDE)[q]
+                before, after = np.minimum(q - begin, LEFT), np.minimum(ends[d] - q, STRING)
+                edge = np.flatnonzero((before < LEFT) | (after < STRING))
+                column = np.arange(WIDE)
+                outside = (column < (LEFT - before[edge])[:, None]) | (column >= (LEFT + after[edge])[:, None])
+                context[edge, :WIDE] = np.where(outside, 0, context[edge, :WIDE])
+                context[:, WIDE], context[:, WIDE + 1] = before, after
+                yield collapsed(context, some[KEY].to_numpy(np.int64)[d], some["ord"].to_numpy(np.int64)[d], q - begin, splitters, parts)
 
 
 def leading(context: np.ndarray) -> np.ndarray:
@@ -214,25 +235,24 @@ def collapsed(context: np.ndarray, key: np.ndarray, ord_: np.ndarray, place: np.
     order = np.lexsort((place, key, ord_, kind))
     context, key, ord_, place, kind = context[order], key[order], ord_[order], place[order], kind[order]
     begun = first_of(kind)
-    repeat = ord_ > np.repeat(ord_[begun], np.diff(np.r_[begun, len(kind)]))
+    repeat = ord_ > np.repeat(ord_[begun], ends_of(begun, len(kind)) - begun)
     far, near = np.maximum(0, STRING - context[:, WIDE + 1].astype(np.int64)), context[:, WIDE].astype(np.int64)
     clear = np.flatnonzero(repeat & (far <= near))
     clear = clear[np.argsort(key[clear], kind="stable")]
     heads = first_of(key[clear])
-    ends = np.r_[heads[1:], len(clear)]
-    span = lambda at: ((place[at] - near[at]), (place[at] + STRING - far[at]))
-    done = [span(clear[a:b]) for a, b in zip(heads, ends, strict=True)]
+    ends = ends_of(heads, len(clear))
+    spans = [np.stack((place[at] - near[at], place[at] + STRING - far[at])).tobytes() for at in (clear[a:b] for a, b in zip(heads, ends, strict=True))]
     owner = key[clear][heads]
-    known = pd.DataFrame({"bucket": -1 - owner % max(1, parts), "context": None, "ord": 0, KEY: owner, "places": None, "starts": [s for s, _ in done], "ends": [e for _, e in done]})
+    known = pd.DataFrame({"bucket": -1 - owner % max(1, (len(splitters) + 1) * parts), "context": None, "ord": 0, KEY: owner, "data": spans})
     kept = np.flatnonzero(~repeat)
     heads = kept[first_of(np.stack((kind[kept], key[kept]), axis=1).view([("k", np.int64), ("d", np.int64)]).ravel())]
-    stops = np.r_[np.searchsorted(kept, heads)[1:], len(kept)]
-    spots = [place[kept[a:b]] for a, b in zip(np.searchsorted(kept, heads), stops, strict=True)]
+    begins = np.searchsorted(kept, heads)
+    spots = [place[kept[a:b]].tobytes() for a, b in zip(begins, ends_of(begins, len(kept)), strict=True)]
     lead = leading(context[heads])
     sub = mixed(mixed(lead) + np.ascontiguousarray(context[heads, LEFT + 8 : LEFT + GRAM]).view("<u8").ravel()) % np.uint64(max(1, parts))
     bucket = np.searchsorted(splitters, lead, side="right") * max(1, parts) + sub.astype(np.int64)
-    open_ = pd.DataFrame({"bucket": bucket, "context": context[heads].view(f"V{WIDE + 2}").ravel().tolist(), "ord": ord_[heads], KEY: key[heads], "places": spots, "starts": None, "ends": None})
-    return pd.concat([x for x in (open_, known) if len(x)], ignore_index=True) if len(known) or len(open_) else open_
+    open_ = pd.DataFrame({"bucket": bucket, "context": context[heads].view(f"V{WIDE + 2}").ravel().tolist(), "ord": ord_[heads], KEY: key[heads], "data": spots})
+    return pd.concat([x for x in (open_, known) if len(x)], ignore_index=True) if len(known) else open_
 
 
 def multikey_sorted(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,18 +297,15 @@ def grown(part: np.ndarray) -> np.ndarray:
 
 
 def compared(rows: pd.DataFrame) -> pd.DataFrame:
-    """(KEY, starts, ends): which strings of a bucket's documents also occur in one with a smaller order.
+    """(KEY, spans): which strings of a bucket's documents also occur in one with a smaller order.
 
     Suffixes are sorted, and so are the bytes before them, read backwards. A string that begins `o` bytes
     before its suffix is equal to another one where both agree on `o` bytes to the left and on the rest to
     the right; of equal ones, all but those of the smallest order are repeats. Buckets part suffixes by
     whole grams, so no equal strings lie on two sides of a boundary.
     """
-    empty = pd.DataFrame({KEY: pd.Series(dtype="int64"), "starts": [], "ends": []})
     if rows["bucket"].iloc[0] < 0:
-        return rows[[KEY, "starts", "ends"]]
-    if len(rows) < 2:
-        return empty
+        return pd.DataFrame({KEY: rows[KEY], "spans": rows["data"]})
     rows = rows.sort_values("ord", kind="stable", ignore_index=True)
     context = np.frombuffer(b"".join(rows["context"]), np.uint8).reshape(len(rows), WIDE + 2)
     ord_ = rows["ord"].to_numpy(np.int64)
@@ -303,29 +320,27 @@ def compared(rows: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(kind, kind="stable")
         at, kind = at[order], kind[order]
         begun = first_of(kind)
-        repeat = at[ord_[at] > np.repeat(ord_[at[begun]], np.diff(np.r_[begun, len(at)]))]
+        repeat = at[ord_[at] > np.repeat(ord_[at[begun]], ends_of(begun, len(at)) - begun)]
         most[repeat] = o
         least[repeat] = np.minimum(least[repeat], o)
     hit = np.flatnonzero(most >= 0)
-    if not len(hit):
-        return empty
-    places = [np.asarray(p, np.int64) for p in rows["places"].to_numpy()[hit]]
-    starts, ends = [p - most[i] for p, i in zip(places, hit, strict=True)], [p + STRING - least[i] for p, i in zip(places, hit, strict=True)]
+    places = [np.frombuffer(p, np.int64) for p in rows["data"].to_numpy()[hit]]
+    spans = [np.stack((p - most[i], p + STRING - least[i])) for p, i in zip(places, hit, strict=True)]
     key = rows[KEY].to_numpy(np.int64)[hit]
     order = np.argsort(key, kind="stable")
     begun = first_of(key[order])
-    groups = list(zip(begun, np.r_[begun[1:], len(order)], strict=True))
-    joined = lambda parts, a, b: np.concatenate([parts[i] for i in order[a:b]])
-    return pd.DataFrame({KEY: key[order][begun], "starts": [joined(starts, a, b) for a, b in groups], "ends": [joined(ends, a, b) for a, b in groups]})
+    joined = [np.concatenate([spans[i] for i in order[a:b]], axis=1).tobytes() for a, b in zip(begun, ends_of(begun, len(order)), strict=True)]
+    return pd.DataFrame({KEY: key[order][begun], "spans": joined})
 
 
 def without_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents without the union of their spans: numbers of bytes and of maximal runs removed, digest of the rest."""
     for rows in batches:
         out = []
-        for key, data, starts, ends in zip(rows[KEY], rows["bytes"], rows["starts"], rows["ends"], strict=True):
+        for key, data, spans in zip(rows[KEY], rows["bytes"], rows["spans"], strict=True):
+            starts, ends = np.concatenate([np.frombuffer(s, np.int64).reshape(2, -1) for s in spans], axis=1)
             order = np.argsort(starts, kind="stable")
-            starts, ends = np.asarray(starts, np.int64)[order], np.maximum.accumulate(np.asarray(ends, np.int64)[order])
+            starts, ends = starts[order], np.maximum.accumulate(ends[order])
             fresh = np.r_[True, starts[1:] > ends[:-1]]
             begin, stop = starts[fresh], ends[np.r_[np.flatnonzero(fresh)[1:] - 1, len(ends) - 1]]
             keep = [data[a:b] for a, b in zip(np.r_[0, stop], np.r_[begin, len(data)], strict=True)]
@@ -342,13 +357,13 @@ def order_of(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, total_bytes: int, n_docs: int, hot: int = HOT) -> DataFrame:
-    """(KEY, starts, ends): stretches of each of `docs` (KEY, ord, bytes) that repeat a smaller document's."""
+    """(KEY, spans): stretches of each of `docs` (KEY, ord, bytes) that repeat a smaller document's, as packed starts, then ends."""
     bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, total_bytes / (SPAN / 2) / BUCKET_GRAMS)))))
     entries = docs.select(KEY, "bytes").mapInPandas(lambda rows: gram_entries(rows, bits), "bucket int, keys binary, h binary, i binary, mh binary, mi binary")
     reply = entries.groupBy("bucket").applyInPandas(lambda rows: shared_grams(rows, hot), f"{KEY} long, grams binary, hot binary")
     lists = durable(reply.groupBy(KEY).agg(F.collect_list("grams").alias("grams"), F.collect_list("hot").alias("hot")))
-    known = docs.join(lists, KEY)
-    kind = f"bucket long, context binary, ord long, {KEY} long, places array<long>, starts array<long>, ends array<long>"
+    known = docs.join(lists, KEY).sortWithinPartitions(KEY)  # a task that is run again sees the same batches
+    kind = f"bucket long, context binary, ord long, {KEY} long, data binary"
     share = max(1, n_docs // SAMPLED)
     sample = docs.filter(F.pmod(F.xxhash64(KEY), F.lit(share)) == 0).join(lists.filter(F.pmod(F.xxhash64(KEY), F.lit(share)) == 0), KEY)
     none = np.zeros(0, np.uint64)
@@ -356,10 +371,10 @@ def repeated_spans(docs: DataFrame, total_bytes: int, n_docs: int, hot: int = HO
     heads = sample.mapInPandas(lambda rows: suffixes(rows, bits, False, none, 1), kind).filter("bucket >= 0").groupBy(head.alias("head")).count().collect()
     splitters, parts = splitting({int(r["head"], 16): r["count"] for r in heads}, share)
     cold = known.mapInPandas(lambda rows: suffixes(rows, bits, False, splitters, parts), kind)
-    found = cold.groupBy("bucket").applyInPandas(compared, f"{KEY} long, starts array<long>, ends array<long>")
+    found = cold.groupBy("bucket").applyInPandas(compared, f"{KEY} long, spans binary")
     if not lists.filter(F.exists("hot", lambda h: F.length(h) > 0)).isEmpty():
         found = found.unionByName(hot_spans(known.mapInPandas(lambda rows: suffixes(rows, bits, True, none, 1), kind)))
-    return found.groupBy(KEY).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    return found.groupBy(KEY).agg(F.collect_list("spans").alias("spans"))
 
 
 def splitting(heads: dict[int, int], share: int) -> tuple[np.ndarray, int]:
@@ -381,15 +396,21 @@ def hot_spans(rows: DataFrame) -> DataFrame:
     Smallest orders are combined before the shuffle, and the strings of one suffix lie in as many groups as
     they have contents, so no task holds all suffixes of a gram.
     """
+    rows = durable(rows)
     before, after = (F.conv(F.hex(F.substring("context", i, 1)), 16, 10).cast("int") for i in (WIDE + 1, WIDE + 2))
     ways = F.sequence(F.greatest(F.lit(0), STRING - after), before)
     whole = rows.filter("bucket >= 0").filter(F.greatest(F.lit(0), STRING - after) <= before)
-    strings = durable(whole.select(KEY, "ord", "places", F.explode(ways).alias("o"), "context").withColumn("string", F.expr(f"substring(context, {LEFT + 1} - o, {STRING})")).drop("context"))
+    strings = durable(whole.select(KEY, "ord", "data", F.explode(ways).alias("o"), "context").withColumn("string", F.expr(f"substring(context, {LEFT + 1} - o, {STRING})")).drop("context"))
     first = strings.groupBy("string").agg(F.min("ord").alias("first"))
     hits = strings.join(first, "string").filter("ord > first")
-    starts, ends = F.transform("places", lambda p: p - F.col("o")), F.transform("places", lambda p: p - F.col("o") + STRING)
-    clear = rows.filter("bucket < 0").select(KEY, "starts", "ends")
-    return hits.select(KEY, starts.alias("starts"), ends.alias("ends")).unionByName(clear)
+    clear = rows.filter("bucket < 0").select(KEY, F.col("data").alias("spans"))
+    return hits.select(KEY, "o", "data").mapInPandas(string_spans, f"{KEY} long, spans binary").unionByName(clear)
+
+
+def string_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        starts = [np.frombuffer(p, np.int64) - o for p, o in zip(rows["data"], rows["o"], strict=True)]
+        yield pd.DataFrame({KEY: rows[KEY], "spans": [np.stack((p, p + STRING)).tobytes() for p in starts]})
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
