@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -184,12 +185,12 @@ def shared_grams(rows: pd.DataFrame, hot: int) -> pd.DataFrame:
 
 
 def suffixes(batches: Iterator[pd.DataFrame], bits: int, want_hot: bool, splitters: np.ndarray, parts: int) -> Iterator[pd.DataFrame]:
-    """Suffixes with shared grams: (bucket, context, ord, KEY, data), and matches that are clear at once.
+    """Suffixes with shared grams, packed: one row a bucket and run of texts, and matches that are clear at once.
 
-    The context is LEFT bytes before, STRING bytes from the place on, and how many of either the document
-    has; `data` holds the places. Equal contexts of a run of documents are compared here: those of the
-    document with the smallest order stand for all, the others' strings are repeats, whose spans are the
-    data of rows without a context.
+    A suffix has a context (LEFT bytes before, STRING bytes from the place on, and how many of either the
+    document has), order, key, and `n` places in `data`. Equal contexts of a run of texts are compared
+    here: those of the document with the smallest order stand for all, the others' strings are repeats.
+    Rows without contexts hold these: `n` spans a key, their starts, then ends.
     """
     for rows in batches:
         texts = rows["bytes"].tolist()
@@ -241,18 +242,36 @@ def collapsed(context: np.ndarray, key: np.ndarray, ord_: np.ndarray, place: np.
     clear = clear[np.argsort(key[clear], kind="stable")]
     heads = first_of(key[clear])
     ends = ends_of(heads, len(clear))
-    spans = [np.stack((place[at] - near[at], place[at] + STRING - far[at])).tobytes() for at in (clear[a:b] for a, b in zip(heads, ends, strict=True))]
-    owner = key[clear][heads]
-    known = pd.DataFrame({"bucket": -1 - owner % max(1, (len(splitters) + 1) * parts), "context": None, "ord": 0, KEY: owner, "data": spans})
+    groups = max(1, (len(splitters) + 1) * parts)
+    rows = []
+    if len(clear):
+        spans = [np.stack((place[at] - near[at], place[at] + STRING - far[at])).tobytes() for at in (clear[a:b] for a, b in zip(heads, ends, strict=True))]
+        owner = key[clear][heads]
+        rows.append((-1 - int(owner[0]) % groups, None, None, owner.tobytes(), (ends - heads).tobytes(), b"".join(spans)))
     kept = np.flatnonzero(~repeat)
-    heads = kept[first_of(np.stack((kind[kept], key[kept]), axis=1).view([("k", np.int64), ("d", np.int64)]).ravel())]
-    begins = np.searchsorted(kept, heads)
-    spots = [place[kept[a:b]].tobytes() for a, b in zip(begins, ends_of(begins, len(kept)), strict=True)]
-    lead = leading(context[heads])
-    sub = mixed(mixed(lead) + np.ascontiguousarray(context[heads, LEFT + 8 : LEFT + GRAM]).view("<u8").ravel()) % np.uint64(max(1, parts))
+    first = first_of(np.stack((kind[kept], key[kept]), axis=1).view([("k", np.int64), ("d", np.int64)]).ravel())
+    count = ends_of(first, len(kept)) - first
+    one = kept[first]
+    lead = leading(context[one])
+    sub = mixed(mixed(lead) + np.ascontiguousarray(context[one, LEFT + 8 : LEFT + GRAM]).view("<u8").ravel()) % np.uint64(max(1, parts))
     bucket = np.searchsorted(splitters, lead, side="right") * max(1, parts) + sub.astype(np.int64)
-    open_ = pd.DataFrame({"bucket": bucket, "context": context[heads].view(f"V{WIDE + 2}").ravel().tolist(), "ord": ord_[heads], KEY: key[heads], "data": spots})
-    return pd.concat([x for x in (open_, known) if len(x)], ignore_index=True) if len(known) else open_
+    order = np.lexsort((lead, bucket))
+    one, first, count, bucket = one[order], first[order], count[order], bucket[order]
+    begun = first_of(bucket)
+    for a, b in zip(begun, ends_of(begun, len(bucket)), strict=True):
+        i = one[a:b]
+        where = kept[gathered(first[a:b], count[a:b])]
+        rows.append((int(bucket[a]), context[i].tobytes(), ord_[i].tobytes(), key[i].tobytes(), count[a:b].tobytes(), place[where].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "context", "ord", "key", "n", "data"])
+
+
+def gathered(begun: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of runs of `count` values that begin at `begun`, one run after another."""
+    return np.repeat(begun - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def numbers(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.int64)
 
 
 def multikey_sorted(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,18 +324,21 @@ def compared(rows: pd.DataFrame) -> pd.DataFrame:
     whole grams, so no equal strings lie on two sides of a boundary.
     """
     if rows["bucket"].iloc[0] < 0:
-        return pd.DataFrame({KEY: rows[KEY], "spans": rows["data"]})
-    rows = rows.sort_values("ord", kind="stable", ignore_index=True)
-    context = np.frombuffer(b"".join(rows["context"]), np.uint8).reshape(len(rows), WIDE + 2)
-    ord_ = rows["ord"].to_numpy(np.int64)
+        return known_spans(rows)
+    ord_ = numbers(rows["ord"])
+    order = np.argsort(ord_, kind="stable")
+    ord_, keys = ord_[order], numbers(rows["key"])[order]
+    context = np.frombuffer(b"".join(rows["context"]), np.uint8).reshape(-1, WIDE + 2)[order]
+    count, data = numbers(rows["n"]), numbers(rows["data"])
+    offset, count = (np.cumsum(count) - count)[order], count[order]
     before, after = context[:, WIDE], context[:, WIDE + 1]
-    right, left = grown(context[:, LEFT:WIDE]), grown(context[:, LEFT - 1 :: -1] if LEFT else context[:, :0])
-    most, least = np.full(len(rows), -1), np.full(len(rows), STRING)
+    right, left = grown(context[:, LEFT:WIDE]), grown(context[:, LEFT - 1 :: -1])
+    most, least = np.full(len(ord_), -1), np.full(len(ord_), STRING)
     for o in range(LEFT + 1):
         at = np.flatnonzero((before >= o) & (after >= STRING - o))
         if len(at) < 2:
             continue
-        kind = right[STRING - o][at].astype(np.int64) * (len(rows) + 1) + left[o][at]
+        kind = right[STRING - o][at].astype(np.int64) * (len(ord_) + 1) + left[o][at]
         order = np.argsort(kind, kind="stable")
         at, kind = at[order], kind[order]
         begun = first_of(kind)
@@ -324,13 +346,19 @@ def compared(rows: pd.DataFrame) -> pd.DataFrame:
         most[repeat] = o
         least[repeat] = np.minimum(least[repeat], o)
     hit = np.flatnonzero(most >= 0)
-    places = [np.frombuffer(p, np.int64) for p in rows["data"].to_numpy()[hit]]
-    spans = [np.stack((p - most[i], p + STRING - least[i])) for p, i in zip(places, hit, strict=True)]
-    key = rows[KEY].to_numpy(np.int64)[hit]
-    order = np.argsort(key, kind="stable")
-    begun = first_of(key[order])
-    joined = [np.concatenate([spans[i] for i in order[a:b]], axis=1).tobytes() for a, b in zip(begun, ends_of(begun, len(order)), strict=True)]
-    return pd.DataFrame({KEY: key[order][begun], "spans": joined})
+    hit = hit[np.argsort(keys[hit], kind="stable")]
+    place, which = data[gathered(offset[hit], count[hit])], np.repeat(hit, count[hit])
+    starts, ends, key = place - most[which], place + STRING - least[which], keys[which]
+    heads = first_of(key)
+    joined = [np.stack((starts[a:b], ends[a:b])).tobytes() for a, b in zip(heads, ends_of(heads, len(key)), strict=True)]
+    return pd.DataFrame({KEY: key[heads], "spans": joined})
+
+
+def known_spans(rows: pd.DataFrame) -> pd.DataFrame:
+    """(KEY, spans) of packed rows without contexts."""
+    keys, count, data = numbers(rows["key"]), numbers(rows["n"]), b"".join(rows["data"])
+    ends = 16 * np.cumsum(count)
+    return pd.DataFrame({KEY: keys, "spans": [data[e - 16 * n : e] for e, n in zip(ends, count, strict=True)]})
 
 
 def without_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -363,17 +391,17 @@ def repeated_spans(docs: DataFrame, total_bytes: int, n_docs: int, hot: int = HO
     reply = entries.groupBy("bucket").applyInPandas(lambda rows: shared_grams(rows, hot), f"{KEY} long, grams binary, hot binary")
     lists = durable(reply.groupBy(KEY).agg(F.collect_list("grams").alias("grams"), F.collect_list("hot").alias("hot")))
     known = docs.join(lists, KEY).sortWithinPartitions(KEY)  # a task that is run again sees the same batches
-    kind = f"bucket long, context binary, ord long, {KEY} long, data binary"
+    kind = "bucket long, context binary, ord binary, key binary, n binary, data binary"
     share = max(1, n_docs // SAMPLED)
     sample = docs.filter(F.pmod(F.xxhash64(KEY), F.lit(share)) == 0).join(lists.filter(F.pmod(F.xxhash64(KEY), F.lit(share)) == 0), KEY)
     none = np.zeros(0, np.uint64)
-    head = F.hex(F.substring("context", LEFT + 1, 8))
-    heads = sample.mapInPandas(lambda rows: suffixes(rows, bits, False, none, 1), kind).filter("bucket >= 0").groupBy(head.alias("head")).count().collect()
-    splitters, parts = splitting({int(r["head"], 16): r["count"] for r in heads}, share)
+    heads = sample.mapInPandas(lambda rows: sampled_heads(suffixes(rows, bits, False, none, 1)), "head decimal(20,0), n long").groupBy("head").agg(F.sum("n").alias("n")).collect()
+    splitters, parts = splitting({int(r["head"]): r["n"] for r in heads}, share)
     cold = known.mapInPandas(lambda rows: suffixes(rows, bits, False, splitters, parts), kind)
     found = cold.groupBy("bucket").applyInPandas(compared, f"{KEY} long, spans binary")
     if not lists.filter(F.exists("hot", lambda h: F.length(h) > 0)).isEmpty():
-        found = found.unionByName(hot_spans(known.mapInPandas(lambda rows: suffixes(rows, bits, True, none, 1), kind)))
+        strings = known.mapInPandas(lambda rows: hot_strings(suffixes(rows, bits, True, none, 1)), f"{KEY} long, ord long, o int, string binary, data binary")
+        found = found.unionByName(hot_spans(durable(strings)))
     return found.groupBy(KEY).agg(F.collect_list("spans").alias("spans"))
 
 
@@ -390,20 +418,40 @@ def splitting(heads: dict[int, int], share: int) -> tuple[np.ndarray, int]:
     return np.unique(values[np.minimum(cuts + 1, len(values) - 1)]), -(-buckets // ranges)
 
 
+def sampled_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First bytes of suffixes, and how many have them."""
+    for rows in batches:
+        for context in rows["context"].dropna():
+            head, n = np.unique(leading(np.frombuffer(context, np.uint8).reshape(-1, WIDE + 2)), return_counts=True)
+            yield pd.DataFrame({"head": [Decimal(int(h)) for h in head], "n": n})
+
+
+def hot_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All strings around suffixes: (KEY, ord, o, string, data), `o` bytes before the places; spans that are clear without a string."""
+    for rows in batches:
+        clear = known_spans(rows[rows["context"].isna()])
+        if len(clear):
+            yield pd.DataFrame({KEY: clear[KEY], "ord": None, "o": None, "string": None, "data": clear["spans"]})
+        for _, row in rows[rows["context"].notna()].iterrows():
+            context = np.frombuffer(row["context"], np.uint8).reshape(-1, WIDE + 2)
+            key, ord_, count = (np.frombuffer(row[c], np.int64) for c in ("key", "ord", "n"))
+            ends = 8 * np.cumsum(count)
+            for o in range(LEFT + 1):
+                at = np.flatnonzero((context[:, WIDE] >= o) & (context[:, WIDE + 1] >= STRING - o))
+                string = [x.tobytes() for x in context[at, LEFT - o : LEFT - o + STRING]]
+                yield pd.DataFrame({KEY: key[at], "ord": ord_[at], "o": o, "string": string, "data": [row["data"][ends[i] - 8 * count[i] : ends[i]] for i in at]})
+
+
 def hot_spans(rows: DataFrame) -> DataFrame:
-    """Repeats among suffixes whose gram very many documents share, by grouping their strings in the cluster.
+    """(KEY, spans) of repeats among suffixes whose gram very many documents share, by grouping their strings.
 
     Smallest orders are combined before the shuffle, and the strings of one suffix lie in as many groups as
     they have contents, so no task holds all suffixes of a gram.
     """
-    rows = durable(rows)
-    before, after = (F.conv(F.hex(F.substring("context", i, 1)), 16, 10).cast("int") for i in (WIDE + 1, WIDE + 2))
-    ways = F.sequence(F.greatest(F.lit(0), STRING - after), before)
-    whole = rows.filter("bucket >= 0").filter(F.greatest(F.lit(0), STRING - after) <= before)
-    strings = durable(whole.select(KEY, "ord", "data", F.explode(ways).alias("o"), "context").withColumn("string", F.expr(f"substring(context, {LEFT + 1} - o, {STRING})")).drop("context"))
+    strings = rows.filter("string is not null")
     first = strings.groupBy("string").agg(F.min("ord").alias("first"))
     hits = strings.join(first, "string").filter("ord > first")
-    clear = rows.filter("bucket < 0").select(KEY, F.col("data").alias("spans"))
+    clear = rows.filter("string is null").select(KEY, F.col("data").alias("spans"))
     return hits.select(KEY, "o", "data").mapInPandas(string_spans, f"{KEY} long, spans binary").unionByName(clear)
 
 
@@ -413,9 +461,9 @@ def string_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({KEY: rows[KEY], "spans": [np.stack((p, p + STRING)).tobytes() for p in starts]})
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """One row a row of `docs` (with KEY): KEY, n_bytes, n_removed, n_spans, kept (the bytes that stay, null where
-    all stay or none), digest (SHA-256 of what stays, lowercase hex).
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
+    """One row a row of `docs` (with KEY): KEY, n_bytes, n_removed, n_spans, digest (SHA-256 of the bytes that stay,
+    lowercase hex), and `with_text` also `kept`, these bytes, for the documents that lose some of theirs.
 
     A null text is empty. Texts under STRING bytes lose nothing. Rows with equal ids repeat nothing of each
     other, as neither id is smaller; a null id is smaller than all others. Of equal texts only those with the
@@ -423,23 +471,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not read.
     """
     texts = order_of(docs.select(KEY, id_col, text_col), id_col).select(KEY, "ord", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
-    heads = durable(texts.select(KEY, "ord", F.length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("digest")))
+    heads = durable(texts.select(KEY, "ord", F.length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("whole")))
     long_ = heads.filter(F.col("n_bytes") >= STRING)
-    firsts = long_.groupBy("digest").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = durable(long_.join(firsts, "digest").filter("ord > first").select(KEY))
+    firsts = long_.groupBy("whole").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = durable(long_.join(firsts, "whole").filter("ord > first").select(KEY))
     total, n = long_.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     searched = texts.filter(F.length("bytes") >= STRING).join(small(copies), KEY, "left_anti")
-    spans = durable(repeated_spans(searched, total, n, hot))
-    cut = searched.select(KEY, "bytes").join(small(spans.select(KEY)), KEY, "left_semi").join(spans, KEY)
-    cut = durable(cut.mapInPandas(without_spans, f"{KEY} long, n_removed long, n_spans long, kept binary"))
-    gone = copies.select(KEY, F.lit(True).alias("gone"))
-    rows = heads.join(cut, KEY, "left").join(gone, KEY, "left")
-    none, digest = F.sha2(F.lit(b""), 256), F.sha2("kept", 256)
-    return rows.select(
-        KEY, "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(F.col("gone"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), "kept",
-        F.when(F.col("gone"), none).when(F.col("kept").isNotNull(), digest).otherwise(F.col("digest")).alias("digest"),
-    )
+    cut = searched.join(repeated_spans(searched, total, n, hot), KEY)
+    cut = cut.select(KEY, "ord", "bytes", "spans").mapInPandas(without_spans, f"{KEY} long, n_removed long, n_spans long, kept binary")
+    kept = [F.col("kept")] if with_text else []
+    cut = cut.select(KEY, "n_removed", "n_spans", F.sha2("kept", 256).alias("digest"), *kept)
+    none = F.lit(b"")
+    gone = copies.select(KEY).join(heads.select(KEY, "n_bytes"), KEY)
+    gone = gone.select(KEY, F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(none, 256).alias("digest"), *([none.alias("kept")] if with_text else []))
+    changed = durable(cut.unionByName(gone))
+    rows = heads.join(changed, KEY, "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")]
+    return rows.select(KEY, "n_bytes", *counts, F.coalesce("digest", "whole").alias("digest"), *kept)
 
 
 def op12_suffix_dedup(spark, sf_dir):
