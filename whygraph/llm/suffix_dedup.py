@@ -32,8 +32,8 @@ WIDE = LEFT + STRING
 SLICE, PIECE, TOGETHER = 1 << 15, 1 << 23, 1 << 16
 #: Bits of a gram's hash that go along beside its bucket's; equal ones only cost a comparison.
 KEPT_BITS = 40
-#: Grams of a bucket, and buckets at most (as bits).
-BUCKET_GRAMS, MOST_BITS = 1 << 19, 17
+#: Grams of a bucket; buckets at least, so that small tables keep the cores busy, and at most (as bits).
+BUCKET_GRAMS, LEAST_BITS, MOST_BITS = 1 << 20, 6, 17
 #: Suffixes of a sorted bucket, ranges that are cut by sampled splitters at most, documents of the sample.
 BUCKET_SUFFIXES, RANGES, SAMPLED = 1 << 16, 4096, 4096
 #: Documents that share a gram from which on its strings are compared by grouping instead of in one bucket.
@@ -386,7 +386,7 @@ def order_of(docs: DataFrame, id_col: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, total_bytes: int, n_docs: int, hot: int = HOT) -> DataFrame:
     """(KEY, spans): stretches of each of `docs` (KEY, ord, bytes) that repeat a smaller document's, as packed starts, then ends."""
-    bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, total_bytes / (SPAN / 2) / BUCKET_GRAMS)))))
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, total_bytes / (SPAN / 2) / BUCKET_GRAMS)))))
     entries = docs.select(KEY, "bytes").mapInPandas(lambda rows: gram_entries(rows, bits), "bucket int, keys binary, h binary, i binary, mh binary, mi binary")
     reply = entries.groupBy("bucket").applyInPandas(lambda rows: shared_grams(rows, hot), f"{KEY} long, grams binary, hot binary")
     lists = durable(reply.groupBy(KEY).agg(F.collect_list("grams").alias("grams"), F.collect_list("hot").alias("hot")))
