@@ -33,7 +33,7 @@ SLICE, PIECE, TOGETHER = 1 << 15, 1 << 23, 1 << 16
 #: Bits of a gram's hash that go along beside its bucket's; equal ones only cost a comparison.
 KEPT_BITS = 40
 #: Grams of a bucket; buckets at least, so that small tables keep the cores busy, and at most (as bits).
-BUCKET_GRAMS, LEAST_BITS, MOST_BITS = 1 << 20, 6, 17
+BUCKET_GRAMS, LEAST_BITS, MOST_BITS = 1 << 19, 7, 17
 #: Suffixes of a sorted bucket, ranges that are cut by sampled splitters at most, documents of the sample.
 BUCKET_SUFFIXES, RANGES, SAMPLED = 1 << 16, 4096, 4096
 #: Documents that share a gram from which on its strings are compared by grouping instead of in one bucket.
