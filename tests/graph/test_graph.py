@@ -15,7 +15,7 @@ from whygraph.operators import audit, decisions, evidence, gate, link, reason, r
 from whygraph.plans import build
 from whygraph.schema import DECISION, EDGE, NODE, PENDING
 from whygraph.sources import payloads
-from whygraph.streaming import ingest
+from whygraph.streaming import cursors, ingest
 
 T0, T1, T2 = datetime(2024, 1, 1), datetime(2024, 6, 1), datetime(2025, 1, 1)
 def now():
@@ -516,47 +516,20 @@ def test_repairs(spark):
 
 def test_cursors(spark):
     wanted = spark.createDataFrame([(1, "issues"), (1, "commits"), (1, "releases")], "repo_id long, resource string")
-    start = ingest.start_cursors(spark.createDataFrame([], ingest.CURSOR), wanted, at(T2), 1)
+    start = cursors.start_cursors(spark.createDataFrame([], cursors.CURSOR), wanted, at(T2), 1)
     assert {(r.resource, r.phase) for r in start.collect()} == {("issues", "backfill"), ("commits", "backfill"), ("releases", "steady")}
     times = [datetime(2024, 11, 1), datetime(2024, 12, 10), datetime(2024, 12, 20)]
     rows = spark.createDataFrame([(1, s, t) for s in ("issues", "commits", "releases") for t in times], "repo_id long, resource string, updated_at timestamp")
-    assert Counter(r.resource for r in ingest.due(rows, start).collect()) == {"issues": 2, "commits": 2, "releases": 3}
+    assert Counter(r.resource for r in cursors.due(rows, start).collect()) == {"issues": 2, "commits": 2, "releases": 3}
     none = spark.createDataFrame([], "repo_id long, resource string")
-    one = ingest.advance(start, rows.filter("updated_at > '2024-12-15'"), none)
-    two = ingest.advance(one, rows.filter("updated_at < '2024-12-15' and updated_at > '2024-12-01'"), none)
+    one = cursors.advance(start, rows.filter("updated_at > '2024-12-15'"), none)
+    two = cursors.advance(one, rows.filter("updated_at < '2024-12-15' and updated_at > '2024-12-01'"), none)
     by = {r.resource: r for r in two.collect()}
     assert by["commits"].backfill_cursor == times[1] and {r.steady_watermark for r in by.values()} == {times[2]}
-    assert Counter(r.resource for r in ingest.due(rows, two).collect()) == {"issues": 1, "commits": 1, "releases": 3}
-    done = {r.resource: r.phase for r in ingest.advance(two, rows.limit(0), wanted).collect()}
+    assert Counter(r.resource for r in cursors.due(rows, two).collect()) == {"issues": 1, "commits": 1, "releases": 3}
+    done = {r.resource: r.phase for r in cursors.advance(two, rows.limit(0), wanted).collect()}
     assert done == {"issues": "backfill", "commits": "steady", "releases": "steady"}
-    assert ingest.start_cursors(two, wanted, at(T0), 9).count() == 3
-
-
-def test_stream_equals_one_batch(spark, tmp_path):
-    def row(seq, number, body, pr):
-        return {"repo_id": 1, "repo": "org/repo", "seq": seq, "number": number, "title": f"t{number}", "body": body, "user": {"login": "ann"}, "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00Z"} | ({"pull_request": {"merged_at": "2024-02-01T00:00:00Z"}} if pr else {})
-
-    first, second = [row(1, 5, "fixes #4, see #9", True), row(2, 7, "closes #5", True)], [row(3, 4, "", False), row(2, 7, "closes #5", True)]
-    (tmp_path / "land").mkdir()
-    streamed = ingest.GraphState(spark, f"{tmp_path}/streamed")
-    for k, rows in enumerate((first, second, [])):  # the last run finds nothing new
-        if rows:
-            (tmp_path / f"land/{k}.json").write_text("\n".join(map(json.dumps, rows)))
-        ingest.stream(spark, f"{tmp_path}/land", streamed, f"{tmp_path}/check", now).awaitTermination()
-    assert streamed.versions() == [0, 1]
-    whole = ingest.GraphState(spark, f"{tmp_path}/whole")
-    everything = payloads.read_landed(spark, f"{tmp_path}/land", payloads.ARTIFACT)
-    ingest.apply_batch(whole, everything, 0, now())
-    ingest.apply_batch(whole, everything, 0, at(T0))  # a replay changes nothing
-
-    def table(state, name, schema, *columns):
-        return sorted(map(str, state.read(name, schema).select(*columns).collect()))
-
-    for name, schema, columns in (("nodes", NODE, ("node_id", "thread_key", "title")), ("edges", EDGE, ("src_id", "dst_id", "edge_type", "tier", "valid_from", "valid_to")), ("decisions", DECISION, ("node_id", "status", "summary"))):
-        assert table(streamed, name, schema, *columns) == table(whole, name, schema, *columns), name
-    queue = {r.ref_number: r.resolved_at for r in streamed.read("pending", PENDING).collect()}
-    assert queue[9] is None and queue[4] is not None
-    assert whole.read("decisions", DECISION).count() == 1
+    assert cursors.start_cursors(two, wanted, at(T0), 9).count() == 3
 
 
 def test_a_derived_graph_follows_its_files(spark, tmp_path):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions.text import thread_rank
 from .components import components
 
@@ -31,21 +32,24 @@ def cluster(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def renames(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(loser, winner) of the thread keys that new `edges` merge; only touched keys are looked at."""
-    keys = nodes.filter("thread_key is not null").select("node_id", "thread_key")
-    ends = union_edges(edges).join(keys.toDF("a", "key_a"), "a").join(keys.toDF("b", "key_b"), "b").filter("key_a <> key_b")
-    ids = ends.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct().withColumn("id", F.xxhash64("key"))
-    found = components(ends.select(F.xxhash64("key_a").alias("a"), F.xxhash64("key_b").alias("b")))
-    rooted = ids.join(found, ids.id == found.node).select("key", "root")
-    best = rooted.groupBy("root").agg(F.min(thread_rank(F.col("key"))).alias("best"))
-    return rooted.join(best, "root").filter("key <> best.key").select(F.col("key").alias("loser"), F.col("best.key").alias("winner"))
+    """(token, key): what new `edges` make of the thread keys and keyless nodes that they touch.
+
+    A token is a thread's key, or a keyless node. Only the ends of `edges` are looked up; their tokens are
+    joined by the edges between them, and each component takes the lowest-ranking key in it.
+    """
+    pairs = union_edges(edges)
+    tokens = nodes.select("node_id", F.coalesce("thread_key", F.concat(F.lit("node:"), F.col("node_id").cast("string"))).alias("token"), "thread_key")
+    touched = durable(tokens.join(pairs.select(F.explode(F.array("a", "b")).alias("node_id")).distinct(), "node_id", "left_semi"))
+    one, two = touched.select(F.col("node_id").alias("a"), F.col("token").alias("one")), touched.select(F.col("node_id").alias("b"), F.col("token").alias("two"))
+    found = components(pairs.join(one, "a").join(two, "b").select(F.col("one").alias("a"), F.col("two").alias("b")))
+    rooted = touched.select("token", "thread_key").distinct().join(found, F.col("token") == F.col("node")).select("token", "thread_key", "root")
+    best = rooted.groupBy("root").agg(F.min(thread_rank(F.col("thread_key"))).alias("best"))
+    changed = rooted.join(best, "root").select("token", F.col("best.key").alias("key"))
+    return changed.filter("key is not null and key <> token")
 
 
 def merge_threads(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`nodes` after new `edges`: losing keys are renamed, and nodes without a key take a neighbour's."""
-    renamed = nodes.join(renames(nodes, edges), F.col("thread_key") == F.col("loser"), "left").withColumn("thread_key", F.coalesce("winner", "thread_key")).select(*nodes.columns)
-    keys = renamed.filter("thread_key is not null").select(F.col("node_id").alias("near"), F.col("thread_key").alias("near_key"))
-    pairs = union_edges(edges)
-    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    taken = pairs.join(keys, F.col("b") == F.col("near")).groupBy(F.col("a").alias("node")).agg(F.min(thread_rank(F.col("near_key"))).alias("best"))
-    return renamed.join(taken, F.col("node_id") == F.col("node"), "left").withColumn("thread_key", F.coalesce("thread_key", "best.key")).select(*nodes.columns)
+    """`nodes` after new `edges`: losing keys are renamed, and nodes without a key take that of their neighbours."""
+    token = F.coalesce("thread_key", F.concat(F.lit("node:"), F.col("node_id").cast("string")))
+    renamed = nodes.withColumn("token", token).join(durable(renames(nodes, edges)), "token", "left")
+    return renamed.withColumn("thread_key", F.coalesce("key", "thread_key")).select(*nodes.columns)

@@ -11,7 +11,7 @@ from .operators import audit, decisions, evidence, gate, link, reason, retrieval
 from .plans.build import derived_graph
 from .schema import SCORES, node_id
 from .sources import derived
-from .streaming import ingest
+from .streaming import cursors as cursor_rules
 
 
 def named(df: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
@@ -272,7 +272,7 @@ def graph_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cursor_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oldest and newest time a resource (event type) and day, and the watermark reached by that day."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return ingest.cursor_progress(events.select(F.col("event_type").alias("resource"), F.col("ts").alias("updated_at")))
+    return cursor_rules.cursor_progress(events.select(F.col("event_type").alias("resource"), F.col("ts").alias("updated_at")))
 
 
 QUERIES = {

@@ -13,7 +13,7 @@ from .functions import text
 from .operators import link, repair, upsert
 from .schema import EDGE, NODE, PENDING, edge_id, node_id
 from .sources import derived, payloads
-from .streaming import ingest
+from .streaming import cursors as cursor_rules
 
 LATER = "2099-01-01 00:00:00"
 
@@ -188,9 +188,9 @@ def cursor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = rows.crossJoin(F.broadcast(middle))  # one row
     first = dated.filter("updated_at < middle").drop("middle")
     wanted = rows.select("repo_id", "resource").distinct()
-    cursors = ingest.start_cursors(spark.createDataFrame([], ingest.CURSOR), wanted, F.lit("2100-01-01").cast("timestamp"), 12_000)
-    after = ingest.advance(cursors, first, wanted.filter("repo_id % 2 = 0"))
-    due = ingest.due(rows, after).groupBy("repo_id", "resource").agg(F.count("*").alias("due"))
+    cursors = cursor_rules.start_cursors(spark.createDataFrame([], cursor_rules.CURSOR), wanted, F.lit("2100-01-01").cast("timestamp"), 12_000)
+    after = cursor_rules.advance(cursors, first, wanted.filter("repo_id % 2 = 0"))
+    due = cursor_rules.due(rows, after).groupBy("repo_id", "resource").agg(F.count("*").alias("due"))
     return after.join(due, ["repo_id", "resource"], "left").select("repo_id", "resource", "phase", "backfill_cursor", "steady_watermark", F.coalesce("due", F.lit(0)).alias("due"))
 
 
