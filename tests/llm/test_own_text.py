@@ -25,7 +25,8 @@ def extracted(spark, pages):
 LAYOUTS = {
     "two paragraphs": ("<body><p>{0}</p><p>{1}</p></body>", "{0} {1}"),
     "heading above a block": ("<body><h1>{0}</h1><div>{1}</div></body>", "{0} {1}"),
-    "short block beside a long one": ("<body><div class=lead>{0}</div><div>{1}</div></body>", "{0} {1}"),
+    "short block beside a long one": ("<body><div>{0}</div><div>{1}</div></body>", "{0} {1}"),
+    "box with a class around a paragraph": ("<body><div class=lead><p>{0}</p></div><div>{1}</div></body>", "{0} {1}"),
     "list beside a block": ("<body><ul><li>{0}</li><li>{0}</li></ul><div>{1}</div></body>", "{0} {0} {1}"),
     "quotation": ("<body><blockquote>{0}</blockquote><section><p>{1}</p></section></body>", "{0} {1}"),
     "second article": ("<body><article><p>{1}</p></article><article><p>{0}</p></article></body>", "{1} {0}"),

@@ -43,8 +43,9 @@ MARKS = frozenset(
     " widget widgets toolbar pagination pager skip hidden alert form search".split()
 )
 NEVER_MARKED = frozenset("html body main".split())
-#: Elements whose text is that of links and controls, and the share of it from which on a structure can be a template.
-LINKS, LINKED = frozenset("a button label option summary".split()), 0.5
+#: Elements whose text is that of links and controls, and the share of it from which on a structure can be a template;
+#: letters of a box with a class or id, and without elements of text, that can be one for its shortness.
+LINKS, LINKED, SHORT = frozenset("a button label option summary".split()), 0.5, 120
 #: Elements of text, which are never a template by their structure, and neither is what holds an article.
 OWN = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
@@ -200,14 +201,15 @@ class Page:
 
         A structure has tags, classes, ids and roles, but no text and no digits, and equal neighbours count
         once; so a menu of other entries or a footer with another sentence has the same one. Only elements that
-        are mostly links, or that tag, role, class or id name as furniture, may go by their structure: other
-        paragraphs, headings, boxes and articles are a page's own however often their structure recurs.
+        are mostly links, are short boxes with a class or id, or that tag, role, class or id name as furniture,
+        may go by their structure: paragraphs, headings, longer boxes and articles are a page's own however often
+        their structure recurs.
         """
         spine, found = set(self.spine), {}
         below = {e for e in range(1, len(self.tags)) if self.parents[e] in spine and e not in spine and self.parents[e] != self.spine[0] and self.hashes[e] and self.tags[e] not in OWN}
         if below:
-            linked = self.linked()
-            below = {e for e in below if e in linked or skipped(self.tags[e], self.attributes[e])}
+            likely = self.likely()
+            below = {e for e in below if e in likely or skipped(self.tags[e], self.attributes[e])}
         if not below:
             return found
         top = [0] * len(self.tags)
@@ -228,9 +230,13 @@ class Page:
                 near.append(shape)
         return found
 
-    def linked(self) -> set[int]:
-        """The elements of which at least LINKED of the text is in links and controls, without those that hold an article."""
-        inside, text, links, holds = ([kind] * len(self.tags) for kind in (False, 0, 0, False))
+    def likely(self) -> set[int]:
+        """The elements that can be furniture by their text, without those that hold an article.
+
+        At least LINKED of it is in links and controls; or it is SHORT, has no paragraph or heading, and its
+        element has a class or id.
+        """
+        inside, text, links, holds, own = ([kind] * len(self.tags) for kind in (False, 0, 0, False, False))
         for e in range(1, len(inside)):
             inside[e] = inside[self.parents[e]] or self.tags[e] in LINKS
         for e, said in self.pieces:
@@ -238,10 +244,11 @@ class Page:
             text[e] += n
             links[e] += n * inside[e]
         for e in range(len(inside) - 1, 0, -1):
-            holds[e] = holds[e] or self.tags[e] in ("article", "main")
+            holds[e], own[e] = holds[e] or self.tags[e] in ("article", "main"), own[e] or self.tags[e] in OWN
             up = self.parents[e]
-            text[up], links[up], holds[up] = text[up] + text[e], links[up] + links[e], holds[up] or holds[e]
-        return {e for e in range(1, len(inside)) if text[e] and links[e] >= LINKED * text[e] and not holds[e]}
+            text[up], links[up], holds[up], own[up] = text[up] + text[e], links[up] + links[e], holds[up] or holds[e], own[up] or own[e]
+        named = lambda e: any(m[1].lower() in ("class", "id") for m in ATTRIBUTE.finditer(self.attributes[e]))
+        return {e for e in range(1, len(inside)) if text[e] and not holds[e] and (links[e] >= LINKED * text[e] or text[e] <= SHORT and not own[e] and named(e))}
 
     def subtrees(self) -> set[tuple[bytes, bytes]]:
         """(hash, where it stands) of all subtrees with text but those that hold the article, whatever rules say of them.
