@@ -378,7 +378,6 @@ def test_large_scores_are_normalised_too():
 
 
 def test_every_training_token_is_a_target_once(monkeypatch):
-    monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
     targets = []
     monkeypatch.setattr(lm.LogBilinear, "learn", lambda self, w, before: targets.extend(zip(w.tolist(), *[v.tolist() for v in before])))
     draw = random.Random(3)
@@ -386,7 +385,7 @@ def test_every_training_token_is_a_target_once(monkeypatch):
     vocab = vocabulary_of(np.full(50, 9))
     given = {n: getattr(lm.LogBilinear(vocab), n) for n in lm.LogBilinear.NAMES}
     for turn in range(lm.ROUNDS):
-        batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 50], pa.list_(pa.int32()))], ["symbols"]) for i in range(0, len(texts), 50)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([j // 70 for j in range(i, min(i + 50, len(texts)))], pa.int32()), pa.array(texts[i : i + 50], pa.list_(pa.int32()))], ["shard", "symbols"]) for i in range(0, len(texts), 50)]
         list(lm.train_batches(types.SimpleNamespace(value=vocab), types.SimpleNamespace(value=given), turn)(iter(batches)))
     expected = Counter()
     for t in texts:
@@ -394,6 +393,30 @@ def test_every_training_token_is_a_target_once(monkeypatch):
     assert Counter(targets) == expected
 
 
+def test_what_is_learned_does_not_hang_on_tasks_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEP", 64)
+    draw = random.Random(8)
+    vocab = vocabulary_of(np.full(40, 9))
+    rows = [(k, [draw.choice([0, *range(33, 73)]) for _ in range(draw.choice([1, 5, 90, 400]))]) for k in range(120)]
+    rows = [(k, [*t[:-1], 0]) for k, t in rows]
+    table = spark.createDataFrame(rows, f"{KEY} long, symbols array<int>")
+    found = []
+    for tasks, batch in ((1, 10_000), (3, 7), (8, 31)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        found.append(lm.trained(table.repartition(tasks, F.rand(tasks)), vocab, 60))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name in lm.LogBilinear.NAMES:
+        for other in found[1:]:
+            assert np.array_equal(getattr(found[0], name), getattr(other, name)), name
+
+
+def test_the_level_that_overflows_is_filled(spark):
+    """Six words occur equally often and four have room: those with the smallest hashes are taken."""
+    counts = spark.createDataFrame([(h, 1, 5) for h in (9, 3, 7, -2, 4, 8)] + [(1, 1, 2)], "h long, form int, c long")
+    vocab = lm.vocabulary(counts, frequent=4, least=1, counted=4)
+    assert vocab.words == 4 and {int(h) for h in vocab.hashes.view(np.int64)} == {-2, 3, 4, 7}
+
+
 def test_moves_are_means_weighted_by_learning():
     frames = pd.DataFrame([{"part": "q", "block": 0, "task": k, "rows": np.array(rows), "weights": np.array(weights), "sums": np.array(sums, float).ravel()} for k, (rows, weights, sums) in enumerate([([1, 4], [2.0, 1.0], [[2, 4], [1, 1]]), ([4], [3.0], [[5, 7]])])])
     out = lm.summed(frames).iloc[0]

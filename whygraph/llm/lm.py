@@ -28,6 +28,8 @@ WIDTH, CONTEXT = 16, 2
 NOISE, CLASS_NOISE, STEP, RATE = 32, 16, 1 << 16, 0.15
 #: Rounds of training; each one learns from every ROUNDS-th token of all training texts, all rounds from every token once.
 ROUNDS = 2
+#: Tokens of a shard, which is learned from in one piece; the number of shards follows from the table alone.
+SHARD = 1 << 21
 #: Tokens that are scored at a time.
 RUN = 1 << 17
 #: Trained parameters come in blocks of this many rows, and of so many tasks at a time.
@@ -140,17 +142,21 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT, least: int = LEAST,
     """The Vocabulary of `counts` (h, form, c).
 
     The words are those above a least count, or level of counts beyond 4,096, that at most `counted` words
-    reach; no task has to sort them all. The driver gets these, one row a level and one row a bin.
+    reach, and as many of the next level as there is room for, in the order of count and hash; no task has
+    to sort them all. The driver gets these, one row a level and one row a bin.
     """
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.filter(F.col("form") >= 0).withColumn("level", F.when(F.col("c") < 4096, F.col("c")).otherwise(4000 + F.floor(8 * F.log2("c"))))
-    reached, lowest = 0, 1 << 40
+    room, lowest, parted = max(frequent, counted), 1 << 40, None
     for level, n in sorted(words.groupBy("level").count().collect(), reverse=True):
-        reached += n
-        if reached > max(frequent, counted):
+        if n > room:
+            parted = level
             break
-        lowest = level
-    top = words.filter(F.col("level") >= lowest).select("h", "c", "form").toArrow()
+        room, lowest = room - n, level
+    top = words.filter(F.col("level") >= lowest)
+    if parted is not None and room:
+        top = top.unionByName(words.filter(F.col("level") == parted).orderBy(F.desc("c"), "h").limit(room))
+    top = top.select("h", "c", "form").toArrow()
     h, c, form = top.column("h").to_numpy().view(U), top.column("c").to_numpy(), top.column("form").to_numpy()
     order = np.lexsort((h.view(np.int64), -c))
     h, c, form = h[order], c[order], form[order]
@@ -384,35 +390,51 @@ def learned_batch(part: str, block: int, task: int, rows: np.ndarray, weights: n
 
 
 def train_batches(shared, given, turn: int):
-    """A mapInArrow function over (symbols) that learns from its texts and gives LEARNED: what moved, weighted."""
+    """A mapInArrow function over (shard, symbols), sorted by shard, that gives LEARNED: what moved in each shard, weighted.
 
-    def train(batches):
-        from pyspark import TaskContext
+    What a shard learns, and in which steps, depends on its texts and their order only, not on how rows are
+    dealt to tasks and batches: a text's tokens of the round are those at every ROUNDS-th place in it.
+    """
 
-        task = TaskContext.get().partitionId()
-        model = LogBilinear(shared.value)
-        for n, x in given.value.items():
-            getattr(model, n)[...] = x
-        model.start(turn * 1_000_003 + task, RATE / (1 + turn))
+    def train(batches):
+        model, shard = LogBilinear(shared.value), None
         pool: list[list[np.ndarray]] = []
-        held = used = 0
-        for batch in batches:
-            for _, _, w, bounds in runs(batch.column(0)):
-                some = slice(turn, None, ROUNDS)
-                pool.append([x[some] for x in (w, *contexts(w, bounds))])
-                held += len(pool[-1][0])
-                if held >= 2 * STEP:
-                    used += learn_from(model, pool)
-                    held = 0
-        if held:
-            used += learn_from(model, pool)
-        if used:
+        held = 0
+
+        def ended():
+            if pool:
+                learn_from(model, pool)
             for n in model.NAMES:
                 for first in range(0, len(model.touched[n]), ROWS):
                     rows = first + np.flatnonzero(model.touched[n][first : first + ROWS])
                     if len(rows):
                         weights = model.touched[n][rows]
-                        yield learned_batch(n, first // ROWS, task, rows, weights, (getattr(model, n)[rows] - given.value[n][rows]) * weights[:, None])
+                        yield learned_batch(n, first // ROWS, shard, rows, weights, (getattr(model, n)[rows] - given.value[n][rows]) * weights[:, None])
+
+        for batch in batches:
+            of, texts = batch.column(0).to_numpy(), batch.column(1)
+            offsets, values = texts.offsets.to_numpy(), texts.values.to_numpy()
+            begin = 0
+            while begin < len(of):
+                if of[begin] != shard:
+                    if shard is not None:
+                        yield from ended()
+                    shard, held = int(of[begin]), 0
+                    for n, x in given.value.items():
+                        getattr(model, n)[...] = x
+                    model.start(turn * 1_000_003 + shard, RATE / (1 + turn))
+                last = int(np.searchsorted(of, shard, side="right"))
+                end = min(last, max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + 2 * STEP * ROUNDS - held))))
+                w, bounds = values[offsets[begin] : offsets[end]].astype(np.int64), offsets[begin : end + 1] - offsets[begin]
+                some = (np.arange(len(w)) - np.repeat(bounds[:-1], np.diff(bounds))) % ROUNDS == turn
+                pool.append([x[some] for x in (w, *contexts(w, bounds))])
+                held += len(w)
+                if held >= 2 * STEP * ROUNDS:
+                    learn_from(model, pool)
+                    held = 0
+                begin = end
+        if shard is not None:
+            yield from ended()
 
     return train
 
@@ -429,7 +451,8 @@ def learn_from(model: LogBilinear, pool: list[list[np.ndarray]]) -> int:
 
 
 def summed(frames: pd.DataFrame) -> pd.DataFrame:
-    """The LEARNED row that is the sum of some tasks' rows of one block."""
+    """The LEARNED row that is the sum of some shards' rows of one block, in their order."""
+    frames = frames.sort_values("task", ignore_index=True)
     rows = np.concatenate(frames["rows"].tolist())
     weights, sums = np.concatenate(frames["weights"].tolist()), np.concatenate(frames["sums"].tolist()).reshape(len(rows), -1)
     rows, both, _ = added(rows, np.column_stack((weights, sums)).astype(np.float32), Rooms())
@@ -437,23 +460,26 @@ def summed(frames: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"part": one["part"], "block": one["block"], "task": one["task"] // FAN_IN, "rows": rows, "weights": both[:, 0], "sums": both[:, 1:].ravel()}])
 
 
-def trained(symbols: DataFrame, vocab: Vocabulary) -> LogBilinear:
-    """A model learned from `symbols` (symbols of a text).
+def trained(texts: DataFrame, vocab: Vocabulary, shard_tokens: int = SHARD) -> LogBilinear:
+    """A model learned from `texts` (KEY, symbols).
 
-    In each round every partition starts from the same parameters and learns from its own texts, in half
-    as long steps in the second round as in the first. Each row
-    of parameters then moves by the mean of its moves, weighted by how often it learned, so that a rare
-    word, seen by few partitions, learns in full. The means are summed in a tree of FAN_IN tasks a node;
-    the driver gets one set of parameters a round.
+    Texts are dealt to shards of about `shard_tokens` tokens by a hash of their key; a task learns from one
+    or more shards. In each round every shard starts from the same parameters and learns from its texts in
+    the order of their keys, in half as long steps in the second round as in the first. Each row of
+    parameters then moves by the mean of its moves, weighted by how often it learned, so that a rare word,
+    seen by few shards, learns in full. The means are summed in a tree of FAN_IN shards a node; the driver
+    gets one set of parameters a round.
     """
-    context, model = symbols.sparkSession.sparkContext, LogBilinear(vocab)
+    context, model = texts.sparkSession.sparkContext, LogBilinear(vocab)
     shared = context.broadcast(vocab)
+    shards = max(1, math.ceil(vocab.total / shard_tokens))
+    dealt = texts.select(F.pmod(F.xxhash64(KEY), F.lit(shards)).cast("int").alias("shard"), "symbols", KEY).repartition(shards, "shard").sortWithinPartitions("shard", KEY)
     for turn in range(ROUNDS):
         given = context.broadcast({n: getattr(model, n) for n in model.NAMES})
-        moves, tasks = symbols.mapInArrow(train_batches(shared, given, turn), LEARNED), symbols.rdd.getNumPartitions()
-        while tasks:
+        moves, left = dealt.select("shard", "symbols").mapInArrow(train_batches(shared, given, turn), LEARNED), shards
+        while left:
             moves = moves.groupBy("part", "block", F.floor(F.col("task") / FAN_IN)).applyInPandas(summed, LEARNED)
-            tasks = (tasks - 1) // FAN_IN
+            left = (left - 1) // FAN_IN
         for r in moves.select("part", "rows", "weights", "sums").toArrow().to_pylist():
             rows = np.array(r["rows"])
             getattr(model, r["part"])[rows] += np.array(r["sums"], np.float32).reshape(len(rows), -1) / np.array(r["weights"], np.float32)[:, None]
@@ -548,7 +574,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     kind = docs.schema[id_col].dataType.simpleString()
     encoded = docs.select(KEY, text, F.col(id_col).alias("id"), held.alias("held_out")).mapInArrow(encode_batches(shared), f"{ENCODED}, id {kind}, held_out boolean")
     encoded = written(encoded)
-    model = spark.sparkContext.broadcast(trained(encoded.filter("not held_out").select("symbols"), vocab))
+    model = spark.sparkContext.broadcast(trained(encoded.filter("not held_out").select(KEY, "symbols"), vocab))
     rare = encoded.select(KEY, F.explode(F.arrays_zip("rare", "times")).alias("word")).select(KEY, F.col("word.rare").alias("h"), F.col("word.times").alias("n"))
     seen = rare.join(counts.select("h", "c"), "h").groupBy(KEY).agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
     scored = encoded.select(KEY, "symbols", "more", "more_log", "id", "held_out").mapInArrow(score_batches(shared, model), f"{SCORED}, more long, more_log double, id {kind}, held_out boolean")
