@@ -140,39 +140,60 @@ def tier_tally(paths: DataFrame) -> DataFrame:
 
 
 def violations(nodes: DataFrame, edges: DataFrame, decisions: DataFrame, pending: DataFrame, artifacts: DataFrame, people: DataFrame, repositories: DataFrame) -> DataFrame:
-    """(rule, violations) of every data-quality rule, also of those that hold."""
-    many = lambda df, *key: df.groupBy(*key).count().filter("count > 1")
-    orphan = lambda child, column, parent=nodes: child.filter(F.col(column).isNotNull()).join(parent.select(F.col("node_id").alias(column)), column, "left_anti")
-    unknown = lambda df, column, known: df.filter(~F.col(column).isin(*known))
-    named = nodes.filter("node_type = 'decision' and thread_key is not null")
-    ids = decisions.join(nodes.select("node_id", "node_type"), "node_id", "left")
-    failing = rubric(decisions, edges, nodes, edges, artifacts).filter(~F.col("passes")).select("node_id")
-    rules = {
-        "node identity is unique": many(nodes, "node_type", F.coalesce("repo_id", F.lit(0)), "external_id"),
-        "node ids are unique": many(nodes, "node_id"),
-        "a repository belongs to none": nodes.filter("node_type = 'repository' and repo_id is not null"),
-        "a decision's key names its repository": named.filter(F.split_part("thread_key", F.lit(":"), F.lit(2)) != F.col("repo_id").cast("string")),
-        "one decision a thread": many(named, "repo_id", "thread_key"),
-        "node types are known": unknown(nodes, "node_type", NODE_TYPES),
-        "no edge to itself": edges.filter("src_id = dst_id"),
-        "edges end after they begin": edges.filter("valid_to <= valid_from"),
-        "tag and tier agree": edges.filter("(tag = 'inferred') <> (tier = 'inferred')"),
-        "relevance is a share": edges.filter("relevance < 0 or relevance > 1"),
-        "inferred edges have a relevance": edges.filter("tag = 'inferred' and relevance is null"),
-        "one current edge a pair and type": many(edges.filter("valid_to is null"), "src_id", "dst_id", "edge_type"),
-        "edge types, tags and tiers are known": unknown(edges, "edge_type", EDGE_TYPES).select("edge_id").unionByName(unknown(edges, "tag", TAGS).select("edge_id")).unionByName(unknown(edges, "tier", TIERS).select("edge_id")),
-        "edges have both ends": orphan(edges, "src_id").select("edge_id").unionByName(orphan(edges, "dst_id").select("edge_id")),
-        "explicit decisions have an artifact": decisions.filter("status = 'explicit' and source_artifact_id is null"),
-        "reconstructed decisions pass the rubric": decisions.filter("status = 'reconstructed'").join(failing, "node_id", "left_semi"),
-        "decision statuses are known": unknown(decisions, "status", STATUSES),
-        "decisions are decision nodes": ids.filter("node_type is null or node_type <> 'decision'"),
-        "decisions' artifacts exist": orphan(decisions, "source_artifact_id"),
-        "resolution has its time and its edge": pending.filter("(resolved_at is null) <> (resolved_edge_id is null)"),
-        "one open reference a source, number and type": many(pending.filter("resolved_at is null"), "src_id", "ref_number", "edge_type"),
-        "references have a source": orphan(pending, "src_id"),
-        "artifacts have their node": artifacts.join(nodes.select("node_id", F.col("node_type").alias("kind")), "node_id", "left").filter("kind is null or kind <> node_type"),
-        "logins are unique": many(people, "login"),
-        "repository names are unique": many(repositories, "owner", "name"),
-    }
-    rows = [df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations") for rule, df in rules.items()]
-    return reduce(DataFrame.unionByName, rows)
+    """(rule, violations) of every data-quality rule, also of those that hold.
+
+    Each table is read once for the rules on single rows, once for the keys that must be unique and once for
+    the references that must exist; keys and references of all tables are tagged with their rule and go
+    through one grouping and one join.
+    """
+    unknown = lambda column, known: ~F.col(column).isin(*known)
+    decided = (F.col("node_type") == "decision") & F.col("thread_key").isNotNull()
+    single = [
+        (nodes, {
+            "a repository belongs to none": (F.col("node_type") == "repository") & F.col("repo_id").isNotNull(),
+            "a decision's key names its repository": decided & (F.split_part("thread_key", F.lit(":"), F.lit(2)) != F.col("repo_id").cast("string")),
+            "node types are known": unknown("node_type", NODE_TYPES),
+        }),
+        (edges, {
+            "no edge to itself": F.col("src_id") == F.col("dst_id"),
+            "edges end after they begin": F.col("valid_to") <= F.col("valid_from"),
+            "tag and tier agree": (F.col("tag") == "inferred") != (F.col("tier") == "inferred"),
+            "relevance is a share": (F.col("relevance") < 0) | (F.col("relevance") > 1),
+            "inferred edges have a relevance": (F.col("tag") == "inferred") & F.col("relevance").isNull(),
+            "edge types, tags and tiers are known": unknown("edge_type", EDGE_TYPES) | unknown("tag", TAGS) | unknown("tier", TIERS),
+        }),
+        (decisions.join(rubric(decisions, edges, nodes, edges, artifacts).select("node_id", "passes"), "node_id", "left"), {
+            "explicit decisions have an artifact": (F.col("status") == "explicit") & F.col("source_artifact_id").isNull(),
+            "reconstructed decisions pass the rubric": (F.col("status") == "reconstructed") & ~F.col("passes"),
+            "decision statuses are known": unknown("status", STATUSES),
+        }),
+        (pending, {"resolution has its time and its edge": F.col("resolved_at").isNull() != F.col("resolved_edge_id").isNull()}),
+    ]
+    found = [df.agg(*[F.count_if(c).alias(f"r{i}") for i, c in enumerate(rules.values())]).select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"r{i}").alias("violations")) for i, r in enumerate(rules)]))) for df, rules in single]
+
+    text_of = lambda *columns: F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") if isinstance(c, str) else c.cast("string").alias(f"c{i}") for i, c in enumerate(columns)]))
+    keys = lambda df, *tagged: df.select(F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.when(when, key).alias("key")) for rule, when, key in tagged]))).filter("key is not null")
+    always = F.lit(True)
+    cut = F.split("external_id", "/", 2)
+    tagged = [
+        keys(nodes, ("node identity is unique", always, text_of("node_type", F.coalesce("repo_id", F.lit(0)), "external_id")), ("node ids are unique", always, text_of("node_id")), ("one decision a thread", decided, text_of("repo_id", "thread_key")), ("team names are unique", F.col("node_type") == "team", text_of(cut[0], cut[1]))),
+        keys(edges, ("one current edge a pair and type", F.col("valid_to").isNull(), text_of("src_id", "dst_id", "edge_type"))),
+        keys(pending, ("one open reference a source, number and type", F.col("resolved_at").isNull(), text_of("src_id", "ref_number", "edge_type"))),
+        keys(people, ("logins are unique", always, text_of("login"))), keys(repositories, ("repository names are unique", always, text_of("owner", "name"))),
+    ]
+    many = reduce(DataFrame.unionByName, tagged).groupBy("rule", "key").count().filter("count > 1").groupBy("rule").agg(F.count("*").alias("violations"))
+
+    needs = lambda df, rule, column, kind=None: df.select(F.lit(rule).alias("rule"), F.col(column).alias("node_id"), (F.lit(None).cast("string") if kind is None else kind).alias("kind"))
+    wanted = [
+        needs(edges.select(F.explode(F.array("src_id", "dst_id")).alias("end")), "edges have both ends", "end"), needs(decisions, "decisions' artifacts exist", "source_artifact_id"), needs(pending, "references have a source", "src_id"),
+        needs(decisions, "decisions are decision nodes", "node_id", F.lit("decision")), needs(artifacts, "artifacts have their node", "node_id", F.col("node_type")),
+    ]
+    have = nodes.select("node_id", "node_type").distinct()
+    missing = reduce(DataFrame.unionByName, wanted).filter("node_id is not null").join(have, "node_id", "left").filter("node_type is null or node_type <> kind")
+    found += [many, missing.groupBy("rule").agg(F.count("*").alias("violations"))]
+    names = [r for _, rules in single for r in rules] + [
+        "node identity is unique", "node ids are unique", "one decision a thread", "team names are unique", "one current edge a pair and type", "one open reference a source, number and type",
+        "logins are unique", "repository names are unique", "edges have both ends", "decisions' artifacts exist", "references have a source", "decisions are decision nodes", "artifacts have their node",
+    ]
+    every = nodes.sparkSession.createDataFrame([(n,) for n in names], "rule string")
+    return every.join(reduce(DataFrame.unionByName, found), "rule", "left").select("rule", F.coalesce("violations", F.lit(0)).alias("violations"))

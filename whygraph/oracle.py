@@ -139,7 +139,56 @@ _ASKED = (
 """
 )
 
+_GATED = (
+    BASE
+    + """
+, prop AS (
+  SELECT event_id AS pos, event_id % n AS s, (event_id * 7 + 3) % n AS d, event_id * 37 % 1000 AS rel FROM events, (SELECT count(*) AS n FROM orders)
+), linked AS (
+  SELECT prop.* FROM prop JOIN ord a ON a.k = prop.s JOIN ord b ON b.k = prop.d
+), opn AS (
+  SELECT *, row_number() OVER (ORDER BY pos) AS i FROM linked WHERE rel >= 750 AND s <> d
+), row_by_row(i, ends, pairs, outcome) AS (
+  SELECT 0::BIGINT, []::BIGINT[], []::VARCHAR[], ''
+  UNION ALL
+  SELECT i, CASE WHEN o = 'accepted' THEN list_concat(ends, [s, d]) ELSE ends END, CASE WHEN o = 'accepted' THEN list_append(pairs, s || '-' || d) ELSE pairs END, o FROM (
+    SELECT opn.i, ends, pairs, s::BIGINT AS s, d::BIGINT AS d, CASE WHEN list_contains(pairs, s || '-' || d) THEN 'invalid'
+      WHEN len(list_filter(ends, lambda x: x = s)) >= 4 OR len(list_filter(ends, lambda x: x = d)) >= 4 THEN 'rejected_cap' ELSE 'accepted' END AS o
+    FROM row_by_row JOIN opn ON opn.i = row_by_row.i + 1)
+), gated AS (
+  SELECT b.pos, b.s, b.d, CASE WHEN b.s = b.d THEN 'invalid' WHEN b.rel < 750 THEN 'rejected_threshold' ELSE r.outcome END AS outcome
+  FROM linked b LEFT JOIN opn USING (pos) LEFT JOIN row_by_row r ON r.i = opn.i
+)"""
+)
+#: Faults planted by the numbers of orders: how many each rule must find.
+_FAULTS = """
+SELECT unnest(['a repository belongs to none', 'node identity is unique', 'node ids are unique', 'team names are unique', 'no edge to itself', 'one current edge a pair and type', 'tag and tier agree', 'edges end after they begin',
+  'edges have both ends', 'edge types, tags and tiers are known', 'relevance is a share', 'inferred edges have a relevance', 'resolution has its time and its edge', 'one open reference a source, number and type',
+  'artifacts have their node', 'logins are unique', 'repository names are unique', 'explicit decisions have an artifact']) AS rule,
+  unnest([(SELECT count(*) FROM region), n(100), n(100), (SELECT count(*) FROM own), n(200), n(50), n(50), n(70), n(90), n(90), n(110), n(130), (SELECT count(*) FROM pend WHERE n % 7 = 0), (SELECT count(*) FROM pend WHERE n % 7 = 1),
+  n(300), (SELECT count(*) FROM who WHERE login LIKE '%7'), (SELECT count(*) FROM region WHERE r_regionkey < 2), (SELECT count(*) FROM decn WHERE tag IS NOT NULL)]) AS violations
+UNION ALL SELECT unnest(['a decision''s key names its repository', 'node types are known', 'reconstructed decisions pass the rubric', 'decision statuses are known', 'one decision a thread', 'decisions'' artifacts exist',
+  'references have a source', 'decisions are decision nodes']), 0"""
+for _n in (50, 70, 90, 100, 110, 130, 200, 300):
+    _FAULTS = _FAULTS.replace(f"n({_n})", f"(SELECT count(*) FROM art WHERE k % {_n} = 0)")
+
 ORACLE_SQL = {
+    "inferred_gate": _GATED + "SELECT pos, s AS src_key, d AS dst_key, outcome FROM gated",
+    "answers_with_fallback": _GATED + f"""
+, direct AS (
+  SELECT node, count(*) AS paths FROM (SELECT src AS node FROM edg WHERE type IN ({_IMPACT}) UNION ALL SELECT dst FROM edg WHERE type IN ({_IMPACT})) GROUP BY node
+), bridge AS (
+  SELECT k, count(*) AS paths FROM (SELECT s AS k FROM gated WHERE outcome = 'accepted' UNION ALL SELECT d FROM gated WHERE outcome = 'accepted') GROUP BY k
+), found AS (
+  SELECT art.node AS start, direct.paths AS explicit_paths, CASE WHEN direct.paths IS NULL THEN bridge.paths END AS wider FROM art LEFT JOIN direct USING (node) LEFT JOIN bridge USING (k) WHERE is_issue
+)
+SELECT start, coalesce(explicit_paths, wider) IS NOT NULL AS answered, explicit_paths IS NULL AS used_inferred_fallback, coalesce(explicit_paths, wider, 0) AS paths,
+  CASE WHEN explicit_paths IS NOT NULL THEN explicit_paths || ' explicit path(s) found; inferred edges not consulted'
+       WHEN wider IS NOT NULL THEN 'no explicit path existed; ' || wider || ' path(s) found only by admitting inferred edges' ELSE 'no path found, explicit or inferred' END AS explanation FROM found""",
+    "planted_violations": BASE + """
+, who AS (
+  SELECT DISTINCT 'cust' || c AS login FROM art UNION SELECT DISTINCT 'supp' || s FROM rev UNION SELECT 'supp' || s FROM own WHERE s IS NOT NULL
+)""" + _FAULTS,
     "nodes_by_type": BASE + """
 SELECT node_type, count(*) AS n FROM (
   SELECT CASE WHEN is_issue THEN 'issue' ELSE 'pull_request' END AS node_type FROM art UNION ALL SELECT 'commit' FROM comm

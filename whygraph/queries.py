@@ -264,6 +264,30 @@ def dq_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.violations(g.nodes, g.edges, g.decisions, g.pending, g.artifacts, people, g.projected["repositories"][1])
 
 
+def planted_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules over a graph with planted faults, by the numbers of orders: copies, loops, ends that are not there and the like."""
+    g = derived_graph(spark, sf_dir)
+    nodes, edges, now = g.nodes, g.edges, F.lit("1990-01-01").cast("timestamp")
+    every = lambda n: F.expr(f"node_type in ('issue', 'pull_request') and cast(external_id as long) % {n} = 0")
+    orders = nodes.filter(every(1)).select("node_id", "node_type", "external_id", F.col("external_id").cast("long").alias("k"))
+    made = edges.filter("edge_type = 'created' and valid_to is null").join(orders.select(F.col("node_id").alias("dst_id"), "k"), "dst_id")
+    some = lambda n: made.filter(F.col("k") % n == 0).drop("k").select(*edges.columns)
+    edges = edges.unionByName(some(200).withColumn("src_id", F.col("dst_id"))).unionByName(some(50).withColumn("tier", F.lit("inferred")))
+    edges = edges.unionByName(some(70).withColumn("valid_to", F.col("valid_from"))).unionByName(some(90).withColumn("dst_id", F.lit(-1) - F.col("seq")).withColumn("edge_type", F.lit("praised")))
+    edges = edges.unionByName(some(110).withColumns({"edge_type": F.lit("mentions"), "relevance": F.lit(1.5).cast("decimal(5,4)")}))
+    edges = edges.unionByName(some(130).withColumns({"edge_type": F.lit("relates_to"), "tag": F.lit("inferred"), "tier": F.lit("inferred")}))
+    copies = nodes.filter(every(100)).unionByName(nodes.filter("node_type = 'team'").withColumns({"node_id": F.lit(-1) - F.col("node_id"), "repo_id": F.lit(9).cast("long")}))
+    copies = copies.unionByName(nodes.filter("node_type = 'repository'").withColumns({"node_id": F.lit(-1) - F.col("node_id"), "repo_id": F.lit(9).cast("long")}))
+    nodes = nodes.unionByName(copies)
+    pending = g.pending.withColumn("resolved_at", F.when(F.col("ref_number") % 7 == 0, now)).unionByName(g.pending.filter("ref_number % 7 = 1"))
+    artifacts = g.artifacts.withColumn("node_type", F.when(F.col("number") % 300 == 0, "wiki_page").otherwise(F.col("node_type")))
+    people = nodes.filter("node_type = 'person'").select(F.col("external_id").alias("login"))
+    people = people.unionByName(people.filter("login like '%7'"))
+    repositories = g.projected["repositories"][1]
+    status = lambda facts: facts.withColumn("source_artifact_id", F.lit(None).cast("long"))
+    return audit.violations(nodes, edges, status(g.decisions), pending, artifacts, people, repositories.unionByName(repositories.filter("repo_id < 2")))
+
+
 def graph_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = derived_graph(spark, sf_dir)
     return audit.graph_totals(g.nodes, g.edges)
@@ -280,7 +304,7 @@ QUERIES = {
     for f in (
         nodes_by_type, status_by_repo, edges_by_type, closing_refs, mentioned_refs, foreign_url_refs, commit_mentions, owner_edges, resolved_edges, pending_refs, pending_status, threads,
         decision_candidates, synthesis_outcomes, rubric_audit, decisions_explicit, thread_categories, edge_tiers, walk_why, walk_impact, walk_as_of, inferred_gate, answers_with_fallback,
-        retrieve_candidates, answered_questions, decision_credit, recall_buckets, corpus_counts, cross_thread_closes, unmerged_detail, issueless_detail, tier_tally, contract_checks, dq_violations,
+        retrieve_candidates, answered_questions, decision_credit, recall_buckets, corpus_counts, cross_thread_closes, unmerged_detail, issueless_detail, tier_tally, contract_checks, dq_violations, planted_violations,
         graph_totals, cursor_progress,
     )
 }
