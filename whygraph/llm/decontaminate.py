@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from array import array
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, durable, table, with_key, without
@@ -50,9 +52,10 @@ class WuManber:
     `texts` are the benchmark texts as word numbers, one after the other, and `starts` the first place of
     each distinct window in them. `shift` has, for a block of two adjacent words of any window, how far the
     search may move on when a text block is equal to it; a block in no window allows the longest move.
-    Where the last block of a window is, and shift is 0, the hash of the whole window picks its bucket,
-    whose windows are compared with the text word by word. So however many windows end in the same
-    block, only those of equal hash are compared.
+    Where shift is 0, the block is the suffix of at least one window, and its bucket has the windows that
+    end in it. A bucket is a range of `hashes`, in which the hashes of its whole windows are in order; those
+    of the text's own hash are found by bisection and compared with it word by word. So however many
+    windows share a suffix, only those of equal hash are compared.
     """
 
     def __init__(self, texts: array, starts: dict[bytes, int], length: int):
@@ -63,8 +66,13 @@ class WuManber:
             for end in range(self.block, length + 1):
                 b = self.blocked(texts, at + end)
                 self.shift[b] = min(self.shift.get(b, self.longest), length - end)
-        for number, (window, at) in enumerate(starts.items()):
-            self.buckets.setdefault(crc32(window), []).append((at, number))
+        ends = sorted((self.blocked(texts, at + length), crc32(window), at, n) for n, (window, at) in enumerate(starts.items()))
+        self.hashes, self.places, self.numbers = (array(kind, (e[i] for e in ends)) for kind, i in (("L", 1), ("i", 2), ("i", 3)))
+        first = 0
+        for suffix, bucket in groupby(e[0] for e in ends):
+            last = first + sum(1 for _ in bucket)
+            self.buckets[suffix] = (first, last)
+            first = last
 
     def blocked(self, text: array, end: int) -> int:
         """The block before place `end`, as one number."""
@@ -73,16 +81,22 @@ class WuManber:
     def find(self, text: array) -> Iterator[tuple[int, int]]:
         """Start and number of each window that occurs, in order."""
         shift, longest, length, at, n, pair = self.shift.get, self.longest, self.length, self.length, len(text), self.block == 2
+        hashes = self.hashes
         while at <= n:
-            move = shift(text[at - 2] << 32 | text[at - 1] if pair else text[at - 1], longest)
+            suffix = text[at - 2] << 32 | text[at - 1] if pair else text[at - 1]
+            move = shift(suffix, longest)
             if move:
                 at += move
                 continue
             start = at - length
             window = text[start:at].tobytes()
-            for known, number in self.buckets.get(crc32(window), ()):
-                if self.texts[known : known + length].tobytes() == window:
-                    yield start, number
+            first, last = self.buckets[suffix]
+            own = crc32(window)
+            for i in range(bisect_left(hashes, own, first, last), last):
+                if hashes[i] != own:
+                    break
+                if self.texts[self.places[i] : self.places[i] + length].tobytes() == window:
+                    yield start, self.numbers[i]
             at += 1
 
 
@@ -152,15 +166,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     """KEY, n_words, spans of hit words (start, end, ...) and ids of the items found, of each of `docs`.
 
     The items are measured first. Up to `block_chars` of them are compiled once and broadcast; a larger
-    set goes in blocks of about that size, each searched for in all documents, whose hits are united.
+    set goes in blocks of about that size, each searched for in all documents, whose hits are united. Items
+    are dealt to blocks by id and text, so one text under many ids is in several.
     """
     spark = docs.sparkSession
     texts = docs.select(KEY, F.col(text_col).cast("binary").alias("text"))
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text"))
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).distinct()
     blocks = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
     found = None
     for b in range(blocks):
-        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
+        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         matchers = spark.sparkContext.broadcast(Compiled([(r.item, r.text) for r in part.collect()], window))
         one = texts.mapInArrow(scan_batches(matchers), SCAN)
         if blocks == 1:
@@ -169,17 +184,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
         matchers.destroy()
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy(KEY).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.withColumn("spans", united_spans(F.col("spans")))
-
-
-def united_spans(spans: Column) -> Column:
-    """`united` as a column: spans (start, end, start, end, ...) in order and disjoint."""
-    places = F.sequence(F.lit(0), F.floor(F.size(spans) / 2) - 1, F.lit(1))
-    pairs = F.array_sort(F.transform(F.when(F.size(spans) > 0, places).otherwise(F.array()), lambda i: F.struct(spans[2 * i].alias("s"), spans[2 * i + 1].alias("e"))))
-    last = lambda out: F.element_at(out, -1)
-    grow = lambda out, x: F.when(F.size(out) == 0, F.array(x)).when(x["s"] <= last(out)["e"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last(out)["s"].alias("s"), F.greatest(last(out)["e"], x["e"]).alias("e"))))).otherwise(F.concat(out, F.array(x)))
-    joined = F.aggregate(pairs, F.array().cast("array<struct<s:int,e:int>>"), grow)
-    return F.flatten(F.transform(joined, lambda x: F.array(x["s"], x["e"])))
+    return merged.withColumn("spans", F.udf(united, "array<int>", useArrow=True)("spans"))
 
 
 def contamination(scanned: DataFrame) -> DataFrame:
