@@ -3,7 +3,7 @@
 import json
 import random
 from collections import Counter, defaultdict
-from datetime import datetime
+from datetime import datetime, timedelta
 from types import SimpleNamespace
 
 import pytest
@@ -305,6 +305,57 @@ def test_walks_respect_time_depth_and_parallel_edges(spark):
     assert reason.walk(ask(g, p=("why", 0, T2)), g.edges).count() == 0
 
 
+def test_walks_over_ended_edges_equal_brute_force(spark):
+    draw, day = random.Random(11), timedelta(days=1)
+    g = Small(spark)
+    for i in range(14):
+        g.node(f"n{i}", draw.choice(["issue", "pull_request", "commit"]))
+    for _ in range(160):
+        start = T0 + draw.randint(-9000, 900) * day + timedelta(seconds=draw.choice([0, 1, 43_200]))
+        lasts = draw.choice([None, 0, -400, 0.01, 1, 1, 5, 16, 200, 256, 3000, 4096, 9000, 70_000])
+        kind = draw.choice(["closes", "implements", "references", "depends_on", "created"])
+        g.edge(f"n{draw.choice([0, draw.randint(0, 13)])}", f"n{draw.randint(1, 13)}", kind, start=start, end=None if lasts is None else start + lasts * day, tag=draw.choice(["explicit", "explicit", "inferred"]))
+    instants = [T0 + draw.randint(-9000, 900) * day for _ in range(4)] + [g.links[5][10], g.links[9][10], *[e[11] for e in g.links if e[11] is not None][:3], datetime(2100, 1, 1), datetime(1950, 1, 1)]
+    asked = [(f"{mode} {start} {n}", g.ids[start], mode, draw.choice([1, 2, 3]), at) for start in ("n0", "n3", "n9") for mode in ("why", "impact") for n, at in enumerate(instants)]
+    starts = spark.createDataFrame(asked, "question_id string, start_id long, mode string, depth int, as_of timestamp")
+    follows = {"why": reason.WHY_EDGES, "impact": reason.IMPACT_EDGES}
+
+    def paths(here, seen, used, left, mode, at, inferred):
+        for edge, src, dst, kind, tag, _, _, _, _, _, begin, end, _ in g.links if left else ():
+            held = begin <= at and (end is None or end > at) and kind in follows[mode] and (inferred or tag == "explicit")
+            for a, b in ((src, dst), (dst, src)):
+                if held and a == here and b not in seen:
+                    yield (*seen, b), (*used, edge)
+                    yield from paths(b, (*seen, b), (*used, edge), left - 1, mode, at, inferred)
+
+    for inferred in (False, True):
+        expected = Counter((q, nodes, edges) for q, start, mode, depth, at in asked for nodes, edges in paths(start, (start,), (), depth, mode, at, inferred))
+        found = Counter((r.question_id, tuple(r.path_nodes), tuple(r.path_edges)) for r in reason.walk(starts, g.edges, inferred).collect())
+        assert found == expected and len(expected) > 150
+    assert reason.walk(starts, g.edges.limit(0)).count() == 0 and reason.walk(starts.limit(0), g.edges).count() == 0
+
+
+def test_details_are_filled_from_payloads(spark):
+    raws = [
+        ("pull_request", None, None, '{"pull_request": {"merged_at": "2024-06-01T00:00:00Z"}, "state_reason": "completed"}', T1, None),
+        ("pull_request", T0, None, '{"pull_request": {"merged_at": "2024-06-01T00:00:00Z"}}', T0, None),
+        ("pull_request", None, None, '{"pull_request": {"merged_at": "soon"}}', None, None),
+        ("pull_request", None, None, '{"pull_request": null}', None, None),
+        ("pull_request", None, None, '[1, 2]', None, None),
+        ("issue", None, None, '{"state_reason": "not_planned", "pull_request": {"merged_at": "2024-06-01T00:00:00Z"}}', None, "not_planned"),
+        ("issue", None, "reopened", '{"state_reason": "completed"}', None, "reopened"),
+        ("issue", None, None, '{"state_reason": null}', None, None),
+        ("issue", None, None, '{"state_reason": "comp', None, None),
+        ("issue", None, None, "", None, None),
+        ("issue", None, None, None, None, None),
+    ]
+    details = spark.createDataFrame([(i, kind, merged, why, "kept") for i, (kind, merged, why, *_) in enumerate(raws)] + [(99, "issue", None, None, "kept")], "node_id long, node_type string, merged_at timestamp, state_reason string, raw string")
+    nodes = spark.createDataFrame([(i, raw) for i, (_, _, _, raw, _, _) in enumerate(raws)], "node_id long, raw string")
+    found = {r.node_id: (r.merged_at, r.state_reason, r.raw) for r in repair.backfill_from_raw(details, nodes).collect()}
+    assert found == {i: (merged, why, "kept") for i, (*_, merged, why) in enumerate(raws)} | {99: (None, None, "kept")}
+    assert repair.backfill_from_raw(details.limit(0), nodes).count() == 0
+
+
 def test_retrieval_equals_brute_force(spark):
     draw = random.Random(4)
     g = Small(spark)
@@ -341,25 +392,11 @@ def test_retrieval_equals_brute_force(spark):
     assert limited.groupBy("question_id").count().agg(F.max("count")).first()[0] == 2
 
 
-def test_answered_questions_asks_every_20th_order(spark, tmp_path, monkeypatch):
+def test_questions_are_about_every_20th_order(spark, tmp_path):
     spark.createDataFrame([(k, k % 3, "F", T0, f"{k % 5}-X") for k in range(200)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(c, c) for c in range(3)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(c, c) for c in range(3)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
-    g = Small(spark)
-    for k in range(200):
-        g.node(str(k), "issue" if k % 4 == 0 else "pull_request", title=f"{k % 5}-X order {k}")
-    found = {}
-
-    def find(asked, nodes, limit):
-        found["asked"], found["first"] = asked, retrieval_find(asked, nodes, limit).filter("rank = 1")
-        raise StopIteration
-
-    retrieval_find = retrieval.find_candidates
-    monkeypatch.setattr(retrieval, "find_candidates", find)
-    monkeypatch.setattr(queries, "derived_graph", lambda *_: SimpleNamespace(nodes=g.nodes))
-    with pytest.raises(StopIteration):
-        queries.answered_questions(spark, str(tmp_path))
-    asked = {r.question_id: r.question.strip() for r in found["asked"].collect()}
+    asked = {r.question_id: r.question.strip() for r in queries.questions(queries.asked_orders(spark, str(tmp_path))).collect()}
     expected = {}
     for k in range(0, 200, 20):
         expected |= {f"title:{k}": f"{k % 5}-X order {k}", f"number:{k}": f"#{k}", f"start:{k}": f"{k % 5}-X order {k}"[:12].strip(), f"swapped:{k}": f"{k} order {k % 5}-X"}

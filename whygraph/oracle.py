@@ -73,12 +73,12 @@ WITH RECURSIVE ord AS (
 ), lift AS (
   SELECT th FROM sigs WHERE category_count >= 3
 ), edg AS (
-  SELECT src, dst, t AS type, CASE WHEN t = 'closes' AND th IN (FROM lift) THEN 1 ELSE 0 END AS tier, d AS vf FROM res JOIN thr USING (k)
-  UNION ALL SELECT 'pull_request:' || k, 'commit:c-' || k || '-' || ln, 'implements', CASE WHEN th IN (FROM lift) THEN 1 ELSE 0 END, TIMESTAMP '1995-01-01' FROM comm JOIN thr USING (k)
-  UNION ALL SELECT node, 'release:' || g || '/' || tag, 'deployed_by', 0, strptime(tag || '-01', '%Y-%m-%d') FROM dep
-  UNION ALL SELECT 'decision:' || th, motivator, 'motivated_by', CASE WHEN th IN (FROM lift) THEN 1 ELSE 0 END, coalesce(decided_at, TIMESTAMP '1995-01-01') FROM decn
-  UNION ALL SELECT 'decision:' || th, implementer, 'implemented_by', CASE WHEN th IN (FROM lift) THEN 1 ELSE 0 END, coalesce(decided_at, TIMESTAMP '1995-01-01') FROM decn
-  UNION ALL SELECT 'decision:' || th, 'release:' || g || '/' || tag, 'deployed_by', 0, TIMESTAMP '1995-01-01' FROM decn WHERE tag IS NOT NULL
+  SELECT src, dst, t AS type, CASE WHEN t = 'closes' AND th IN (FROM lift) THEN 1 ELSE 0 END AS tier, d AS vf, x FROM res JOIN thr USING (k)
+  UNION ALL SELECT 'pull_request:' || k, 'commit:c-' || k || '-' || ln, 'implements', CASE WHEN th IN (FROM lift) THEN 1 ELSE 0 END, TIMESTAMP '1995-01-01', 'pr_commit_list' FROM comm JOIN thr USING (k)
+  UNION ALL SELECT node, 'release:' || g || '/' || tag, 'deployed_by', 0, strptime(tag || '-01', '%Y-%m-%d'), 'release_notes_reference' FROM dep
+  UNION ALL SELECT 'decision:' || th, motivator, 'motivated_by', CASE WHEN th IN (FROM lift) THEN 1 ELSE 0 END, coalesce(decided_at, TIMESTAMP '1995-01-01'), 'synthesis_closes_cluster' FROM decn
+  UNION ALL SELECT 'decision:' || th, implementer, 'implemented_by', CASE WHEN th IN (FROM lift) THEN 1 ELSE 0 END, coalesce(decided_at, TIMESTAMP '1995-01-01'), 'synthesis_closes_cluster' FROM decn
+  UNION ALL SELECT 'decision:' || th, 'release:' || g || '/' || tag, 'deployed_by', 0, TIMESTAMP '1995-01-01', 'synthesis_release_note' FROM decn WHERE tag IS NOT NULL
 ), mem AS (
   SELECT th, count(*) + coalesce(sum(c.n), 0) AS members, bool_or(is_issue) AS has_issue, count_if(NOT is_issue)::BIGINT AS prs, coalesce(sum(c.n), 0)::BIGINT AS commits, min(g) AS g, count_if(is_issue)::BIGINT AS issues
   FROM art JOIN thr USING (k) LEFT JOIN (SELECT k, count(*) AS n FROM comm GROUP BY k) c USING (k) GROUP BY th
@@ -109,6 +109,27 @@ FROM walk WHERE depth > 0 AND {ends}
     )
 
 
+def _walk_instants(types: str, instants: tuple[str, ...]) -> str:
+    return (
+        BASE
+        + rf"""
+, windows AS (
+  SELECT *, vf + to_days((CASE WHEN type = 'closes' AND num % 3 = 0 THEN num % 200 + 1 WHEN type = 'implements' AND num % 4 = 1 THEN num % 1500 END)::INT) AS vt
+  FROM (SELECT *, CASE WHEN src LIKE 'pull_request:%' THEN split_part(src, ':', 2)::BIGINT END AS num FROM edg WHERE type IN ({types}))
+), near AS (
+  SELECT src AS here, dst AS nxt, tier, vf, vt FROM windows UNION ALL SELECT dst, src, tier, vf, vt FROM windows
+), walk(as_of, here, depth, path, tier) AS (
+  SELECT a, node, 0, [node], 0 FROM art, unnest({list(instants)}) i(a) WHERE is_issue
+  UNION ALL
+  SELECT as_of, nxt, depth + 1, list_append(path, nxt), greatest(walk.tier, near.tier) FROM walk JOIN near USING (here)
+  WHERE depth < 2 AND NOT list_contains(path, nxt) AND vf <= as_of::TIMESTAMP AND (vt IS NULL OR vt > as_of::TIMESTAMP)
+)
+SELECT as_of, depth, ['explicit', 'corroborated', 'inferred'][tier + 1] AS tier, array_to_string(list_transform(path, lambda x: regexp_replace(x, '^release:\d+/', 'release:')), ' > ') AS path
+FROM walk WHERE depth > 0
+"""
+    )
+
+
 _COMMITS = "SELECT 'commit:c-' || k || '-' || ln FROM comm"
 _ISSUES = "SELECT node FROM art WHERE is_issue"
 _WHY = "'motivated_by', 'implemented_by', 'implements', 'references'"
@@ -235,6 +256,7 @@ SELECT edge_type, tier, count(*) AS edges FROM (
     "walk_why": _WHY_WALK,
     "walk_impact": _walk(_IMPACT, _ISSUES, "true", 2, "2100-01-01"),
     "walk_as_of": _walk(_IMPACT, _ISSUES, "true", 2, "1997-01-01"),
+    "walk_instants": _walk_instants(_IMPACT, ("1994-06-01", "1996-06-01", "2100-01-01")),
     "retrieve_candidates": _ASKED + "SELECT question_id, rank::INT AS rank, k::VARCHAR AS external_id, match, round(score, 5) AS score FROM top WHERE rank <= 10",
     "contract_checks": _ASKED + """
 SELECT split_part(question_id, ':', 1) AS kind,

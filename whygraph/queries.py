@@ -152,6 +152,27 @@ def walk_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walked(spark, sf_dir, "impact", "issue", EARLY, 2)
 
 
+INSTANTS = ("1994-06-01", "1996-06-01", LATE)
+
+
+def ended(g) -> DataFrame:
+    """The graph's edges as if closing references had been edited out after 1 to 200 days, every third pull request's,
+    and commits taken off after up to 1,500 days, of those whose number leaves 1 by 4."""
+    k = g.nodes.filter("node_type = 'pull_request'").select(F.col("node_id").alias("src_id"), F.col("external_id").cast("long").alias("k"))
+    lasts = F.when((F.col("edge_type") == "closes") & (F.col("k") % 3 == 0), F.col("k") % 200 + 1).when((F.col("edge_type") == "implements") & (F.col("k") % 4 == 1), F.col("k") % 1500)
+    rows = g.edges.join(k, "src_id", "left").withColumn("valid_to", F.coalesce("valid_to", F.col("valid_from") + F.make_dt_interval(lasts.cast("int"))))
+    return rows.select(*g.edges.columns)
+
+
+def walk_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impact of every issue at three instants in one question set, over edges of which many have ended."""
+    g = derived_graph(spark, sf_dir)
+    begun = starts(g, "impact", "issue", LATE, 2).withColumn("as_of", F.explode(F.array(*map(F.lit, INSTANTS))))
+    begun = begun.withColumn("question_id", F.concat_ws(" ", "as_of", "start_id")).withColumn("as_of", F.col("as_of").cast("timestamp"))
+    paths = path_rows(reason.walk(begun, durable(ended(g)), most=2), g.nodes)
+    return paths.select(F.split_part("question_id", F.lit(" "), F.lit(1)).alias("as_of"), "depth", "tier", "path")
+
+
 def inferred(g, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived proposals, with ids of the orders they link, gated."""
     rows = derived.proposals(spark, sf_dir)
@@ -199,16 +220,6 @@ def retrieve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("question_id", "rank", "external_id", "match", F.round("score", 5).alias("score"))
 
 
-def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The questions for all orders divisible by 20, answered from their best candidate, two steps of impact deep, as labelled traces."""
-    g = derived_graph(spark, sf_dir)
-    top = retrieval.find_candidates(questions(asked_orders(spark, sf_dir)), g.nodes.filter("node_type in ('issue', 'pull_request')"), 3).filter("rank = 1")
-    begun = durable(top.select("question_id", F.col("node_id").alias("start_id"), F.lit("impact").alias("mode"), F.lit(2).alias("depth"), F.lit(LATE).cast("timestamp").alias("as_of")))
-    paths, _ = reason.reason(begun, g.nodes, g.edges, 2)
-    notes = decisions.credit(g.decisions, g.nodes, g.edges, g.artifacts)
-    return reason.trace(reason.hydrate(paths, g.nodes, g.edges, notes))
-
-
 def decision_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = derived_graph(spark, sf_dir)
     notes = decisions.credit(g.decisions, g.nodes, g.edges, g.artifacts)
@@ -303,8 +314,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         nodes_by_type, status_by_repo, edges_by_type, closing_refs, mentioned_refs, foreign_url_refs, commit_mentions, owner_edges, resolved_edges, pending_refs, pending_status, threads,
-        decision_candidates, synthesis_outcomes, rubric_audit, decisions_explicit, thread_categories, edge_tiers, walk_why, walk_impact, walk_as_of, inferred_gate, answers_with_fallback,
-        retrieve_candidates, answered_questions, decision_credit, recall_buckets, corpus_counts, cross_thread_closes, unmerged_detail, issueless_detail, tier_tally, contract_checks, dq_violations, planted_violations,
+        decision_candidates, synthesis_outcomes, rubric_audit, decisions_explicit, thread_categories, edge_tiers, walk_why, walk_impact, walk_as_of, walk_instants, inferred_gate, answers_with_fallback,
+        retrieve_candidates, decision_credit, recall_buckets, corpus_counts, cross_thread_closes, unmerged_detail, issueless_detail, tier_tally, contract_checks, dq_violations, planted_violations,
         graph_totals, cursor_progress,
     )
 }

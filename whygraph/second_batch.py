@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import link, repair, upsert
+from .plans.build import derived_graph
 from .schema import EDGE, NODE, PENDING, edge_id, node_id
 from .sources import derived, payloads
 from .streaming import cursors as cursor_rules
@@ -179,6 +180,17 @@ def repaired_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.split_provenance(edges, nodes).select("seq", "extractor")
 
 
+def backfilled_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third merge time and every fifth closing reason is lost and filled from payloads, some of which are gone or cut short."""
+    g = derived_graph(spark, sf_dir)
+    n = F.col("number")
+    lost = g.artifacts.withColumns({"merged_at": F.when(n % 3 != 0, F.col("merged_at")), "state_reason": F.when(n % 5 != 0, F.col("state_reason"))})
+    k = F.col("external_id").cast("long")
+    nodes = g.sighted_nodes.filter("node_type in ('issue', 'pull_request')").withColumn("raw", F.when(k % 21 == 0, F.substring("raw", 1, 9)).when(k % 33 != 0, F.col("raw")))
+    done = repair.backfill_from_raw(lost, nodes)
+    return done.select(n.alias("k"), F.to_date("merged_at").alias("merged"), F.coalesce("state_reason", F.lit("")).alias("state_reason"))
+
+
 def cursor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursors of each user's resources (the event types) after a run over the days before the middle, and how much of the rest is due."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -206,7 +218,7 @@ def node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (merged_nodes, merged_details, merged_edges, deleted_nodes, run_ledger, coauthor_lines, commit_parents, workflow_nodes, late_targets, repaired_decisions, repaired_provenance, cursor_states, node_labels)
+    for f in (merged_nodes, merged_details, merged_edges, deleted_nodes, run_ledger, coauthor_lines, commit_parents, workflow_nodes, late_targets, repaired_decisions, repaired_provenance, backfilled_details, cursor_states, node_labels)
 }
 
 _ORDERS = """
@@ -260,6 +272,13 @@ WITH rows AS (
   UNION ALL SELECT DISTINCT l_orderkey + 1000000000, 'commit_message' FROM lineitem WHERE l_linenumber = 1
 )
 SELECT k AS seq, CASE k % 3 WHEN 0 THEN source || '_closing_keyword' WHEN 1 THEN source || '_issue_mention' ELSE 'manual' END AS extractor FROM rows""",
+    "backfilled_details": """
+WITH a AS (
+  SELECT o_orderkey AS k, o_orderdate::DATE AS day, o_orderstatus AS st, o_orderkey % 4 = 0 AS is_issue, o_orderkey % 21 <> 0 AND o_orderkey % 33 <> 0 AS readable
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+)
+SELECT k, CASE WHEN NOT is_issue AND st = 'F' AND (k % 3 <> 0 OR readable) THEN day + 1 END AS merged,
+       CASE WHEN is_issue AND st <> 'O' AND (k % 5 <> 0 OR readable) THEN 'completed' ELSE '' END AS state_reason FROM a""",
     "cursor_states": """
 WITH e AS (
   SELECT user_id::BIGINT AS repo_id, CASE event_type WHEN 'click' THEN 'issues' WHEN 'purchase' THEN 'commits' ELSE 'releases' END AS resource, ts FROM events
