@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from whygraph.operators import reason, threads, upsert
 from whygraph.plans.build import split
+from whygraph.sources import derived, payloads
 
 LINKS = "src_id long, dst_id long, edge_type string, extractor string"
 
@@ -39,3 +40,9 @@ def test_labels_come_with_the_walk(spark):
     found = reason.walk(begun, edges, most=2, labels=labels).collect()
     name = {1: "pr", 2: "issue", 3: "commit"}
     assert len(found) == 4 and all([name[n] for n in r.path_nodes] == r.path_labels for r in found)
+
+
+def test_rows_of_lists_are_those_of_the_payloads(spark):
+    source = derived.landed(spark, "/root/testdata/sf0.001")
+    for rows, lists in ((source.commit_rows, payloads.commit_rows(source.commits)), (source.review_rows, payloads.review_rows(source.reviews))):
+        assert rows.columns == lists.columns and rows.count() == lists.count() > 0 and rows.exceptAll(lists).isEmpty()
