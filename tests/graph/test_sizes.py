@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from whygraph.operators import reason, threads, upsert
+from whygraph.durable import nothing
+from whygraph.operators import evidence, link, reason, threads, upsert
+from whygraph.plans import build
 from whygraph.plans.build import split
+from whygraph.schema import EDGE, NODE
 from whygraph.sources import derived, payloads
 
 LINKS = "src_id long, dst_id long, edge_type string, extractor string"
@@ -46,3 +49,45 @@ def test_rows_of_lists_are_those_of_the_payloads(spark):
     source = derived.landed(spark, "/root/testdata/sf0.001")
     for rows, lists in ((source.commit_rows, payloads.commit_rows(source.commits)), (source.review_rows, payloads.review_rows(source.reviews))):
         assert rows.columns == lists.columns and rows.count() == lists.count() > 0 and rows.exceptAll(lists).isEmpty()
+
+
+def test_joins_with_nothing_are_planned_away(spark):
+    row = spark.createDataFrame([(1, "issue", 1, "1", None, "t", None, None, None, None, None, 1)], NODE)
+    plan = lambda old: upsert.upsert_nodes(old, row)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" in plan(spark.createDataFrame([], NODE)) and "FullOuter" not in plan(nothing(spark, NODE))
+
+
+def test_often_sighted_names_keep_first_and_last_values(spark):
+    row = lambda title, url, seq: (5, "person", None, "p", None, title, url, None, None, None, None, seq)
+    found = upsert.folded(spark.createDataFrame([row("a", None, 1), row("b", "u", 2), row("a", None, 3), row(None, None, 4)], NODE)).first()
+    assert (found.title, found.url, found.seq, found.external_id) == ("a", "u", 1, "p")
+
+
+def test_targets_are_pull_requests_first(spark):
+    row = lambda id_, kind, number, seq: (id_, kind, 1, number, None, None, None, None, None, None, None, seq)
+    nodes = spark.createDataFrame([row(1, "issue", "7", 1), row(2, "pull_request", "7", 9), row(3, "issue", "8", 5), row(4, "commit", "8", 1), row(5, "pull_request", "9", None)], NODE)
+    assert {tuple(r) for r in link.targets(nodes).collect()} == {(1, 7, 2), (1, 8, 3), (1, 9, 5)}
+
+
+def test_leaves_take_or_give_a_key(spark):
+    """Commit 11 has no key, commit 12 an earlier thread's; pull request 3 has neither key nor neighbours with one."""
+    key = {1: "thread:1:issue-1", 12: "thread:1:pr-2"}
+    kind = lambda n: "commit" if n > 9 else "pull_request"
+    nodes = spark.createDataFrame([(n, kind(n), 1, str(n), None, None, None, key.get(n), None, None, None, n) for n in (1, 2, 3, 11, 12, 13, 14)], NODE)
+    edges = spark.createDataFrame([(a, b, "implements", "pr_commit_list") for a, b in ((1, 11), (2, 12), (2, 14), (3, 13))], LINKS)
+    after = {r.node_id: r.thread_key for r in threads.cluster(nodes, edges).collect()}
+    assert after == {1: key[1], 11: key[1], 2: key[12], 12: key[12], 14: key[12], 3: None, 13: None}
+
+
+def test_tiers_lose_no_edge(spark):
+    """Only ids are joined to find what qualifies; an edge whose end is not among the nodes stays as it is."""
+    nodes = spark.createDataFrame([(1, "pull_request", 1, "1", None, None, None, "k", None, None, None, 1)], NODE)
+    edges = spark.createDataFrame([(9, 1, 77, "closes", "explicit", "explicit", "x_closing_keyword", None, None, None, None, None, 1)], EDGE)
+    assert [r.tier for r in evidence.apply_tiers(nodes, edges)[0].collect()] == ["explicit"]
+
+
+def test_totals_need_no_tiers(spark):
+    source = derived.landed(spark, "/root/testdata/sf0.001")
+    g = build.Graph(spark, source, F.lit(derived.INGESTED).cast("timestamp"))
+    n = g.untiered.count()
+    assert "edges" not in g.__dict__ and "tier" not in g.untiered.columns and n == g.edges.count()
