@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from whygraph.durable import nothing
-from whygraph.operators import evidence, link, reason, threads, upsert
+from whygraph.operators import evidence, link, reason, repair, threads, upsert
 from whygraph.plans import build
 from whygraph.plans.build import split
 from whygraph.schema import EDGE, NODE
 from whygraph.sources import derived, payloads
+from whygraph.streaming.ingest import ARTIFACTS
 
 LINKS = "src_id long, dst_id long, edge_type string, extractor string"
 
@@ -91,3 +92,9 @@ def test_totals_need_no_tiers(spark):
     g = build.Graph(spark, source, F.lit(derived.INGESTED).cast("timestamp"))
     n = g.untiered.count()
     assert "edges" not in g.__dict__ and "tier" not in g.untiered.columns and n == g.edges.count()
+
+
+def test_payloads_are_read_before_they_are_joined(spark):
+    """Rows of a join hold the values found in a payload, not the parsed payload."""
+    plan = repair.backfill_from_raw(spark.createDataFrame([], ARTIFACTS), spark.createDataFrame([], NODE))._jdf.queryExecution().analyzed().toString()
+    assert 0 <= plan.index("Join") < plan.index("variant_get")
