@@ -330,7 +330,14 @@ class LogBilinear:
             guess += np.take(x, v[order], axis=0, out=room("own", len(w), wide), mode="clip")
         own = np.take(self.t, class_of(ordered), axis=0, out=room("own", len(w), wide), mode="clip")
         out = np.einsum("td,td->t", guess, own)
-        self.normalise(out, guess, self.t)
+        # The sum over classes hangs on the context alone, and contexts recur.
+        context = before[0][order].astype(np.int64)
+        for v in before[1:]:
+            context = context * len(self.r) + v[order]
+        _, first, same = np.unique(context, return_index=True, return_inverse=True)
+        whole = np.zeros(len(first), np.float32)
+        self.normalise(whole, np.take(guess, first, axis=0, out=room("contexts", len(first), wide), mode="clip"), self.t)
+        out += whole[same]
         groups = list(self.ranks(ordered))
         if groups:
             begin = groups[0][2]
