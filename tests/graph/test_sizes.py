@@ -8,6 +8,7 @@ from whygraph.plans import build
 from whygraph.plans.build import split
 from whygraph.schema import EDGE, NODE
 from whygraph.sources import derived, payloads
+from whygraph.streaming import ingest
 from whygraph.streaming.ingest import ARTIFACTS
 
 LINKS = "src_id long, dst_id long, edge_type string, extractor string"
@@ -98,3 +99,27 @@ def test_payloads_are_read_before_they_are_joined(spark):
     """Rows of a join hold the values found in a payload, not the parsed payload."""
     plan = repair.backfill_from_raw(spark.createDataFrame([], ARTIFACTS), spark.createDataFrame([], NODE))._jdf.queryExecution().analyzed().toString()
     assert 0 <= plan.index("Join") < plan.index("variant_get")
+
+
+def test_new_rows_and_rows_that_stay_pass_a_merge_by(spark):
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "x long, y string"), spark.createDataFrame([(2, "c"), (3, "d"), (4, "e"), (4, "f")], "x long, y string")
+    assert [sorted(r.y for r in df.collect()) for df in upsert.met(old, new, "x")] == [["a"], ["b"], ["d"], ["c", "e", "f"]]
+
+
+def test_leaves_take_keys_without_being_joined_by_components(spark, monkeypatch):
+    """A keyless commit of one pull request is looked up; only threads and commits with more edges are joined."""
+    key = lambda n: f"thread:1:pr-{n}"
+    nodes = spark.createDataFrame([(n, "pull_request", 1, str(n), None, None, None, key(n), None, None, None, n) for n in (1, 2)] + [(n, "commit", 1, str(n), None, None, None, None, None, None, None, n) for n in (11, 12, 13)], NODE)
+    pairs = [(1, 11, "implements"), (2, 12, "implements"), (1, 13, "implements"), (2, 13, "implements"), (9, 13, "implements")]
+    edges = spark.createDataFrame([(n, a, b, t, "explicit", "explicit", "pr_commit_list", None, None, None, None, None, n) for n, (a, b, t) in enumerate(pairs)], EDGE)
+    joined, whole = [], threads.components
+    monkeypatch.setattr(threads, "components", lambda df: joined.append(df.filter("a <> b").count()) or whole(df))
+    assert {r.node_id: r.thread_key for r in threads.merge_threads(nodes, edges).collect()} == {n: key(1) for n in (1, 2, 11, 12, 13)}
+    assert joined == [1]
+
+
+def test_landed_lines_are_parsed_once_and_missing_resources_are_known_to_be_empty(spark):
+    lines = spark.createDataFrame([('{"repo_id": 1, "number": 5, "commits": [{"sha": "a"}, {"sha": "b"}]}', "commits"), ("{", "artifacts"), ("{}", "unknown")], "value string, resource string")
+    rows = ingest.taken(lines)
+    assert set(rows) == set(ingest.RESOURCES) and sorted(r.sha for r in rows["commits"].collect()) == ["a", "b"] and rows["artifacts"].isEmpty()
+    assert "LocalRelation <empty>" in rows["releases"]._jdf.queryExecution().optimizedPlan().toString()
