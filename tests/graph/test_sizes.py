@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from whygraph.durable import nothing
-from whygraph.operators import evidence, link, reason, repair, threads, upsert
+from whygraph.operators import decisions, evidence, link, reason, repair, threads, upsert
 from whygraph.plans import build
 from whygraph.plans.build import split
 from whygraph.schema import EDGE, NODE
@@ -123,3 +123,14 @@ def test_landed_lines_are_parsed_once_and_missing_resources_are_known_to_be_empt
     rows = ingest.taken(lines)
     assert set(rows) == set(ingest.RESOURCES) and sorted(r.sha for r in rows["commits"].collect()) == ["a", "b"] and rows["artifacts"].isEmpty()
     assert "LocalRelation <empty>" in rows["releases"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_decision_does_not_hang_on_the_order_of_rows_seen_at_equal_places(spark):
+    nodes = spark.createDataFrame([(n, "issue" if n < 4 else "pull_request", 1, f"t{n}", "k", 0) for n in range(1, 7)], "node_id long, node_type string, repo_id long, title string, thread_key string, seq long")
+    links = [(src, dst, "closes", "explicit") for src in (4, 5, 6) for dst in (1, 2, 3)]
+    artifacts = nodes.select("node_id", "node_type", F.lit("1995-01-01").cast("timestamp").alias("merged_at"), F.lit(None).cast("timestamp").alias("closed_at"))
+    chosen = set()
+    for rows in (links, links[::-1]):
+        edges = spark.createDataFrame(rows, "src_id long, dst_id long, edge_type string, tag string").coalesce(1).withColumn("valid_to", F.lit(None).cast("timestamp"))
+        chosen |= {(r.motivator_id, r.implementer_id) for r in decisions.candidates(nodes, edges, artifacts).collect()}
+    assert chosen == {(1, 4)}
