@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from whygraph.durable import nothing
-from whygraph.operators import decisions, evidence, link, reason, repair, threads, upsert
+from whygraph.functions import text
+from whygraph.operators import decisions, evidence, link, reason, repair, retrieval, threads, upsert
 from whygraph.plans import build
 from whygraph.plans.build import split
 from whygraph.schema import EDGE, NODE
@@ -134,3 +135,24 @@ def test_a_decision_does_not_hang_on_the_order_of_rows_seen_at_equal_places(spar
         edges = spark.createDataFrame(rows, "src_id long, dst_id long, edge_type string, tag string").coalesce(1).withColumn("valid_to", F.lit(None).cast("timestamp"))
         chosen |= {(r.motivator_id, r.implementer_id) for r in decisions.candidates(nodes, edges, artifacts).collect()}
     assert chosen == {(1, 4)}
+
+
+def test_traces_of_impact_need_no_grouping_of_paths(spark):
+    rows = [(1, 1, 2, "closes", "explicit"), (2, 3, 2, "implements", "explicit"), (3, 1, 4, "deployed_by", "explicit"), (4, 5, 4, "deployed_by", "explicit"), (5, 6, 2, "depends_on", "inferred"), (6, 6, 5, "depends_on", "inferred")]
+    edges = spark.createDataFrame(rows, "edge_id long, src_id long, dst_id long, edge_type string, tag string").withColumns({"tier": F.when(F.col("edge_id") == 2, "corroborated").otherwise(F.col("tag")), "extractor": F.lit("x"), "source_ref": F.lit(None).cast("string")})
+    edges = edges.withColumns({"valid_from": F.lit("1995-01-01").cast("timestamp"), "valid_to": F.lit(None).cast("timestamp")})
+    nodes = spark.createDataFrame([(n, "issue", str(n), f"t{n}" if n % 2 else None) for n in range(1, 8)], "node_id long, node_type string, external_id string, title string")
+    notes = spark.createDataFrame([(3, "said")], "node_id long, note string")
+    begun = spark.createDataFrame([(f"q{n}", n, "impact", 2) for n in (2, 4, 6, 7)], "question_id string, start_id long, mode string, depth int").withColumn("as_of", F.lit("1996-01-01").cast("timestamp"))
+    paths, _ = reason.reason(begun, nodes, edges, 2)
+    expected = sorted(tuple(r) for r in reason.trace(reason.hydrate(paths, nodes, edges, notes)).select("question_id", "trace").collect())
+    found = reason.impact_traces(begun, nodes, edges, notes, 2)
+    assert sorted(tuple(r) for r in found.collect()) == expected and {q for q, _ in expected} == {"q2", "q4", "q6"}
+    assert not any(step in found._jdf.queryExecution().executedPlan().toString() for step in ("Window", "Aggregate", "Generate explode(path"))
+
+
+def test_trigrams_coded_in_tasks_are_those_of_the_text(spark):
+    titles = ["", None, "Low order 12", "  a--b_c  ", "É İstanbul ß 100%", "aaa aaa aaaa", "x", "日本語 テスト", "\U0001f600 \U00010400a b"]
+    rows = spark.createDataFrame(list(enumerate(titles)), "n int, title string")
+    expected = {r.n: sorted(r.grams) for r in rows.select("n", text.trigram_codes(F.col("title")).alias("grams")).collect()}
+    assert {r.n: r.grams for r in retrieval.with_grams(rows, "title").collect()} == expected
