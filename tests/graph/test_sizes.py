@@ -156,3 +156,13 @@ def test_trigrams_coded_in_tasks_are_those_of_the_text(spark):
     rows = spark.createDataFrame(list(enumerate(titles)), "n int, title string")
     expected = {r.n: sorted(r.grams) for r in rows.select("n", text.trigram_codes(F.col("title")).alias("grams")).collect()}
     assert {r.n: r.grams for r in retrieval.with_grams(rows, "title").collect()} == expected
+
+
+def test_the_last_step_looks_for_ends_only(spark):
+    rows = [(1, 1, 2, "implements"), (2, 3, 2, "implements"), (3, 3, 4, "implements")]
+    edges = spark.createDataFrame(rows, "edge_id long, src_id long, dst_id long, edge_type string").withColumns({"tag": F.lit("explicit"), "tier": F.lit("explicit")})
+    edges = edges.withColumns({"valid_from": F.lit("1995-01-01").cast("timestamp"), "valid_to": F.lit(None).cast("timestamp")})
+    begun = spark.createDataFrame([("q", 2, "why", 2)], "question_id string, start_id long, mode string, depth int").withColumn("as_of", F.lit("1996-01-01").cast("timestamp"))
+    paths = lambda ends: {tuple(r.path_nodes) for r in reason.walk(begun, edges, most=2, ends=ends).collect()}
+    assert paths(None) == {(2, 1), (2, 3), (2, 3, 4)}
+    assert paths(spark.createDataFrame([(4,)], "node_id long")) == {(2, 1), (2, 3), (2, 3, 4)} and paths(spark.createDataFrame([(1,)], "node_id long")) == {(2, 1), (2, 3)}
